@@ -7,6 +7,13 @@ from importlib import import_module
 #: Query and module of each operator.
 QUERIES = {
     "op1_best_fit_packing": "packing",
+    "op7_minhash_near_dedup": "neardup",
+    "op9_line_run_dedup": "linededup",
+    "op6_quality_decision_list": "quality",
+    "op10_benchmark_decontamination": "decontam",
+    "op2_url_filter": "urls",
+    "op4_counterfactual_toxicity": "toxicity",
+    "op8_site_style_tree": "sitetree",
     "op3_rans_token_files": "rans",
 }
 
