@@ -14,6 +14,7 @@ QUERIES = {
     "op2_url_filter": "urls",
     "op4_counterfactual_toxicity": "toxicity",
     "op8_site_style_tree": "sitetree",
+    "op5_license_signatures": "licenses",
     "op3_rans_token_files": "rans",
 }
 
