@@ -62,8 +62,11 @@ def rotate_back(values: Column, rotation: Column, k: int) -> Column:
 def mean_of_vectors(vectors: Column, k: int) -> Column:
     """Element-wise mean of an array of vectors."""
     n = F.size(vectors)
-    sums = [F.aggregate(vectors, F.lit(0.0), lambda a, v, i=i: a + F.get(v, F.lit(i))) for i in range(k)]
-    return F.array(*[s / n for s in sums])
+
+    def total(i: int) -> Column:
+        return F.aggregate(vectors, F.lit(0.0), lambda a, v: a + F.get(v, F.lit(i)))
+
+    return F.array(*[total(i) / n for i in range(k)])
 
 
 def one_hot(index: Column, value: Column, k: int) -> Column:
