@@ -111,6 +111,8 @@ def decode_block(payload: bytes, freq: np.ndarray, starts: np.ndarray, slots: np
             x[low] = (x[low] << np.uint64(32)) | words[place : place + len(low)]
             place += len(low)
             state[:k] = x
+        if last == steps and (state != LOW).any():  # where the encoder began
+            raise ValueError("a block of token ids is damaged")
     if checkpoint is None and zlib.crc32(out.astype("<u4").tobytes()) != crc:
         raise ValueError("a block of token ids fails its checksum")
     return out

@@ -3,7 +3,8 @@
 A rule that fits decides. For other urls the names in host and path are split into words by a unigram model (the most
 probable way to write a name as words, by Viterbi), and multinomial naive Bayes scores the words.
 
-The unigram model counts the words that stand alone in all urls (between marks and digits) and adds a fixed word list.
+The unigram model counts the words of all urls that their writers parted (by hyphen, underscore or plus: a whole name may
+be several words run together) and adds a fixed word list.
 Its size is bounded by the parameter `words`: the most frequent ones are broadcast. Naive Bayes learns from labelled
 names: by default the fixed lists below. Urls are judged in one narrow pass; only word counts are shuffled, after each
 task has added up its own, so a hot host is no hot key.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from calibrium.llm.common import bounded_batches, read
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
-WORDS, LONGEST, PRIOR = 50_000, 24, 0.1
+WORDS, LONGEST, PRIOR = 50_000, 24, 0.2
 #: Names of sites, as separate words, that teach naive Bayes.
 BLOCKED = """
 casino win | casino bonus | online casino | best casino slots | free slots jackpot | poker bets | free bets | sports betting odds | live betting
@@ -38,18 +39,19 @@ easy loans | quick loan now | earn money fast | get rich quick | make money | fr
 free download crack | keygen serial | warez torrent | torrent movies | free movies stream | pirate download | cracked software | replica watches
 cheap replica | fake rolex | cheap nike outlet | free iphone | free gift card | win prize | claim prize now | click here win | spam mail
 phishing login | malware download | hack account | buy followers | buy likes | cheap seo backlinks | essay writing cheap | fake diploma
-casino | bets | pills | viagra | porn | xxx | adult | sex | loans | jackpot | betting | escort | warez | torrent | slots | poker
+ads track | ad tracker | ads server | ad banner click | popup ads | tracking pixel | ads | adserver | tracker
+casino | bets | pills | viagra | porn | xxx | adult | sex | loans | jackpot | betting | escort | warez | torrent | slots | poker | gambling
+casino | bets | pills | viagra | porn | xxx | adult | sex | loans | jackpot | betting | escort | warez | torrent | slots | poker | gambling
 """
 ALLOWED = """
 news | daily news | world news | local news today | weather report | science journal | nature research | university library | open university
 school education | online learning | history museum | city council | public library | government services | health service | hospital info
 medical research | family recipes | cooking recipes | garden club | travel guide | hotel guide | sports club | football results | music review
-book review | film review | art gallery | photo album | blog post | my blog | personal site | tech blog | developer docs | code wiki
+book review | film review | art gallery | photo album | personal diary | developer docs | code wiki
 open source software | linux forum | computer help | support forum | help center | company contact | about us | product catalog | shop
 online store | book shop | bank branch | insurance info | job offers | real estate | car review | bike shop | train times | flight info
 city map | church community | charity fund | environment agency | energy report | finance news | market report | research paper | data portal
-wiki page | encyclopedia article | article archive | page index | mobile site | web mail | home page | main site | static media | image files
-article | news | blog | forum | docs | wiki | help | shop | travel | science | school | www | example | index | page | mobile
+encyclopedia | archive | web mail | image files | news | forum | docs | wiki | help | shop | travel | science | school
 """
 #: Common words that help to split names, the more frequent ones first.
 COMMON = """
@@ -72,7 +74,6 @@ class NameWords:
         total = sum(counts.values())
         self.cost = {w: -math.log(c / total) for w, c in counts.items()}
         self.unknown = math.log(total) + 1
-        self.longest = min(LONGEST, max(map(len, counts)))
         self.memo: dict[str, list[str]] = {}
 
     def split(self, name: str) -> list[str]:
@@ -86,7 +87,7 @@ class NameWords:
         """Cheapest path; letters that no word covers form unknown words that cost more the longer they are."""
         best, back = [0.0] + [math.inf] * len(name), [0] * (len(name) + 1)
         for end in range(1, len(name) + 1):
-            for start in range(max(0, end - self.longest), end):
+            for start in range(max(0, end - LONGEST), end):
                 word = name[start:end]
                 cost = best[start] + self.cost.get(word, self.unknown + 2.3 * len(word))
                 if cost < best[end]:
@@ -113,6 +114,7 @@ class NaiveBayes:
 
 
 _RUNS = re.compile(r"[a-z]+")
+_PARTED = re.compile(r"[a-z]+(?:[-_+][a-z]+)+")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -133,13 +135,14 @@ def ruled(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Col
 
 
 def unigrams(urls: DataFrame, words: int = WORDS) -> dict[str, float]:
-    """Counts of words that stand alone in the urls (column url), the `words` most frequent, over a fixed list."""
+    """Counts of the parted words in the urls (column url), the `words` most frequent, over a fixed list."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
         for batch in batches:
             for url in batch.column(0).to_pylist():
-                found.update(w for w in _RUNS.findall((url or "").lower()) if 1 < len(w) <= LONGEST)
+                for name in _PARTED.findall((url or "").lower()):
+                    found.update(w for w in _RUNS.findall(name) if 1 < len(w) <= LONGEST)
             if len(found) > 500_000:
                 yield pa.RecordBatch.from_pydict({"word": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
                 found = Counter()

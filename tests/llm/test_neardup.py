@@ -39,7 +39,7 @@ def test_whole_table_against_all_pairs(spark, sf):
 
 @pytest.mark.parametrize("small", [32, 3])
 def test_chains_and_large_groups(spark, monkeypatch, small):
-    """Chains of edits, so that members of a bucket are similar to some and not to others; small=3 takes the prefix way."""
+    """Chains of edits, so that members of a bucket are similar to some and not to others; small=3 takes the way of large buckets."""
     monkeypatch.setattr("calibrium.llm.neardup.SMALL_BUCKET", small)
     r = random.Random(3)
     rows, doc = [], 0
@@ -56,6 +56,28 @@ def test_chains_and_large_groups(spark, monkeypatch, small):
     assert sorted(map(tuple, got.collect())) == brute(rows)
 
 
+@pytest.mark.parametrize("small", [32, 1])
+def test_many_copies_of_one_text(spark, monkeypatch, small):
+    """Copies around the threshold, cut-off copies and copies of copies: links that don't lead over the leader."""
+    monkeypatch.setattr("calibrium.llm.neardup.SMALL_BUCKET", small)
+    r = random.Random(11)
+    base = [f"b{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for d in range(1, 140):
+        words = list(base if r.random() < 0.6 else rows[r.randrange(len(rows))][1].split())
+        kind = r.randrange(4)
+        if kind == 0:
+            words = words[: r.randrange(60, len(words) + 1)]
+        for _ in range(r.randrange(0, 7)):
+            words[r.randrange(len(words))] = f"x{r.randrange(10**6)}"
+        if kind == 1:
+            words += [f"y{r.randrange(10**6)}" for _ in range(r.randrange(30))]
+        rows.append((d, " ".join(words)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = brute(rows)
+    assert sorted(map(tuple, got.collect())) == want and 1 < len({w[2] for w in want}) < 139
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, " \n\t ", "x"), (4, "One two", "x"), (5, "one  TWO", "x"), (None, "one two", "x"), (6, "É é", "x"), (6, "É é", "y"), (7, "two one", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_shingles string")

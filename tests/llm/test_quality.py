@@ -67,4 +67,6 @@ def test_odd_rows(spark):
 
 def test_stage_keeps_columns(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    assert good_documents(spark, docs, sf).columns == docs.columns
+    kept = good_documents(spark, docs, sf)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in op6_quality_decision_list(spark, sf).where("kept").collect()}
