@@ -33,24 +33,6 @@ def shared_prefix(a: Column, b: Column) -> Column:
     return F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, least).cast("int")
 
 
-def twin(text: Column) -> Column:
-    """Deterministic perturbation: each digit is the next one, each capitalised word after the first a placeholder in turn.
-
-    A replaced word keeps the marks at its end.
-    """
-    w = words(text)
-    named = F.transform(w, lambda x, i: (i > 0) & x.rlike(r"^\p{Lu}"))
-    names = F.array(*[F.lit(x) for x in PLACEHOLDERS])
-    digits = lambda x: F.translate(x, "0123456789", "1234567890")
-
-    def change(x: Column, i: Column) -> Column:
-        nth = F.size(F.filter(F.slice(named, F.lit(1), i), lambda y: y))
-        tail = F.regexp_extract(x, r"([^\p{L}\p{N}]*)$", 1)
-        return F.when(F.get(named, i), F.concat(F.get(names, nth % len(PLACEHOLDERS)), tail)).otherwise(digits(x))
-
-    return F.array_join(F.transform(w, change), " ")
-
-
 def redact(text: Column, secrets: list[str] | None = None) -> Column:
     """Known secrets, then key-shaped tokens, are blotted out."""
     out = text
@@ -121,3 +103,24 @@ def trimmed_tools(functions: pd.Series, cap: pd.Series) -> pd.Series:
         return text
 
     return pd.Series([fit(e, c) for e, c in zip(functions, cap)])
+
+
+@F.pandas_udf("string")
+def twin(text: pd.Series) -> pd.Series:
+    """Deterministic perturbation: each digit is the next one, each capitalised word after the first a placeholder in turn.
+
+    A replaced word keeps the marks at its end. State runs along the words, so this is an Arrow-batched function.
+    """
+    digits = str.maketrans("0123456789", "1234567890")
+
+    def change(value: str | None) -> str:
+        out, named = [], 0
+        for i, word in enumerate((value or "").split()):
+            if i and word[0].isupper():
+                out.append(PLACEHOLDERS[named % len(PLACEHOLDERS)] + word[len(word.rstrip("".join(c for c in word if not c.isalnum()))) :])
+                named += 1
+            else:
+                out.append(word.translate(digits))
+        return " ".join(out)
+
+    return text.map(change)

@@ -38,8 +38,11 @@ def softmax(logits: Column, k: int, temperature: Column | float = 1.0) -> Column
 
 
 def argmax(vector: Column) -> Column:
-    """Place of the largest element; the first of equals."""
-    return (F.array_position(vector, F.array_max(vector)) - 1).cast("int")
+    """Place of the largest element; the first of equals, -1 for a null vector.
+
+    Never null: joins on it then infer no null test, which the optimizer would push down and spell out in full.
+    """
+    return F.coalesce((F.array_position(vector, F.array_max(vector)) - 1).cast("int"), F.lit(-1))
 
 
 def confidence(vector: Column) -> Column:
@@ -100,7 +103,7 @@ def answered(conf: Column, pred: Column, taus: list[float]) -> Column:
 
 def bin_of(conf: Column, bins: int) -> Column:
     """Equal-width bins [e_b, e_b+1) over [0, 1]; the last is closed."""
-    return (F.least(F.width_bucket(conf, F.lit(0.0), F.lit(1.0), F.lit(bins)), F.lit(bins)) - 1).cast("int")
+    return F.coalesce((F.least(F.width_bucket(conf, F.lit(0.0), F.lit(1.0), F.lit(bins)), F.lit(bins)) - 1).cast("int"), F.lit(-1))
 
 
 def rounded(x: Column, digits: int = 4) -> Column:

@@ -93,7 +93,7 @@ def threshold_counts(terms: DataFrame, by: list[str], taus: list[float]) -> Data
     Each item is counted once, at the highest threshold it reaches; a cumulative sum over the thresholds does the rest.
     """
     grid = F.array(*[F.lit(t) for t in taus])
-    reached = F.size(F.filter(grid, lambda t: t <= F.col("conf")))
+    reached = F.coalesce(F.size(F.filter(grid, lambda t: t <= F.col("conf"))), F.lit(0))
     counted = terms.groupBy(*by, reached.alias("reached")).agg(F.count("*").alias("c"), F.sum(F.col("correct").cast("long")).alias("r"))
     totals = counted.groupBy(*by).agg(F.sum("c").alias("n"))
     steps = totals.select(*by, "n", F.posexplode(grid).alias("place", "tau"))
