@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 NUMBER = r"\d[\d,]*(?:\.\d+)?(?:[eE][-+]?\d+)?%?"
 SECRET = r"(?<![A-Za-z0-9])(sk|pk|key|api|ghp|token)[-_][A-Za-z0-9_-]{8,}"
@@ -84,7 +85,7 @@ def parsed_emission(text: Column) -> Column:
     return F.struct(F.when(ok, decision).alias("decision"), F.when(ok, number).alias("confidence"), ok.alias("parse_ok"), error.alias("parse_error"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def trimmed_tools(functions: pd.Series, cap: pd.Series) -> pd.Series:
     """The tools block within `cap` words: the longest description is cut to 70 % (24 characters at least) time and again, then last functions go."""
 
@@ -105,7 +106,7 @@ def trimmed_tools(functions: pd.Series, cap: pd.Series) -> pd.Series:
     return pd.Series([fit(e, c) for e, c in zip(functions, cap)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def twin(text: pd.Series) -> pd.Series:
     """Deterministic perturbation: each digit is the next one, each capitalised word after the first a placeholder in turn.
 
