@@ -32,13 +32,13 @@ def nll_by_temperature(items: DataFrame, by: list[str], grid: list[float], k: in
     top, own = F.greatest(*z), F.get("logits", F.col("y"))
     ready = items.select(*by, *[(x - top).alias(f"z{i}") for i, x in enumerate(z)], (own - top).alias("zy"))
 
-    def term(t: float):
-        total = sum((F.exp(F.col(f"z{i}") / t) for i in range(k)), F.lit(0.0))
-        return F.avg(V.nll_term(F.exp(F.col("zy") / t) / total))
+    def term(t: float) -> str:
+        total = " + ".join(f"exp(z{i} / {t!r}D)" for i in range(k))
+        return f"avg(-ln(greatest(least(exp(zy / {t!r}D) / ({total}), 1D), {V.FLOOR!r}D)))"
 
-    wide = ready.groupBy(*by).agg(*[term(t).alias(f"t{i}") for i, t in enumerate(grid)])
-    pairs = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(t).alias("temperature"), F.col(f"t{i}").alias("nll")) for i, t in enumerate(grid)])
-    return wide.select(*by, F.explode(pairs).alias("x")).select(*by, "x.*")
+    wide = ready.groupBy(*by).agg(*[F.expr(term(t)).alias(f"t{i}") for i, t in enumerate(grid)])
+    pairs = ", ".join(f"named_struct('place', {i}, 'temperature', {t!r}D, 'nll', t{i})" for i, t in enumerate(grid))
+    return wide.select(*by, F.explode(F.expr(f"array({pairs})")).alias("x")).select(*by, "x.*")
 
 
 def fit_temperature(items: DataFrame, k: int = 3, rounds: int = 5, points: int = T_POINTS) -> dict:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from calibrium.functions import text as X
 from calibrium.operators import checks as I
+from calibrium.operators import guards as K
 from calibrium.operators import metrics as M
 from calibrium.operators import probe as L
 from calibrium.operators import report as R
@@ -163,3 +164,28 @@ def trimmed_tool_blocks(spark, d):
 def chronology(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("string").alias("a"), F.lit("1996-01-01T00:00:00Z").alias("b"))
     return I.chronology(o, "a", "b", "o_orderkey")
+
+
+@query("SELECT event_id, event_id % 3 <> 1 AS blank FROM events")
+def think_blocks(spark, d):
+    n = F.col("event_id") % 3
+    text = F.when(n == 0, F.lit("a<think> \n </think>b")).when(n == 1, F.concat(F.lit("<think>"), F.col("event_type"), F.lit("</think>"))).otherwise("none")
+    return table(spark, d, "events").select("event_id", K.blank_think_blocks(text).alias("blank"))
+
+
+@query("SELECT event_type, count(*) FILTER (WHERE event_id % 10 >= 6) AS verbatim, count(*) FILTER (WHERE user_id % 10 >= 6) AS twins, count(*) AS n, count(*) FILTER (WHERE event_id % 10 >= 6) >= 4 AND count(*) FILTER (WHERE user_id % 10 >= 6) <= 1 AS flagged FROM events GROUP BY event_type")
+def canary_flags(spark, d):
+    e = table(spark, d, "events").select("event_type", (F.col("event_id") % 10).alias("shared"), (F.col("user_id") % 10).alias("twin_shared"))
+    return K.canary_flags(e, ["event_type"])
+
+
+@query("SELECT 'c_mktsegment' AS parameter, count(DISTINCT c_mktsegment) AS n FROM customer HAVING count(DISTINCT c_mktsegment) > 1")
+def shared_parameters(spark, d):
+    c = table(spark, d, "customer").withColumn("same", F.lit(1))
+    return K.disagreeing_parameters(c, ["c_mktsegment", "same"]).select("parameter", F.size("seen").cast("long").alias("n"))
+
+
+@query("SELECT o_custkey AS run, count(*) AS found, max(c_nationkey)::BIGINT AS n_items FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY o_custkey HAVING count(*) <> max(c_nationkey) UNION ALL SELECT c_custkey, NULL, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def incomplete_runs(spark, d):
+    footers = table(spark, d, "customer").select(F.col("c_custkey").alias("run"), F.col("c_nationkey").cast("long").alias("n_items"))
+    return K.incomplete_runs(table(spark, d, "orders").select(F.col("o_custkey").alias("run")), footers)

@@ -110,3 +110,51 @@ def commits(spark: SparkSession, folder: str, file: str) -> DataFrame:
     log = [line.split(" ", 1) for line in git("log", "--follow", "--format=%H %cI", "--", file).splitlines()]
     rows = [(sha, ts, git("show", f"{sha}:{file}")) for sha, ts in log]
     return spark.createDataFrame(rows, "sha string, ts string, text string").withColumn("ts", F.to_timestamp("ts"))
+
+
+def write_document(spark: SparkSession, record: dict, path: str) -> None:
+    """One small record as an indented JSON file; existing output is an error."""
+    import json
+
+    text = json.dumps(record, indent=1, ensure_ascii=False)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("errorifexists").text(path)
+
+
+LEDGER = "n long, id string, attempt int, status int, error string, elapsed_s double, at string"
+
+
+def read_ledger(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """An append-only ledger of calls; new files arrive one by one when read as a stream."""
+    return (spark.readStream if stream else spark.read).schema(LEDGER).json(path)
+
+
+def append_ledger(calls: DataFrame, path: str, secrets: list[str]) -> None:
+    """Calls appended with secrets blotted out of their errors."""
+    from calibrium.functions.text import redact
+
+    calls.withColumn("error", redact(F.col("error"), secrets)).write.mode("append").json(path)
+
+
+def append_version(block: DataFrame, path: str) -> None:
+    """A new version of a metric block: a partition by the time it was made; older ones are never touched."""
+    block.withColumn("version", F.date_format(F.current_timestamp(), "yyyyMMdd'T'HHmmssSSS")).write.mode("append").partitionBy("version").parquet(path)
+
+
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    """file, place, features of .npy matrices (little-endian 32-bit, row-major), with each file's sha256: a row per vector."""
+    import io
+
+    import numpy as np
+    import pyarrow as pa
+
+    def rows(batches):
+        for batch in batches:
+            for name, sha, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                matrix = np.load(io.BytesIO(content), allow_pickle=False).astype("<f4", copy=False)
+                if matrix.ndim != 2:
+                    raise ValueError(f"{name} is no matrix")
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, matrix.size + 1, matrix.shape[1] or 1, dtype=np.int32)), pa.array(matrix.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(matrix)), pa.array([sha] * len(matrix)), pa.array(range(len(matrix)), pa.int64()), flat], names=["file", "sha256", "place", "features"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1), F.sha2("content", 256), "content").mapInArrow(rows, "file string, sha256 string, place long, features array<float>")

@@ -122,3 +122,22 @@ def test_fingerprints(spark):
     a = I.fingerprint(rows, ["g"], "id", ["x"]).first().sha256
     assert a == I.fingerprint(rows.orderBy("id"), ["g"], "id", ["x"]).first().sha256
     assert a != I.fingerprint(rows.withColumn("x", F.col("x") + 0.001), ["g"], "id", ["x"]).first().sha256
+
+
+def test_guards(spark, tmp_path):
+    import numpy as np
+
+    from calibrium.operators import guards as K
+
+    records = spark.createDataFrame([("a", 0.95, 1.0, [0.5] * 3), ("b", 0.9, 1.0, [0.5] * 3), ("c", 0.95, 0.0, [0.5] * 3), ("d", 0.95, 1.0, [0.5, float("nan"), 0.5])], "gauge string, sa_target double, T double, taus array<double>")
+    gauges = spark.createDataFrame([(x,) for x in "abcde"], "gauge string")
+    assert {(r.gauge, r.fault) for r in K.calibration_faults(records, gauges, 0.95).collect()} == {("b", "other target"), ("c", "temperature"), ("d", "thresholds"), ("e", "no record")}
+    texts = spark.createDataFrame([("<think>\n</think>x",), ("<think>a</think>",), ("<think>",), ("</think><think>",), ("plain",), (None,)], "t string")
+    assert [r[0] for r in texts.select(K.blank_think_blocks(F.col("t"))).collect()] == [True, False, False, False, True, False]
+    assert texts.limit(1).select(K.rendered("{a}-{b}", a=F.lit("x"), b=F.lit(None).cast("string"))).first()[0] == "x-"
+    assert K.canonical_sha256({"b": 1, "a": 2}) == K.canonical_sha256({"a": 2, "b": 1})
+    np.save(tmp_path / "f.npy", np.arange(12, dtype=np.float32).reshape(4, 3))
+    rows = S.read_features(spark, str(tmp_path)).orderBy("place").collect()
+    assert [r.features for r in rows] == [[0, 1, 2], [3, 4, 5], [6, 7, 8], [9, 10, 11]] and len({r.sha256 for r in rows}) == 1
+    S.append_ledger(spark.createDataFrame([(1, "x", 0, 500, "bad key-abcdefgh12345", 0.1, "t")], S.LEDGER), f"{tmp_path}/ledger", [])
+    assert S.read_ledger(spark, f"{tmp_path}/ledger").first().error == "bad [redacted]"
