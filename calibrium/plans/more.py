@@ -125,7 +125,7 @@ def _features(spark, d):
 def lr_probe_oof(spark, d):
     """Metrics of the probe: out-of-fold on the fit split, refitted on the exam split."""
     rows = _features(spark, d)
-    out = L.probe_gauge(rows.where("split = 'fit'"), rows.where("split = 'exam'"), 3, [0.001, 0.01, 0.1])
+    out = L.probe_gauge(rows.where("split = 'fit'"), rows.where("split = 'exam'"), 3, [0.01, 0.1])
     return M.metrics(M.term_table(out), ["split", "oof"]).select("split", "oof", "n", F.round("accuracy", 4).alias("accuracy"), F.round("nll", 3).alias("nll"))
 
 
