@@ -3,8 +3,9 @@
 The test items are the indexed documents; every passage of the corpus (`WINDOW` words, a new one each `STRIDE`) is a
 query. A posting's impact is its BM25 weight divided by the item's score against its own text, so a passage that holds
 an item scores 1 and one threshold serves all items. As in block-max WAND a passage is scored only where an upper bound
-reaches the threshold: bounds are sums of each term's largest impact in a block of `BLOCK` items, computed for all
-passages of a batch at once; no passage above the threshold is lost. Retrieved pairs are verified on words: the share of
+reaches the threshold: bounds are sums of each essential term's largest impact in a block of `BLOCK` items, plus what an item's
+other terms (its most common ones, up to `REST` of its score) could add, computed for all passages of a batch at once; no
+passage above the threshold is lost. Retrieved pairs are verified on words: the share of
 the question's five-word shingles and the share of the answer's words found in the passage (an item's question is its
 first two thirds).
 
@@ -30,9 +31,9 @@ from pyspark.sql import functions as F
 
 from calibrium.llm.common import bounded_batches, cut_lineage, read
 
-WINDOW, STRIDE, BLOCK, SHARD = 128, 64, 16, 4096
+WINDOW, STRIDE, BLOCK, SHARD = 128, 64, 8, 4096
 K1, B = 1.2, 0.75
-THRESHOLD, QUESTION, ANSWER, WIDTH = 0.5, 0.5, 0.75, 5
+THRESHOLD, REST, QUESTION, ANSWER, WIDTH = 0.5, 0.3, 0.5, 0.75, 5
 BROADCAST_IDS = 1_000_000
 PAIRS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, leaked boolean"
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -63,7 +64,17 @@ class Index:
             own = sum(weights.values())
             for w, x in weights.items():
                 self.impact[self.terms[w], j] = x / own
-        self.bound = self.impact.reshape(len(self.terms), blocks, BLOCK).max(axis=2)
+        # an item's least terms, up to REST of its score, don't make a passage a candidate: they add REST to its bound at most
+        order = np.argsort(self.impact, axis=0, kind="stable")
+        spent = np.take_along_axis(self.impact, order, axis=0).cumsum(axis=0) if len(self.terms) else self.impact
+        spared = np.zeros(self.impact.shape, bool)
+        np.put_along_axis(spared, order, spent <= REST, axis=0) if len(self.terms) else None
+        self.rest = np.where(spared, self.impact, 0).sum(axis=0).reshape(blocks, BLOCK).max(axis=1) if n else np.zeros(0, np.float32)
+        heavy = np.where(spared, 0, self.impact)
+        rows = np.flatnonzero(heavy.any(axis=1))
+        names = list(self.terms)
+        self.essential = {names[i]: k for k, i in enumerate(rows.tolist())}
+        self.bound = heavy[rows].reshape(len(rows), blocks, BLOCK).max(axis=2)
         self.parts = [self._parts(words) for _, words in self.pieces]
 
     @staticmethod
@@ -79,19 +90,20 @@ class Index:
 
     def search(self, docs: list[list[bytes]], threshold: float) -> list[tuple[int, int, float, int]]:
         """(document, piece, score, first word) of every passage and piece at or above the threshold."""
-        get = self.terms.get
-        ids = np.fromiter((get(w, -1) for words in docs for w in words), np.int64, sum(map(len, docs)))
+        get, size = self.essential.get, max(1, len(self.essential))
+        ids = np.array([get(w, -1) for words in docs for w in words], np.int64)
         sizes = np.array([-(-len(words) // STRIDE) + 1 for words in docs])  # an empty chunk ends each document
         first = np.concatenate(([0], np.cumsum(sizes)))
-        chunk = np.concatenate([np.repeat(np.arange(f, f + k - 1), STRIDE)[: len(w)] for f, k, w in zip(first, sizes, docs)] or [np.empty(0, np.int64)])
-        known = ids >= 0
-        pairs = np.unique(chunk[known] * len(self.terms) + ids[known])
-        chunk, ids = np.divmod(pairs, max(1, len(self.terms)))
+        known = np.flatnonzero(ids >= 0)
+        if not len(known):
+            return []
+        begins = np.concatenate(([0], np.cumsum([len(words) for words in docs])))
+        owner = np.searchsorted(begins, known, "right") - 1
+        pairs = np.unique((first[owner] + (known - begins[owner]) // STRIDE) * size + ids[known])
+        chunk, ids = np.divmod(pairs, size)
         starts = np.searchsorted(chunk, np.arange(first[-1] + 1))
         bounds = np.zeros((first[-1], self.bound.shape[1]), np.float32)
         full = np.flatnonzero(starts[1:] > starts[:-1])
-        if not len(full):
-            return []
         step = max(1, 4_000_000 // max(1, self.bound.shape[1]))  # bounded memory for the gathered rows
         group, edges = 0, starts[full]
         while group < len(full):
@@ -101,14 +113,16 @@ class Index:
             group = upto
         found = []
         owner = np.repeat(np.arange(len(docs)), sizes)
-        windows, blocks = np.nonzero(bounds[:-1] + bounds[1:] >= threshold - 1e-4)
+        windows, blocks = np.nonzero(bounds[:-1] + bounds[1:] + self.rest >= threshold - 1e-4)
         for c, block in zip(windows.tolist(), blocks.tolist()):
+            doc = int(owner[c])
+            begin = (c - int(first[doc])) * STRIDE
             if owner[c] != owner[c + 1]:
                 continue  # the chunk after a document's end begins the next
-            terms = np.unique(ids[starts[c] : starts[c + 2]])
+            terms = sorted({self.terms[w] for w in docs[doc][begin : begin + WINDOW] if w in self.terms})
             scores = self.impact[terms, block * BLOCK : (block + 1) * BLOCK].sum(axis=0, dtype=np.float64)
             for j in np.flatnonzero(scores >= threshold).tolist():
-                found.append((int(owner[c]), block * BLOCK + j, float(scores[j]), (c - int(first[owner[c]])) * STRIDE))
+                found.append((doc, block * BLOCK + j, float(scores[j]), begin))
         return found
 
 

@@ -2,13 +2,15 @@
 
 1. A pass over the texts makes each document's set of five-word shingles (64-bit hashes), a digest of the set, 200
    MinHash values and the keys of 40 bands of 5. Documents with equal sets form a class; one stands for it from here on.
-2. In every bucket (documents that share a band) each member is paired with the bucket's smallest: a star, so a bucket
-   of n members makes n pairs, not n * n.
+2. In every bucket (documents that share a band) each member is paired with the bucket's leader, the member that meets
+   most others over all its buckets: a star, so a bucket of n members makes n pairs, not n * n. The buckets of a group of
+   copies tend to have one leader, the text that the others are copies of.
 3. Pairs are verified in batches of signature values: after each batch a pair is dropped if the posterior probability
    that its similarity reaches the threshold (uniform prior) is below `MISS`. Survivors are compared on their full sets.
 4. Verified links give components. Buckets whose members now lie in one component are finished. In the others the
-   pairs across components remain: up to `SMALL_BUCKET` members all of them, beyond that those which share a shingle of
-   their rarest-first prefixes, which no pair above the threshold can avoid. They are verified as before.
+   pairs across components remain: up to `SMALL_BUCKET` members all of them, beyond that those which share a shingle that
+   the leader hasn't, or have a size that makes up for it; no pair above the threshold is without (`_beyond_leader_pairs`).
+   They are verified as before.
 
 A pair at similarity 0.75 shares no band with probability 2e-5, at 0.8 with 1e-7.
 
@@ -186,11 +188,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, p
     return cut_lineage(_exact(full, percent))
 
 
-def _prefix_pairs(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components, of documents of large buckets, that share a shingle of their rarest-first prefixes.
+def _beyond_leader_pairs(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components that may be similar, of the members of large buckets (leader, node, n, component).
 
-    Two sets with intersection >= percent of the union share one of the n - ceil(n * percent / 100) + 1 first elements of
-    each, in any common order of the elements; the rarest first keeps the lists short.
+    Let p be the leader, u a member that isn't linked with it, and x another. If all that u and x share is in p too, then
+    J(u, x) >= t > J(u, p) needs x to be small: |x| <= |u & p| * (1 + t) / t - |u| < |p|. So u and x share a shingle that p
+    hasn't, or x has one of these few sizes. Both are equi-joins on short lists; what a group has in common, which is what
+    makes its buckets large, is in p and joins nothing.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,20 +202,25 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, percent: int) -> DataFra
             arrays = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in arrays])), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64))], names=["node", "h"])
 
-    ids = members.select("node").distinct()
-    spread = cut_lineage(_sets(texts, cut_lineage(ids)).mapInArrow(rows, "node long, h long").distinct())
-    counted = spread.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    sizes = spread.groupBy("node").agg(F.count("*").alias("n"))
-    ranked = spread.join(counted, "h", "left").groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "h"))).alias("all"))
-    first = ranked.select("node", F.size("all").alias("n"), F.explode(F.expr(f"slice(all, 1, int(size(all) - ceil(size(all) * {percent} / 100.0D) + 1))")).alias("x")).select("node", "n", "x.h").where("x.df > 1")
-    keyed = cut_lineage(first.join(members.select("node", "component").distinct(), "node"))
-    open_keys = keyed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h")
-    return _across(keyed.join(open_keys, "h", "left_semi"), "h", percent)
+    members = cut_lineage(members.select("leader", "node", "n", "component").distinct())
+    spread = cut_lineage(_sets(texts, members.select("node").distinct()).mapInArrow(rows, "node long, h long").distinct())
+    of_leaders = spread.join(members.select(F.col("leader").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("leader"), "h")
+    own = cut_lineage(members.join(spread, "node").join(of_leaders, ["leader", "h"], "left_anti"))
+    open_keys = own.groupBy("leader", "h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("leader", "h")
+    sharing = _across(own.join(open_keys, ["leader", "h"], "left_semi"), ["leader", "h"], percent)
 
+    beyond = own.groupBy("leader", "node").agg(F.count("*").alias("beyond"))
+    linked = members.where("node = leader").select("leader", F.col("component").alias("led"))
+    apart = members.join(beyond, ["leader", "node"], "left").join(linked, "leader").where("component <> led").withColumn("shared", F.col("n") - F.coalesce("beyond", F.lit(0)))
+    low, high = F.ceil(F.col("n") * percent / 100), F.floor(F.col("shared") * (100 + percent) / percent) - F.col("n")
+    sized = apart.withColumns({"low": low, "high": high}).where("low <= high").select("leader", "node", "component", F.explode(F.sequence("low", "high")).alias("n"))
+    small = sized.join(members.select("leader", "n", F.col("node").alias("other"), F.col("component").alias("of")), ["leader", "n"]).where("component <> of")
+    return sharing.union(small.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))).distinct()
 
-def _across(members: DataFrame, key: str, percent: int) -> DataFrame:
+
+def _across(members: DataFrame, key: list[str], percent: int) -> DataFrame:
     """Pairs under one key, of different components and of sizes that allow the similarity."""
-    x, y = members.select(key, *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "component")]), members.select(key, *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "component")])
+    x, y = members.select(*key, *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "component")]), members.select(*key, *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "component")])
     fits = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     return x.join(y, key).where(fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
@@ -227,18 +236,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = bands * rows
 
     exploded = nodes.select("node", "n", F.explode("bands").alias("key"))
-    stars = exploded.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("members")).where("members > 1")
-    members = cut_lineage(exploded.join(stars, "key"))
+    shared = exploded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    members = cut_lineage(exploded.join(shared, "key"))
+    central = members.groupBy("node").agg(F.sum("members").alias("met"))
+    leaders = members.join(central, "node").groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("minus"))).alias("x")).select("key", (-F.col("x.minus")).alias("leader"))
+    members = cut_lineage(members.join(leaders, "key"))
     links = _verified(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), nodes, texts, size, percent)
     first = components(links)
 
     placed = members.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     rest = cut_lineage(placed.join(open_keys, "key", "left_semi"))
-    small = _across(rest.where(F.col("members") <= SMALL_BUCKET), "key", percent)
+    small = _across(rest.where(F.col("members") <= SMALL_BUCKET), ["key"], percent)
     large = rest.where(F.col("members") > SMALL_BUCKET)
-    pairs = small if large.isEmpty() else small.union(_prefix_pairs(large, texts, percent)).distinct()
-    tested = rest.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    pairs = small if large.isEmpty() else small.union(_beyond_leader_pairs(large, texts, percent)).distinct()
+    tested = rest.where("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
     more = _verified(pairs.join(tested.distinct(), ["a", "b"], "left_anti"), nodes, texts, size, percent)
 
     if more.isEmpty():
