@@ -71,7 +71,9 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_digits": F.regexp_count("__t", F.lit(r"[0-9]")),
         "n_marks": F.regexp_count("__t", F.lit(r"[!?]")),
     }
-    return out.withColumns({k: v.cast("long") for k, v in counts.items()}).drop("__t", "__trimmed", "__words", "__lines", "__windows", "__again")
+    out = out.select(*docs.drop(*counts).columns, F.struct(*[v.cast("long").alias(k) for k, v in counts.items()]).alias("__counts"))
+    # a generator: the optimizer pushes no filter on the statistics below it, where each use would spell them out anew
+    return out.select(*docs.drop(*counts).columns, F.inline(F.array("__counts")))
 
 
 Condition = tuple[str, str, float]
@@ -175,10 +177,5 @@ def op6_quality_decision_list(spark, sf_dir: str) -> DataFrame:
 
 
 def good_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules keep.
-
-    The row number is there for the optimizer: a filter isn't pushed below a projection with it, so the statistics are
-    evaluated once and not spelt out anew, many times over, in the filter.
-    """
-    judged = judge(docs, read(spark, sf_dir, "labels")).withColumn("__row", F.monotonically_increasing_id())
-    return judged.where(F.col("kept") & (F.col("__row") >= 0)).select(*docs.columns)
+    """Pipeline stage: documents that the rules keep."""
+    return judge(docs, read(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
