@@ -3,15 +3,16 @@
 The pages of a host are merged into one tree: a node is a path of elements with their classes and ids, and knows in how
 many pages it stands, which child sequences (presentation) and which own texts (content) it has there, and how often.
 Importance of a node = (1 - 0.9**l) * presentation + 0.9**l * content, for l presentations, each term an entropy over
-pages divided by its maximum: 1 where pages differ, 0 where they repeat. Branches of low importance are removed.
+pages divided by its maximum: 1 where pages differ, 0 where they repeat. At nodes of low importance the own texts that
+repeat are removed, each by its content; what other pages or the elements below hold stays.
 
 Two things bound what entropy can say. Menus, adverts or footers may differ from page to page, so elements whose kind or
-class names such a part have importance 0 from the start. And a host may repeat one article, so a node inside the main
-element is removed only if some other node there is important; for hosts with fewer than `MIN_PAGES` pages with a node
-only the first rule applies.
+class names such a part have importance 0 from the start. And a host may repeat one article, so a text inside the main
+element is removed only if another node there is important, weighted by its share of the host's pages; a page of which
+nothing would be left keeps all. For hosts with fewer than `MIN_PAGES` pages with a node only the first rule applies.
 
 Distribution: (host, node, presentation, content) counts are added up per task before they are shuffled and spread over
-all their keys; a hot host is never gathered. Only removed nodes, as lists per host, are joined to the pages: by
+all their keys; a hot host is never gathered. Only removed texts (node and content hash), as lists per host, are joined to the pages: by
 broadcast up to `BROADCAST_NODES` of them, else by a join on the host that Spark can split.
 
 Defined results: null and empty html give an empty text; so does a page that is all menu; broken and cut-off markup is
@@ -129,8 +130,28 @@ def walk(page: str | None) -> Iterator[tuple[str, str, bool, bool, str]]:
         stack.append((tag, path, main, beside))
 
 
+def _own(texts: list[str]) -> int:
+    """The content hash of a node's own texts in a page; -1 without any."""
+    own = " ".join("".join(texts).split())
+    return xxhash.xxh3_64_intdigest(own) >> 1 if own else -1
+
+
 def main_text(page: str | None, removed: frozenset = frozenset()) -> str:
-    """The text of the blocks that no removed or beside branch holds: of the main elements, else of the whole page."""
+    """The text of the blocks of no beside branch: of the main elements, else of the whole page. removed: (node, content)
+    of own texts that go; if nothing would be left, all stay."""
+    gone: set[str] = set()
+    if removed:
+        texts: dict[str, list[str]] = {}
+        nodes = {node for node, _ in removed}
+        for kind, path, _, beside, what in walk(page):
+            if kind == "text" and not beside and path in nodes:
+                texts.setdefault(path, []).append(what)
+        gone = {path for path, own in texts.items() if (path, _own(own)) in removed}
+    text = _block_text(page, gone)
+    return text if text or not gone else _block_text(page, set())
+
+
+def _block_text(page: str | None, gone: set[str]) -> str:
     main_blocks: list[str] = []
     all_blocks: list[str] = []
     now: list[tuple[bool, str]] = []
@@ -142,15 +163,10 @@ def main_text(page: str | None, removed: frozenset = frozenset()) -> str:
                 blocks.append(text)
         now.clear()
 
-    has_main, gone = False, {}
+    has_main = False
     for kind, path, main, beside, what in walk(page):
         if kind == "text":
-            if not beside:
-                if removed:
-                    if path not in gone:
-                        gone[path] = any(path == r or path.startswith(f"{r}/") for r in removed)
-                    if gone[path]:
-                        continue
+            if not beside and path not in gone:
                 now.append((main, what))
         elif kind == "block":
             if now:
@@ -180,13 +196,12 @@ def styles(page: str | None) -> dict[str, tuple[int, int, bool]]:
     out = {}
     for path, main in inside.items():
         sequence = [x for k, x in enumerate(children.get(path, [])) if k == 0 or x != children[path][k - 1]]
-        own = " ".join("".join(texts.get(path, [])).split())
-        out[path] = (xxhash.xxh3_64_intdigest("\0".join(sequence)) >> 1, xxhash.xxh3_64_intdigest(own) >> 1 if own else -1, main)
+        out[path] = (xxhash.xxh3_64_intdigest("\0".join(sequence)) >> 1, _own(texts.get(path, [])), main)
     return out
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """host, node, main, n_pages, importance. pages: host, html."""
+    """host, node, main, texts, n_pages, importance, and the contents (content, n) that repeat. pages: host, html."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -213,19 +228,25 @@ def importance(pages: DataFrame) -> DataFrame:
     spread = lambda total, logs: F.when(total > 1, F.greatest(F.lit(0.0), (F.log(total) - logs / total) / F.log(total))).otherwise(1.0)
     logs = F.sum(F.col("n") * F.log("n")).alias("logs")
     presentation = by_style.groupBy("host", "node").agg(F.sum("n").alias("n_pages"), F.count("*").alias("l"), logs).select("host", "node", "n_pages", "l", spread(F.col("n_pages"), F.col("logs")).alias("presentation"))
-    content = by_content.groupBy("host", "node").agg(F.sum("n").alias("m"), F.max("main").alias("main"), F.max(F.when(F.col("content") != -1, 1).otherwise(0)).alias("texts"), logs).select("host", "node", "main", "texts", spread(F.col("m"), F.col("logs")).alias("content"))
+    repeats = F.when((F.col("content") != -1) & (F.col("n") >= MIN_PAGES // 2), F.struct("content", "n"))
+    content = by_content.groupBy("host", "node").agg(F.sum("n").alias("m"), F.max("main").alias("main"), F.max(F.when(F.col("content") != -1, 1).otherwise(0)).alias("texts"), F.collect_list(repeats).alias("repeats"), logs).select("host", "node", "main", "texts", "repeats", spread(F.col("m"), F.col("logs")).alias("content"))
     decay = F.pow(F.lit(DECAY), F.col("l"))
     both = (1 - decay) * F.col("presentation") + decay * F.col("content")
-    return presentation.join(content, ["host", "node"]).select("host", "node", "main", "texts", "n_pages", both.alias("importance"))
+    return presentation.join(content, ["host", "node"]).select("host", "node", "main", "texts", "repeats", "n_pages", both.alias("importance"))
 
 
 def removed_nodes(pages: DataFrame) -> DataFrame:
-    """host, nodes: the branches with texts that are repeated over a host's pages."""
+    """host, nodes (node, content): the own texts that are repeated over a host's pages.
+
+    A content repeats if it stands on `MIN_PAGES` pages, or on half of them where that is less.
+    """
     nodes = importance(pages).where("texts = 1")
-    tops = nodes.where("main").groupBy("host").agg(F.max("importance").alias("top"))
+    tops = nodes.where("main").groupBy("host").agg(F.max(F.when(F.col("n_pages") >= MIN_PAGES, F.col("importance") * F.col("n_pages"))).alias("weight"), F.max("n_pages").alias("most"))
+    tops = tops.select("host", (F.col("weight") / F.col("most")).alias("top"))
     low = nodes.where((F.col("importance") < LOW) & (F.col("n_pages") >= MIN_PAGES)).join(tops, "host", "left")
     low = low.where(~F.col("main") | (F.col("top") >= HIGH))
-    return low.groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
+    texts = low.select("host", "node", "n_pages", F.explode("repeats").alias("x")).where(F.col("x.n") >= F.least(F.lit(MIN_PAGES), F.col("n_pages") / 2))
+    return texts.groupBy("host").agg(F.sort_array(F.collect_set(F.struct("node", "x.content"))).alias("nodes"))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -239,7 +260,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page, frozenset(nodes or ())) for page, nodes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = [main_text(page, frozenset((x["node"], x["content"]) for x in nodes or ())) for page, nodes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = rows.schema["page_id"].dataType.simpleString()

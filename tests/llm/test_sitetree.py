@@ -47,3 +47,21 @@ def test_odd_rows(spark):
     pages = spark.createDataFrame([(None, None, None, "h"), (1, "http://x/", "", "h"), (2, None, "<p>é ☃</p>", "h"), (2, None, "<p>é ☃</p>", "h")], "page_id long, url string, html string, host string")
     assert sorted((r.page_id or 0, r.url, r.text, r.n_chars) for r in extract_main_text(pages).collect()) == [(0, None, "", 0), (1, "http://x/", "", 0), (2, None, "é ☃", 3), (2, None, "é ☃", 3)]
     assert extract_main_text(pages.limit(0)).collect() == []
+
+
+def test_hosts_of_copies_keep_every_article(spark):
+    page = lambda p, more="", menu="<div class=top>Same words</div>": f"<html><body>{menu}<article><h1>Head</h1><p>{p}</p>{more}</article></body></html>"
+    rows = [(i, "http://a.org/x", page("One story for many pages")) for i in range(90)] + [(100 + i, "http://a.org/y", page(f"Story {i} of its own {i * 7}")) for i in range(10)]
+    rows += [(200, "http://a.org/z", page("One story for many pages", "<h2>Rare words</h2>"))]
+    # a node that is important, but stands on a few pages only
+    rows += [(1000 + k, "http://b.org/x", page("One story for many pages", f"<h2>Part {k}</h2>" if k < 9 else "")) for k in range(90)]
+    # without a main element: pages that are nothing but a copy stay too
+    rows += [(2000 + k, "http://c.org/x", f"<div><p>{'One story' if k < 90 else f'Story {k}'}</p></div>") for k in range(100)]
+    # repeated words around texts that differ
+    rows += [(3000 + k, "http://d.org/x", f"<article>By the staff<p>Story {k} of d</p></article>") for k in range(20)]
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(90)} == {"Head One story for many pages"} and got[200] == "Head One story for many pages Rare words"
+    assert all(got[100 + i] == f"Head Story {i} of its own {i * 7}" for i in range(10))
+    assert got[1000] == "Head One story for many pages Part 0" and got[1050] == "Head One story for many pages"
+    assert {got[2000 + k] for k in range(90)} == {"One story"} and got[2095] == "Story 95"
+    assert all(got[3000 + k] == f"Story {k} of d" for k in range(20))
