@@ -7,7 +7,9 @@ pages divided by its maximum: 1 where pages differ, 0 where they repeat. At node
 repeat are removed, each by its content; what other pages or the elements below hold stays.
 
 Two things bound what entropy can say. Menus, adverts or footers may differ from page to page, so elements whose kind or
-class names such a part have importance 0 from the start. And a host may repeat one article, so a text inside the main
+class names such a part have importance 0 from the start. A class or id names one only by a whole token of such words
+(`sidebar`, `ad-slot`, but not `has-sidebar` or `ad-free`); where that would leave a page without any of its article and
+main elements, names don't count on the elements around them. And a host may repeat one article, so a text inside the main
 element is removed only if another node there is important, weighted by its share of the host's pages; a page of which
 nothing would be left keeps all. For hosts with fewer than `MIN_PAGES` pages with a node only the first rule applies.
 
@@ -26,6 +28,7 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -51,13 +54,36 @@ ASIDE_NAMES = frozenset(
     sidebar sidebars widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs header footer masthead topbar comment comments commentlist reply replies respond disqus share sharing
     social related recommended recommendations toolbar login signup search pagination pager skip disclaimer alert""".split()
 )
+#: Parts of the main element's discussion, and lists of other articles: around an article they still name what is beside.
+AROUND_OTHERS = frozenset("comment comments commentlist reply replies respond disqus related recommended recommendations".split())
+COMMENTS = frozenset("comment comments reply".split())
+#: Words that stand beside such a word in one token without changing what it names.
+COMPANIONS = frozenset(
+    """area bar bars block blocks body bottom box boxes btn button buttons center col column container content desktop fixed form global group holder icon icons inner inline item items label
+    left link links list lists main message messages mobile module outer page panel post posts primary right row rows secondary section sections site slot slots small sticky text title top
+    unit units wrap wrapper wrappers zone""".split()
+)
+NAME = 60
 _TAG = re.compile(r"""<(?:!--(.*?)(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)(>|\Z)|[!?][^>]*(?:>|\Z))""", re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
+_MAIN = re.compile(r"<(?:article|main)\b", re.I)
+_MAIN_NAME = re.compile(r"(?:article|main)(?=[.#]|\Z)")
+
+
+@lru_cache(50_000)
+def _named(value: str) -> tuple[bool, bool, bool]:
+    """Whether a token of a class or id names a part beside the main text, one around other articles, a comment."""
+    found = [False, False, False]
+    for token in value.split():
+        words = {w for w in _WORDS.findall(token) if len(w) > 1} - COMPANIONS
+        for k, names in enumerate((ASIDE_NAMES, AROUND_OTHERS, COMMENTS)):
+            found[k] |= bool(words) and words <= ASIDE_NAMES and not words.isdisjoint(names)
+    return tuple(found)
 
 
-def _signature(tag: str, attributes: str) -> tuple[str, bool]:
-    """The name of an element in the style tree, and whether it is a part beside the main text."""
+def _signature(tag: str, attributes: str, around: bool = False) -> tuple[str, bool]:
+    """The name of an element in the style tree, and whether it is a part beside the main text. around: it holds what would be main."""
     beside, name = tag in ASIDE_TAGS, tag
     if "=" in attributes:
         for key, *values in _NAMED.findall(attributes):
@@ -65,15 +91,36 @@ def _signature(tag: str, attributes: str) -> tuple[str, bool]:
             if key == "role":
                 beside |= value.strip() in ASIDE_ROLES
             else:
-                beside |= tag not in ("html", "body", "article", "main") and not ASIDE_NAMES.isdisjoint(_WORDS.findall(value)) or tag == "article" and not {"comment", "comments", "reply"}.isdisjoint(_WORDS.findall(value))
-                name += (("." if key == "class" else "#") + re.sub(r"\d+", "0", " ".join(value.split())))[:60]
+                aside, others, comment = _named(value)
+                beside |= tag not in ("html", "body", "article", "main") and (others if around else aside) or tag == "article" and comment
+                shown = ("." if key == "class" else "#") + re.sub(r"\d+", "0", " ".join(value.split()))
+                name += shown if len(shown) <= NAME else f"{shown[: NAME - 17]}~{xxhash.xxh3_64_hexdigest(shown)}"
     return name, beside
 
 
 def walk(page: str | None) -> Iterator[tuple[str, str, bool, bool, str]]:
     """("open" | "text" | "block" | "blank", path, inside the main element, beside the main text, name or text) in page order."""
-    page = page or ""
-    stack = [("", "", False, False)]  # tag, path, main, beside
+    if not page:
+        return
+    around: frozenset = frozenset()
+    if _MAIN.search(page):
+        lost = False
+        for kind, _, main, _, what in _walk(page):
+            if kind == "open" and main:
+                break
+            lost |= kind == "open" and _MAIN_NAME.match(what) is not None
+        else:
+            if lost:
+                found: set[int] = set()
+                for _ in _walk(page, None, found):
+                    pass
+                around = frozenset(found)
+    yield from _walk(page, around)
+
+
+def _walk(page: str, around: frozenset | None = frozenset(), found: set | None = None) -> Iterator[tuple[str, str, bool, bool, str]]:
+    """walk, with the places of elements whose names don't count (None: of all); found gets the places around main elements."""
+    stack = [("", "", False, False, 0)]  # tag, path, main, beside, place
     at = 0
     while at < len(page):
         m = _TAG.search(page, at)
@@ -108,13 +155,15 @@ def walk(page: str | None) -> Iterator[tuple[str, str, bool, bool, str]]:
                     break
         if tag not in INLINE:
             yield "block", "", False, False, ""
-        name, beside = _signature(tag, m[4])
-        _, path, main, within = stack[-1]
+        name, beside = _signature(tag, m[4], around is None or m.start() in around)
+        _, path, main, within, _ = stack[-1]
         if tag == "header" and main:
             beside = False  # the head of an article, with its title
         elif tag == "header":
             beside = True
         beside |= within
+        if found is not None and tag in ("article", "main") and not main and not beside:
+            found.update(x[4] for x in stack[1:])
         main = main or (tag in ("article", "main") and not beside)
         path = f"{path}/{name}"
         yield "open", path, main, beside, name
@@ -127,7 +176,7 @@ def walk(page: str | None) -> Iterator[tuple[str, str, bool, bool, str]]:
                 close = page.find(">", at)
                 at = close + 1 if close >= 0 else len(page)
             continue
-        stack.append((tag, path, main, beside))
+        stack.append((tag, path, main, beside, m.start()))
 
 
 def _own(texts: list[str]) -> int:

@@ -3,7 +3,7 @@
 import html
 import re
 
-from calibrium.llm.sitetree import extract_main_text, main_text, op8_site_style_tree, removed_nodes
+from calibrium.llm.sitetree import extract_main_text, main_text, op8_site_style_tree, removed_nodes, styles
 
 
 def test_whole_table(spark, sf):
@@ -65,3 +65,20 @@ def test_hosts_of_copies_keep_every_article(spark):
     assert got[1000] == "Head One story for many pages Part 0" and got[1050] == "Head One story for many pages"
     assert {got[2000 + k] for k in range(90)} == {"One story"} and got[2095] == "Story 95"
     assert all(got[3000 + k] == f"Story {k} of d" for k in range(20))
+
+
+def test_names_are_whole_tokens():
+    story = "<article><p>story</p></article>"
+    for name in ("layout has-sidebar", "no-sidebar", "content-with-menu", "social-studies", "ad-free", "sidebar", "menu", "page-wrapper nav"):
+        assert main_text(f'<body><div class="top ad">x</div><div class="{name}">{story}<aside>y</aside></div></body>') == "story", name
+        assert main_text(f'<div id="{name}"><div class="{name}"><main><p>story</p><p class="ads">x</p></main></div></div>') == "story", name
+    for name in ("sidebar", "ad-slot", "cookie-notice", "wide main-menu", "site-header__nav", "menu-item-12", "comments"):
+        assert main_text(f'<div class="{name}"><article>card</article></div>{story}') == "story", name
+    assert main_text('<p>text</p><div class="no-sidebar">more</div><div class="sidebar">x</div>') == "text more"
+    assert main_text(f'<div class="menu">{story}<div class="comments"><article>no</article></div></div>') == "story"
+    assert main_text('<article class="has-comments">story</article><article class="comment even">no</article>') == "story"
+
+
+def test_long_names_stay_apart():
+    name = "flex items " * 8
+    assert len(styles(f'<div class="{name} a">x</div><div class="{name} b">y</div>')) == 2
