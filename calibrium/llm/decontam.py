@@ -9,8 +9,9 @@ passage above the threshold is lost. Retrieved pairs are verified on words: the
 the question's five-word shingles and the share of the answer's words found in the passage (an item's question is its
 first two thirds).
 
-Items longer than STRIDE words are indexed in pieces of that length, so that each piece lies whole within a passage.
-The index travels by broadcast in shards of at most `SHARD` pieces; more items mean more passes over the corpus, never
+Items longer than STRIDE words are indexed in pieces of that length, so that each piece lies whole within a passage; what
+is left at the end, however short, finds pairs by its own score but is verified as the item's last STRIDE words. These are
+indexed besides, for leaks that lie across the last cut, and give a pair only where it is a leak. Counts of pieces and terms and the mean length are those of all items, in one shard or many. The index travels by broadcast in shards of at most `SHARD` pieces; more items mean more passes over the corpus, never
 a larger broadcast. Nothing is shuffled but the few pairs found.
 
 Defined results: null and empty texts and items match nothing; items without words are ignored; items with the same id
@@ -43,24 +44,32 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_TO_WORDS).split()
 
 
+def pieces_of(text: str | None) -> list[list[bytes]]:
+    words = words_of((text or "").encode())
+    return [words[at : at + STRIDE] for at in range(0, len(words), STRIDE)]
+
+
 class Index:
     """Impacts of each term in each piece, and their maxima over blocks of pieces."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
-        self.pieces = []
+    def __init__(self, items: list[tuple[int | None, str | None]], counts: tuple[int, int, dict] | None = None):
+        """counts: pieces, their words, and pieces by term, where `items` aren't all there are."""
+        self.pieces = [(item, piece) for item, text in items for piece in pieces_of(text)]
+        n = self.bridges = len(self.pieces)
+        held = [words for _, words in self.pieces]
         for item, text in items:
-            words = words_of((text or "").encode())
-            for at in range(0, len(words), STRIDE):
-                self.pieces.append((item, words[at : at + STRIDE]))
+            last = pieces_of(text)[-2:]
+            if len(last) == 2 and len(last[1]) < STRIDE:
+                self.pieces.append((item, (last[0] + last[1])[-STRIDE:]))
+        self.terms = {w: i for i, w in enumerate(sorted({w for _, words in self.pieces for w in words}))}
+        total, length, df = counts or (n, sum(map(len, held)), Counter(w for words in held for w in set(words)))
         n = len(self.pieces)
-        df = Counter(w for _, words in self.pieces for w in set(words))
-        self.terms = {w: i for i, w in enumerate(sorted(df))}
-        mean = sum(len(w) for _, w in self.pieces) / max(1, n)
+        mean = length / max(1, total)
         blocks = -(-n // BLOCK)
         self.impact = np.zeros((len(self.terms), blocks * BLOCK), np.float32)
         for j, (_, words) in enumerate(self.pieces):
             norm = K1 * (1 - B + B * len(words) / mean)
-            weights = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + norm) for w, tf in Counter(words).items()}
+            weights = {w: math.log(1 + (total - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + norm) for w, tf in Counter(words).items()}
             own = sum(weights.values())
             for w, x in weights.items():
                 self.impact[self.terms[w], j] = x / own
@@ -75,7 +84,8 @@ class Index:
         names = list(self.terms)
         self.essential = {names[i]: k for k, i in enumerate(rows.tolist())}
         self.bound = heavy[rows].reshape(len(rows), blocks, BLOCK).max(axis=2)
-        self.parts = [self._parts(words) for _, words in self.pieces]
+        whole = [last for _, text in items for pieces in [pieces_of(text)] for last in [*pieces[:-1], sum(pieces[-2:], [])[-STRIDE:]][: len(pieces)]]
+        self.parts = [self._parts(words) for words in whole + [words for _, words in self.pieces[self.bridges :]]]
 
     @staticmethod
     def _parts(words: list[bytes]) -> tuple[set, set]:
@@ -131,8 +141,23 @@ def grams(words: list[bytes], width: int = WIDTH) -> set:
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
 
 
-def _search(docs: DataFrame, items: list, threshold: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(Index(items))
+def _term_counts(items: DataFrame) -> DataFrame:
+    """(term, n): the pieces that hold each term, n pieces under null and their words under an empty term. items: text."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                for words in pieces_of(text):
+                    found.update({None: 1, b"": len(words)})
+                    found.update(set(words))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
+
+    return items.select("text").mapInArrow(count, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def _search(docs: DataFrame, items: list, threshold: float, counts: tuple[int, int, dict] | None = None) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(Index(items, counts))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -143,7 +168,10 @@ def _search(docs: DataFrame, items: list, threshold: float) -> DataFrame:
                 best: dict[tuple, tuple] = {}
                 for doc, piece, score, begin in index.search(words, threshold):
                     question, answer = index.verify(piece, words[doc][begin : begin + WINDOW])
-                    new = (question >= QUESTION and answer >= ANSWER, round(score, 4), round(question, 4), round(answer, 4))
+                    leaked = question >= QUESTION and answer >= ANSWER
+                    if piece >= index.bridges and not leaked:
+                        continue
+                    new = (leaked, round(score, 4), round(question, 4), round(answer, 4))
                     key = (doc, index.pieces[piece][0])
                     best[key] = max(best.get(key, new), new)
                 rows = [(ids[at + d], item, s, q, a, leaked) for (d, item), (leaked, s, q, a) in best.items()]
@@ -162,12 +190,18 @@ def benchmark_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text"))
     words = F.size(F.split(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
-    total = items.agg(F.sum(F.ceil(words / STRIDE))).first()[0] or 0
+    total = items.agg(F.sum(F.ceil(words / STRIDE) + (words > STRIDE).cast("int"))).first()[0] or 0
     shards = max(1, -(-int(total) // SHARD))
+    terms = cut_lineage(_term_counts(items)) if shards > 1 else None
     found = None
     for shard in range(shards):
         some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard)
-        part = _search(texts, sorted((tuple(r) for r in some.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), threshold)
+        counts = None
+        if terms is not None:
+            own = terms.join(_term_counts(some).select("term"), "term", "left_semi").union(terms.where("term IS NULL"))
+            by_term = {None if r.term is None else bytes(r.term): r.n for r in own.collect()}
+            counts = (by_term.pop(None, 0), by_term.pop(b"", 0), by_term)
+        part = _search(texts, sorted((tuple(r) for r in some.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), threshold, counts)
         found = part if found is None else found.union(part)
     if shards == 1:
         return found

@@ -84,3 +84,19 @@ def test_stage_drops_leaks_only(spark, tmp_path):
     docs = spark.createDataFrame([(1, item, "s"), (2, "clean", "s"), (None, "null id", "s")], "doc_id long, text string, source string")
     kept = without_leaks(spark, docs, str(tmp_path))
     assert kept.columns == docs.columns and sorted(r.text for r in kept.collect()) == ["clean", "null id"]
+
+
+def test_long_items_have_no_short_pieces(spark):
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in (65, 66, 70, 130)]
+    tails = [(n, "clean words " + " ".join(text.split()[64 * (n // 64) :]) + " and more") for n, text in items]
+    whole = [(1000 + n, f"some text {text} some text") for n, text in items] + [(2000 + n, f"x {' '.join(text.split()[-64:])} y") for n, text in items]
+    docs, bench = spark.createDataFrame(tails + whole, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in benchmark_leaks(docs, bench).where("leaked").collect()}
+    assert got == {(k + n, n) for n, _ in items for k in (1000, 2000)}
+
+
+def test_shards_have_the_counts_of_all_items(spark, sf, monkeypatch):
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    whole = sorted(map(tuple, benchmark_leaks(docs, bench).collect()))
+    monkeypatch.setattr("calibrium.llm.decontam.SHARD", 64)
+    assert sorted(map(tuple, benchmark_leaks(docs, bench).collect())) == whole
