@@ -97,6 +97,9 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = _lines(docs, min_words)
     repeated = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     suffixes = cut_lineage(lines.join(repeated, ["h1", "h2"], "left_semi"))
+    # rows with equal id and text are one document: their positions count once, else each level would square their number
+    if not suffixes.where("no = 0").groupBy("doc", "th").count().where("count > 1").isEmpty():
+        suffixes = cut_lineage(suffixes.dropDuplicates(POSITION))
     levels = [_ranked(suffixes, "h1", "h2")]
     while (1 << len(levels)) <= min_words:
         step, now = 1 << (len(levels) - 1), levels[-1]

@@ -46,3 +46,10 @@ def test_odd_rows(spark):
     kept = without_repeated_lines(spark, docs, "")
     assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.n_chars) for r in kept.collect()) == [(0, 3), (1, 0), (2, 0), (3, 359)]
     assert drop_repeated_lines(docs.limit(0)).collect() == []
+
+
+def test_repeated_rows_of_many_lines(spark):
+    own, other = "\n".join(f"line {i} of one" for i in range(60)), "\n".join(f"row {i} of two" for i in range(60))
+    rows = [(1, own), (1, own), (1, own), (None, other), (None, other), (2, f"x\n{own}")]
+    got = sorted((r.doc_id or 0, r.n_removed, r.text) for r in drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 0, other)] * 2 + [(1, 0, own)] * 3 + [(2, 60, "x")]
