@@ -162,7 +162,7 @@ pddl-1.0 | 1 | public domain | (open data commons )?public domain dedication and
 cdla-permissive | 1 | community data | community data licen[cs]e agreement permissive( (version |v )?[12] 0)?
 cdla-sharing | 1 | community data | community data licen[cs]e agreement sharing( (version |v )?1 0)?
 ogl-uk-3.0 | 1 | open government | open government licen[cs]e( v ?3( 0)?)?
-etalab-2.0 | 1 | etalab | (etalab )?(licence ouverte|open licence) (etalab |version )?2 0
+etalab-2.0 | 1 | licence | (etalab )?(licence ouverte|open licence) (etalab |version )?2 0
 etalab | 2 | licence ouverte | licence ouverte
 cecill-2.1 | 1 | cecill | cecill( free software)?( licen[cs]e)?( agreement)?( (v|version) ?2 1)
 cecill | 2 | cecill | (licence )?cecill( [bc])?( licen[cs]e)?
@@ -202,8 +202,9 @@ reserved | 1 | droits | tous droits réservés
 reserved | 1 | derechos | todos los derechos reservados
 proprietary | 1 | proprietary | proprietary and confidential
 proprietary | 1 | proprietary | (unpublished )?proprietary (source code|software|licen[cs]e)
-proprietary | 2 | reproduction | unauthori[sz]ed (copying|reproduction|distribution)( or (copying|reproduction|distribution))?( of this (file|work|document|material))? (is |in )?(strictly )?prohibited
-proprietary | 2 | reproduc | may not be (reproduced|copied)( or distributed| distributed)?( in any form)? without (the )?(prior |express |written )+(permission|consent)
+proprietary | 2 | unauthori | unauthori[sz]ed (copying|reproduction|distribution)( or (copying|reproduction|distribution))?( of this (file|work|document|material))? (is |in )?(strictly )?prohibited
+proprietary | 2 | reproduc | may not be reproduced( or distributed| distributed)?( in any form)? without (the )?(prior |express |written )+(permission|consent)
+proprietary | 2 | copied | may not be copied( or distributed| distributed)?( in any form)? without (the )?(prior |express |written )+(permission|consent)
 non-commercial | 2 | commercial | (for |only for )?(non ?commercial|personal and non ?commercial) use only
 non-commercial | 3 | commercial | (no|not for|non) commercial use
 copyright | 2 | copyright | copyright (c )?(19|20)[0-9]{2}( (19|20)[0-9]{2})?( by)?

@@ -37,18 +37,37 @@ def gate_word(keyword: str, expression: str) -> str:
     return "licen" if "licen" in rest else max(keyword.split(), key=len)
 
 
+def bounds(word: str, expression: str) -> tuple[bool, bool]:
+    """Whether `word` always begins, and always ends, a word where the expression matches; false where that isn't plain to see."""
+    places = [m.start() for m in re.finditer(re.escape(word), expression)]
+    before, after = [expression[:i] for i in places], [expression[i + len(word) :] for i in places]
+    begins = all(not x or x.endswith((" ", "(", "|", " )?", " )+")) for x in before)
+    return begins, all(not x or x.startswith((" ", ")", "|", "( ")) and not x.startswith((" ?", ")?")) for x in after)
+
+
+def _gates() -> dict[str, tuple[bool, bool]]:
+    out = {"cc": (True, True), "licen": (False, False), "reserved": (False, False)}
+    for *_, keyword, expression in rules():
+        word = gate_word(keyword, expression)
+        begins, ends = bounds(word, expression)
+        out[word] = (out.get(word, (True, True))[0] and begins, out.get(word, (True, True))[1] and ends)
+    return out
+
+
 #: A text without any of these matches no rule and holds no base phrase. What stands between words may be any marks, so only single words count here.
-GATE = sorted({gate_word(keyword, expression) for *_, keyword, expression in rules()} | {"cc", "licen", "reserved"})
+GATES = _gates()
+GATE = sorted(GATES)
 
 
 def _gate(low: Column) -> Column:
-    """Whether the lower-cased text may hold a phrase. Parts of longer gate words are enough for them."""
-    least = [k for k in GATE if not any(o != k and o in k for o in GATE)]
+    """Whether the lower-cased text may hold a phrase. Parts of longer gate words are enough for them, if they count anywhere."""
+    least = [k for k in GATE if not any(o != k and o in k and len(o) > 4 for o in GATE)]
     out = F.lit(False)
     for k in least:
-        # short words stand in many others; they must stand alone
-        alone = rf"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F]){k}(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])"
-        out = out | (F.contains(low, F.lit(k)) if len(k) > 4 else F.contains(low, F.lit(k)) & low.rlike(alone))
+        # short words stand in many others; they must begin or end a word where all their rules have them so
+        begins, ends = GATES[k]
+        alone = (r"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])" if begins else "") + k + (r"(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])" if ends else "")
+        out = out | (F.contains(low, F.lit(k)) if len(k) > 4 or not (begins or ends) else F.contains(low, F.lit(k)) & low.rlike(alone))
     return out
 
 
@@ -105,8 +124,9 @@ def _survivors(detections: Column) -> Column:
 
 def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_words, n_base, first_word, last_word, base_labels, labels, score and detections (the intervals found)."""
-    table = F.array(*[F.struct(F.lit(k).alias("id"), F.lit(label).alias("label"), F.lit(p).alias("priority"), F.lit(f" {word}").alias("keyword"), F.lit(f"(?<= )(?:{x})(?= )").alias("regex")) for k, label, p, word, x in rules()])
-    keywords = F.array(*[F.lit(f" {k}") for k in sorted({r[3] for r in rules()})])
+    key = lambda word, x: f" {word}" if bounds(word, x)[0] else word
+    table = F.array(*[F.struct(F.lit(k).alias("id"), F.lit(label).alias("label"), F.lit(p).alias("priority"), F.lit(key(word, x)).alias("keyword"), F.lit(f"(?<= )(?:{x})(?= )").alias("regex")) for k, label, p, word, x in rules()])
+    keywords = F.array(*[F.lit(k) for k in sorted({key(*r[3:]) for r in rules()})])
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.withColumn("__t", text).withColumn("__low", F.lower("__t"))
     out = out.withColumn("__words", F.when(_gate(F.col("__low")), F.regexp_extract_all(F.translate("__t", UPPER, LOWER), F.lit(WORD), F.lit(0)))).drop("__low")

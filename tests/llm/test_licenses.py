@@ -52,3 +52,38 @@ def test_odd_rows(spark):
     assert got == {t: brute(t) for t in texts}
     assert scan_licenses(docs.limit(0)).collect() == []
     assert len(RULES) > 300 and all(keyword in x for *_, keyword, x in rules())
+
+
+def matches_of(parsed):
+    """Strings that an expression matches: every alternative and option at least once."""
+    lists = []
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            lists.append([chr(arg)])
+        elif op == "NOT_LITERAL":
+            lists.append(["x"])
+        elif op == "IN":
+            lists.append(["x"] if str(arg[0][0]) == "NEGATE" else [chr(v if str(o) == "LITERAL" else v[0]) for o, v in arg])
+        elif op == "SUBPATTERN":
+            lists.append(matches_of(arg[3]))
+        elif op == "BRANCH":
+            lists.append([s for x in arg[1] for s in matches_of(x)])
+        else:
+            assert op == "MAX_REPEAT", op
+            low, some = arg[0], matches_of(arg[2])
+            lists.append([s * max(low, 1) for s in some] + [""] * (low == 0))
+    out = {"".join(x[(n // 7 ** (k % 4)) % len(x)] for k, x in enumerate(lists)) for n in range(50)}
+    return sorted(out | {"".join(x[-1] for x in lists)} | {"".join(x[n % len(x)] for x in lists) for n in range(max(map(len, lists), default=1))})
+
+
+def test_every_rule_alone_in_a_text(spark):
+    from re import _parser
+
+    texts = {"LGPL 2.1", "AGPLv3", "CC0 1.0 Universal", "GPLv3", "MPLv2", "Unauthorized copying is strictly prohibited", "may not be copied without written permission", "0BSD", "non-commercial use only", "noncommercial use only"}
+    assert all(brute(t)[5] for t in texts)
+    for *_, x in rules():
+        texts.update(s for s in matches_of(_parser.parse(x)) if re.fullmatch(x, s))
+    got = {r.text: r for r in scan_licenses(spark.createDataFrame([(t,) for t in sorted(texts)], "text string")).select("text", "n_words", "n_base", "base_labels", "labels", "score").collect()}
+    wrong = [(t, got[t].labels, brute(t)[5]) for t in texts if (got[t].n_words, got[t].n_base, got[t].base_labels, got[t].labels, got[t].score) != (*brute(t)[:2], *brute(t)[4:])]
+    assert len(texts) > 1000 and wrong == []
