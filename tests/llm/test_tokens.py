@@ -20,8 +20,17 @@ def test_whole_documents(spark, sf):
         assert WORDS.encode(r.text) == WORDS.library(r.text)
 
 
-def test_full_memo_starts_anew(monkeypatch):
-    monkeypatch.setattr(tokens, "MEMO", 5)
-    text = " ".join(f"w{i}." for i in range(40))
-    assert WORDS.encode(text) == WORDS.library(text) and WORDS.encode(text[::-1]) == WORDS.library(text[::-1])
-    assert WORDS.encode(None) == b""
+def test_full_memo_starts_anew():
+    words = tokens.WordEncoder(tokens.tokenizer_path(), limit=2000)
+    text = " ".join(f"w{'abcdefghij'[i % 10] * (i // 10 + 1)}. {'x' * 90}{i}" for i in range(60))
+    for _ in range(3):
+        assert words.encode(text) == words.library(text) and words.encode(text[::-1]) == words.library(text[::-1])
+        assert words.memo.held <= 1000 and len(words.memo) + len(words.memo.older) < 12
+    assert words.encode(None) == b""
+
+
+def test_other_tokenizer_files_go_to_the_library():
+    other = tokens.WordEncoder(tokens.tokenizer_path("byte_bpe_50k.json"))
+    assert not other.by_chunk and WORDS.by_chunk
+    text = "Two  blanks,\nand Capitals don't vanish"
+    assert other.encode(text) == other.library(text)
