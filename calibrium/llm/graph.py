@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibrium.llm.common import cut_lineage
+from calibrium.llm.common import cut_lineage, release
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     seen = _mark(now)
     while seen[0]:
-        now = cut_lineage(_small_star(_large_star(now)))
+        before, now = now, cut_lineage(_small_star(_large_star(now)))
+        release(before)
         mark = _mark(now)
         if mark == seen:
             break

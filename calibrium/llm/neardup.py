@@ -1,22 +1,29 @@
 """Operator 7, near-duplicates by MinHash bands with sequential Bayesian verification.
 
 1. A pass over the texts makes each document's set of five-word shingles (64-bit hashes), a digest of the set, 200
-   MinHash values and the keys of 40 bands of 5. Documents with equal sets form a class; one stands for it from here on.
-2. In every bucket (documents that share a band) each member is paired with the bucket's leader, the member that meets
+   MinHash values and the keys of 40 bands of 5. Documents with equal sets form a class, a node from here on.
+2. In every bucket (nodes that share a band) each member is paired with the bucket's leader, the member that meets
    most others over all its buckets: a star, so a bucket of n members makes n pairs, not n * n. The buckets of a group of
    copies tend to have one leader, the text that the others are copies of.
 3. Pairs are verified in batches of signature values: after each batch a pair is dropped if the posterior probability
    that its similarity reaches the threshold (uniform prior) is below `MISS`. Survivors are compared on their full sets.
 4. Verified links give components. Buckets whose members now lie in one component are finished. In the others the
-   pairs across components remain: up to `SMALL_BUCKET` members all of them, beyond that those which share a shingle that
-   the leader hasn't, or have a size that makes up for it; no pair above the threshold is without (`_beyond_leader_pairs`).
-   They are verified as before.
+   pairs across components remain: of up to `SMALL_BUCKET` members all of them. Larger buckets are merged by their
+   leader's component and tested as stars once more; what is still open splits into smaller groups, those which share a
+   shingle that the leader hasn't, and pairs of sizes that make up for it (`_split`). No pair above the threshold is in
+   none of them; a group has no more rows than its members' own shingles; each holds fewer members than the one before.
+   They are verified as before, up to `DEPTH` times; groups that are open then are compared member by member.
 
 A pair at similarity 0.75 shares no band with probability 2e-5, at 0.8 with 1e-7.
 
-Defined results: null, empty and blank texts have no shingles, are linked with nothing and kept; rows with the same id
-are one node; a null id counts as larger than any other and is returned as null; ties go to the smallest id; an empty
-table gives no rows; other columns are ignored, whatever their names.
+Distribution: keys with many rows (a text that a third of the table repeats, a band of a large group) are joined by
+broadcast of that key (`join_counted`), counts are added up before they are shuffled.
+
+Defined results: null, empty and blank texts have no shingles, are linked with nothing and kept; every row has the
+component of its own text, so rows that share an id may differ; a null id counts as larger than any other and is
+returned as null; ties go to the smallest id; an empty table gives no rows; other columns are ignored, whatever their
+names. The pipeline stage keeps one row of each component, the one with the smallest id (of equal ids the one with the
+smallest text hash; of rows that repeat both, one).
 """
 
 from __future__ import annotations
@@ -31,13 +38,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibrium.llm.common import bounded_batches, cut_lineage, read
+from calibrium.llm.common import bounded_batches, cut_lineage, join_counted, read, release
 from calibrium.llm.graph import components
 
 WIDTH, PERCENT = 5, 75
 BANDS, ROWS = 40, 5
 MISS, BATCH = 1e-6, 40
-SMALL_BUCKET = 32
+SMALL_BUCKET, DEPTH = 32, 12
 #: Ids (8 bytes each) up to which a set of documents to be read again is broadcast; beyond, it is joined by shuffling.
 BROADCAST_IDS = 1_000_000
 NO_ID = (1 << 63) - 1
@@ -94,7 +101,7 @@ def _sign(docs: DataFrame, bands: int, rows: int) -> DataFrame:
         salt = _mix(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
                 found = shingles(text, memo)
                 out[0].append(len(found))
                 if not len(found):
@@ -108,9 +115,9 @@ def _sign(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     key = _mix(key * _MULTIPLIERS[0] + column)
                 out[2].append(key.view(np.int64))
                 out[3].append((full >> np.uint64(40)).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary())], names=["doc_id", "n_shingles", "digest", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary())], names=["doc_id", "th", "n_shingles", "digest", "bands", "sig"])
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, digest binary, bands array<long>, sig binary")
+    return docs.mapInArrow(sign, "doc_id long, th long, n_shingles long, digest binary, bands array<long>, sig binary")
 
 
 def least_matches(size: int, percent: int = PERCENT, miss: float = MISS, batch: int = BATCH) -> list[tuple[int, int]]:
@@ -145,13 +152,13 @@ def _bayes(pairs: DataFrame, size: int) -> DataFrame:
     return pairs.mapInArrow(prune, "a long, b long")
 
 
-def _within(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows of df whose key is in ids (key, distinct)."""
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
+def _few(df: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """df, for broadcast if it has at most `limit` rows."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def _sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """(node, shingles as bytes) of the given documents, from their texts."""
+def _sets(texts: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, shingles as bytes) of the given nodes (held), each from its first text."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -159,7 +166,11 @@ def _sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
             found = [shingles(x, memo).tobytes() for x in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "hashes"])
 
-    return _within(texts.withColumnRenamed("doc_id", "node"), ids, "node").mapInArrow(gather, "node long, hashes binary")
+    wanted = cut_lineage(nodes.select("node", "low.doc_id", "low.th").join(_few(ids), "node", "left_semi"))
+    found = texts.join(_few(wanted), ["doc_id", "th"]).select("node", "text").mapInArrow(gather, "node long, hashes binary")
+    held = cut_lineage(found.groupBy("node").agg(F.first("hashes").alias("hashes")))  # a row and its repeats give one
+    release(wanted)
+    return held
 
 
 def _exact(pairs: DataFrame, percent: int) -> DataFrame:
@@ -178,101 +189,173 @@ def _exact(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar on their full sets; checkpointed."""
+    """The pairs (a, b) that are similar on their full sets; held."""
     sig = nodes.select("node", "sig")
     signed = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
     alive = cut_lineage(_bayes(signed, size))
     ids = cut_lineage(alive.select(F.col("a").alias("node")).union(alive.select("b")).distinct())
-    sets = cut_lineage(_sets(texts, ids))
+    sets = _sets(texts, nodes, ids)
     full = alive.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
-    return cut_lineage(_exact(full, percent))
+    out = cut_lineage(_exact(full, percent))
+    release(alive, ids, sets)
+    return out
+
+
+def _across(members: DataFrame, key: str, percent: int) -> DataFrame:
+    """Pairs under one key, of different components and of sizes that allow the similarity."""
+    x, y = (members.select(key, *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "component")]) for s in "ab")
+    fits = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    return x.join(y, key).where(fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def _placed(members: DataFrame, component: DataFrame) -> DataFrame:
+    """members with their components; a node without links is its own."""
+    return members.drop("component").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _merged(component: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after further links (a, b); held."""
+    if links.isEmpty():
+        return component
+    named = links.join(component.toDF("a", "ca"), "a", "left").join(component.toDF("b", "cb"), "b", "left")
+    second = components(named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    known = component.join(second.toDF("component", "top"), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return cut_lineage(known.union(second.join(component, "node", "left_anti")))
 
 
-def _beyond_leader_pairs(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components that may be similar, of the members of large buckets (leader, node, n, component).
+def _open(groups: DataFrame, key: str) -> DataFrame:
+    """The rows of groups whose members lie in several components."""
+    keys = groups.groupBy(key).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("of")).where("lo < hi").select(key, "of")
+    return join_counted(groups, keys, [key], "of").drop("of")
 
-    Let p be the leader, u a member that isn't linked with it, and x another. If all that u and x share is in p too, then
-    J(u, x) >= t > J(u, p) needs x to be small: |x| <= |u & p| * (1 + t) / t - |u| < |p|. So u and x share a shingle that p
-    hasn't, or x has one of these few sizes. Both are equi-joins on short lists; what a group has in common, which is what
-    makes its buckets large, is in p and joins nothing.
+
+def _split(groups: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Groups (g, node, n, component, leader) as smaller ones (g, node, n, component), and pairs (a, b).
+
+    Let p be the leader, u a member of another component, so not linked with p, and x a member too. If all that u and x
+    share is in p, then J(u, x) >= t > J(u, p) needs x to be small: |x| <= |u & p| * (1 + t) / t - |u| < |p|. So u and x
+    share a shingle that p hasn't, or x has one of these few sizes. Both are equi-joins on short lists; what a group has in
+    common, which is what makes it large, is in p and joins nothing. Where the sizes fit too many members, these and all
+    such u are a group of their own, without p.
     """
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            arrays = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in arrays])), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64))], names=["node", "h"])
-
-    members = cut_lineage(members.select("leader", "node", "n", "component").distinct())
-    spread = cut_lineage(_sets(texts, members.select("node").distinct()).mapInArrow(rows, "node long, h long").distinct())
-    of_leaders = spread.join(members.select(F.col("leader").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("leader"), "h")
-    own = cut_lineage(members.join(spread, "node").join(of_leaders, ["leader", "h"], "left_anti"))
-    open_keys = own.groupBy("leader", "h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("leader", "h")
-    sharing = _across(own.join(open_keys, ["leader", "h"], "left_semi"), ["leader", "h"], percent)
-
-    beyond = own.groupBy("leader", "node").agg(F.count("*").alias("beyond"))
-    linked = members.where("node = leader").select("leader", F.col("component").alias("led"))
-    apart = members.join(beyond, ["leader", "node"], "left").join(linked, "leader").where("component <> led").withColumn("shared", F.col("n") - F.coalesce("beyond", F.lit(0)))
-    low, high = F.ceil(F.col("n") * percent / 100), F.floor(F.col("shared") * (100 + percent) / percent) - F.col("n")
-    sized = apart.withColumns({"low": low, "high": high}).where("low <= high").select("leader", "node", "component", F.explode(F.sequence("low", "high")).alias("n"))
-    small = sized.join(members.select("leader", "n", F.col("node").alias("other"), F.col("component").alias("of")), ["leader", "n"]).where("component <> of")
-    return sharing.union(small.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))).distinct()
-
-
-def _across(members: DataFrame, key: list[str], percent: int) -> DataFrame:
-    """Pairs under one key, of different components and of sizes that allow the similarity."""
-    x, y = members.select(*key, *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "component")]), members.select(*key, *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "component")])
-    fits = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    return x.join(y, key).where(fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+            own = []
+            for x, p in zip(batch.column(5), batch.column(6)):
+                x, p = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(p.as_buffer(), np.int64)
+                own.append(x[~np.isin(x, p, assume_unique=True)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(own, pa.list_(pa.int64()))], names=["g", "node", "n", "component", "leader", "own"])
+
+    sets = _sets(texts, nodes, groups.select("node").distinct())
+    leaders = cut_lineage(groups.select("g", F.col("leader").alias("node")).distinct().join(sets, "node").select("g", F.col("hashes").alias("led")))
+    with_sets = groups.join(sets, "node").join(_few(leaders, 2_000), "g").select("g", "node", "n", "component", "leader", "hashes", "led")
+    held = cut_lineage(with_sets.mapInArrow(beyond, "g long, node long, n long, component long, leader long, own array<long>"))
+    release(sets, leaders)
+
+    own = held.select("g", "node", "n", "component", F.explode("own").alias("h"))
+    sharing = own.select(F.xxhash64("g", "h").alias("g"), "node", "n", "component")
+    keys = sharing.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("of"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node") % 1_000_003).alias("y")).where("lo < hi")
+    keys = cut_lineage(keys.groupBy("of", "x", "y").agg(F.min("g").alias("g")).select("g", "of"))  # groups of the same members count once
+    smaller = join_counted(sharing, keys, ["g"], "of").drop("of")
+
+    home = held.where("node = leader").select("g", F.col("component").alias("led"))
+    low, high = F.ceil(F.col("n") * percent / 100), F.floor((F.col("n") - F.size("own")) * (100 + percent) / percent) - F.col("n")
+    apart = held.join(_few(home), "g").where("component <> led").select("g", "node", "n", "component", low.alias("low"), high.alias("high")).where("low <= high")
+    sizes = held.where("node <> leader").groupBy("g", "n").agg(F.count("*").alias("of")).groupBy("g").agg(F.collect_list(F.struct("n", "of")).alias("sizes"), F.sum("of").alias("all"))
+    fitting = cut_lineage(apart.join(_few(sizes, 2_000), "g").withColumn("fit", F.filter("sizes", lambda s: s["n"].between(F.col("low"), F.col("high")))).withColumn("pairs", F.aggregate("fit", F.lit(0).cast("long"), lambda a, s: a + s["of"])).where("pairs > 0"))
+    heavy = _few(fitting.groupBy("g").agg(F.sum("pairs").alias("pairs"), F.max("all").alias("all"), F.min("low").alias("least"), F.max("high").alias("most")).where(F.col("pairs") > SMALL_BUCKET * F.col("all")).select("g", "least", "most"))
+    light = fitting.join(heavy, "g", "left_anti").select("g", "node", "component", F.explode("fit.n").alias("n"))
+    others = held.where("node <> leader").select("g", "n", F.col("node").alias("other"), F.col("component").alias("of"))
+    pairs = light.join(others, ["g", "n"]).where("component <> of").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    small = held.where("node <> leader").join(heavy, "g").where(F.col("n").between(F.col("least"), F.col("most"))).select("g", "node", "n", "component")
+    small = small.union(fitting.join(heavy, "g", "left_semi").select("g", "node", "n", "component")).distinct()
+    return smaller.union(small.withColumn("g", F.xxhash64("g", F.lit("sizes")))), pairs
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row."""
+    """doc_id, n_shingles, component_id, kept for every row, and th and first: the text's hash, and whether the row is the
+    one of its component that stays."""
     bounded_batches(docs.sparkSession)
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     signed = cut_lineage(_sign(texts, bands, rows))
-    some = signed.where("n_shingles > 0")
-    classes = some.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    nodes = cut_lineage(some.join(classes, "digest").where("doc_id = node").groupBy("digest").agg(F.first("node").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "th")).alias("low"), F.count("*").alias("rows"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    nodes = cut_lineage(classes.withColumn("node", F.monotonically_increasing_id()))
     size = bands * rows
 
     exploded = nodes.select("node", "n", F.explode("bands").alias("key"))
-    shared = exploded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    members = cut_lineage(exploded.join(shared, "key"))
-    central = members.groupBy("node").agg(F.sum("members").alias("met"))
-    leaders = members.join(central, "node").groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("minus"))).alias("x")).select("key", (-F.col("x.minus")).alias("leader"))
-    members = cut_lineage(members.join(leaders, "key"))
-    links = _verified(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), nodes, texts, size, percent)
-    first = components(links)
-
-    placed = members.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = cut_lineage(placed.join(open_keys, "key", "left_semi"))
-    small = _across(rest.where(F.col("members") <= SMALL_BUCKET), ["key"], percent)
+    shared = cut_lineage(exploded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
+    members = cut_lineage(join_counted(exploded, shared, ["key"]))
+    met = cut_lineage(members.groupBy("node").agg(F.sum("members").alias("met")))
+    leaders = cut_lineage(members.join(met, "node").groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("minus"))).alias("x"), F.count("*").alias("of")).select("key", (-F.col("x.minus")).alias("leader"), "of"))
+    release(shared)
+    led = cut_lineage(join_counted(members, leaders, ["key"], "of").drop("of"))
+    release(members, leaders)
+    star = led.where("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+    component = cut_lineage(components(_verified(star, nodes, texts, size, percent)))
+
+    rest = cut_lineage(_open(cut_lineage(_placed(led, component)), "key"))
+    tested = rest.where("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
     large = rest.where(F.col("members") > SMALL_BUCKET)
-    pairs = small if large.isEmpty() else small.union(_beyond_leader_pairs(large, texts, percent)).distinct()
-    tested = rest.where("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
-    more = _verified(pairs.join(tested.distinct(), ["a", "b"], "left_anti"), nodes, texts, size, percent)
-
-    if more.isEmpty():
-        final = first
+    home = component.select(F.col("node").alias("leader"), F.col("component").alias("g"))
+    named = cut_lineage(large.join(home, "leader", "left").withColumn("g", F.coalesce("g", "leader")).select("g", "node", "n", "component").distinct())
+    groups = _with_leaders(named, met)
+    pairs = _across(rest.where(F.col("members") <= SMALL_BUCKET), "key", percent).union(_star(groups)).distinct()
+    component = _merged(component, _verified(pairs.join(tested, ["a", "b"], "left_anti"), nodes, texts, size, percent))
+    release(led, rest)
+
+    for _ in range(DEPTH):
+        groups = cut_lineage(_open(cut_lineage(_placed(groups, component)), "g"))
+        if groups.isEmpty():
+            break
+        smaller, pairs = _split(groups, nodes, texts, percent)
+        smaller = cut_lineage(smaller)
+        counted = smaller.groupBy("g").agg(F.count("*").alias("of"))
+        few = smaller.join(counted.where(F.col("of") <= SMALL_BUCKET).select("g"), "g", "left_semi")
+        groups = _with_leaders(cut_lineage(join_counted(smaller, counted.where(F.col("of") > SMALL_BUCKET), ["g"], "of").drop("of")), met)
+        pairs = pairs.union(_across(few, "g", percent)).union(_star(groups)).distinct()
+        component = _merged(component, _verified(pairs, nodes, texts, size, percent))
+        release(smaller)
     else:
-        named = more.join(first.toDF("a", "ca"), "a", "left").join(first.toDF("b", "cb"), "b", "left")
-        joined = named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        second = components(joined)
-        known = first.join(second.toDF("component", "top"), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-        new = second.join(first, "node", "left_anti")
-        final = cut_lineage(known.union(new))
-    out = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(final, "node", "left")
-    component = F.coalesce("component", "node", "doc_id")
+        component = _merged(component, _verified(_across(_placed(groups, component), "g", percent), nodes, texts, size, percent))
+
+    known = nodes.select("digest", "node", "low", "rows").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    tops = known.groupBy("component").agg(F.min("low").alias("top"), F.count("*").alias("of"))
+    named = cut_lineage(join_counted(cut_lineage(known), cut_lineage(tops), ["component"], "of").select("digest", "rows", "top"))
+    release(nodes, met)
+    some = join_counted(signed.where("n_shingles > 0").select("doc_id", "th", "n_shingles", "digest"), named, ["digest"], "rows").select("doc_id", "th", "n_shingles", "top")
+    none = signed.where("n_shingles = 0").select("doc_id", "th", "n_shingles", F.struct("doc_id", "th").alias("top"))
+    out = some.union(none)
     shown = lambda c: F.when(c != NO_ID, c)
-    return out.select(shown(F.col("doc_id")).alias("doc_id"), "n_shingles", shown(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    first = (F.col("n_shingles") == 0) | ((F.col("doc_id") == F.col("top.doc_id")) & (F.col("th") == F.col("top.th")))
+    return out.select(shown(F.col("doc_id")).alias("doc_id"), "n_shingles", shown(F.col("top.doc_id")).alias("component_id"), (F.col("doc_id") == F.col("top.doc_id")).alias("kept"), "th", first.alias("first"))
+
+
+def _with_leaders(groups: DataFrame, met: DataFrame) -> DataFrame:
+    """groups (g, node, n, component; held) with their leaders, the members that meet most others; held."""
+    leaders = groups.join(met, "node").groupBy("g").agg(F.max(F.struct("met", (-F.col("node")).alias("minus"))).alias("x"), F.count("*").alias("of")).select("g", (-F.col("x.minus")).alias("leader"), "of")
+    return cut_lineage(join_counted(groups, cut_lineage(leaders), ["g"], "of").drop("of"))
+
+
+def _star(groups: DataFrame) -> DataFrame:
+    """Pairs of each group's leader with the members of other components."""
+    home = groups.where("node = leader").select("g", F.col("component").alias("led"))
+    return groups.join(_few(home), "g").where("component <> led").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
 
 
 def op7_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("th", "first")
 
 
 def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates the document with the smallest id."""
-    gone = cut_lineage(near_duplicates(docs).where("NOT kept").select("doc_id").distinct())
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
+    """Pipeline stage: one row of each group of near-duplicates, that with the smallest id. Rows without words all stay."""
+    judged = cut_lineage(near_duplicates(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("th").alias("__th"), "first", F.col("n_shingles") > 0))
+    judged = judged.toDF("__id", "__th", "first", "some")
+    gone = judged.where("NOT first").select("__id", "__th").distinct()
+    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__th": F.xxhash64("text")})
+    left = keyed.join(_few(cut_lineage(gone)), ["__id", "__th"], "left_anti")
+    again = cut_lineage(judged.where("first AND some").groupBy("__id", "__th").count().where("count > 1").select("__id", "__th"))
+    if not again.isEmpty():
+        repeated = left.join(_few(again), ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"])
+        left = left.join(_few(again), ["__id", "__th"], "left_anti").unionByName(repeated)
+    return left.select(*docs.columns)
