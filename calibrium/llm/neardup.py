@@ -9,10 +9,11 @@
    that its similarity reaches the threshold (uniform prior) is below `MISS`. Survivors are compared on their full sets.
 4. Verified links give components. Buckets whose members now lie in one component are finished. In the others the
    pairs across components remain: of up to `SMALL_BUCKET` members all of them. Larger buckets are merged by their
-   leader's component and tested as stars once more; what is still open splits into smaller groups, those which share a
-   shingle that the leader hasn't, and pairs of sizes that make up for it (`_split`). No pair above the threshold is in
-   none of them; a group has no more rows than its members' own shingles; each holds fewer members than the one before.
-   They are verified as before, up to `DEPTH` times; groups that are open then are compared member by member.
+   leader's component. A group's core is what many of its members share; the members nearest to it lead new stars. What is
+   still open splits into those which share a shingle beyond the core, and pairs of sizes that make up for it (`_split`).
+   No pair above the threshold is in none of them, a group has no more rows than its members' own shingles, and the
+   smaller groups are at most 1/SHARE of it. They are verified as before, up to `DEPTH` times; groups that are open then are compared
+   member by member.
 
 A pair at similarity 0.75 shares no band with probability 2e-5, at 0.8 with 1e-7.
 
@@ -44,7 +45,7 @@ from calibrium.llm.graph import components
 WIDTH, PERCENT = 5, 75
 BANDS, ROWS = 40, 5
 MISS, BATCH = 1e-6, 40
-SMALL_BUCKET, DEPTH = 32, 12
+SMALL_BUCKET, DEPTH, SHARE, LEADERS = 32, 6, 64, 4
 #: Ids (8 bytes each) up to which a set of documents to be read again is broadcast; beyond, it is joined by shuffling.
 BROADCAST_IDS = 1_000_000
 NO_ID = (1 << 63) - 1
@@ -229,47 +230,77 @@ def _open(groups: DataFrame, key: str) -> DataFrame:
     return join_counted(groups, keys, [key], "of").drop("of")
 
 
-def _split(groups: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Groups (g, node, n, component, leader) as smaller ones (g, node, n, component), and pairs (a, b).
+def _cored(groups: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """groups (g, node, n, component) with size, the members of a group; core, the number of shingles in its core; and own,
+    each member's shingles beyond it; held. A core holds the shingles of more than SMALL_BUCKET and 1/SHARE of the members, so
+    its length is bounded by that of texts."""
 
-    Let p be the leader, u a member of another component, so not linked with p, and x a member too. If all that u and x
-    share is in p, then J(u, x) >= t > J(u, p) needs x to be small: |x| <= |u & p| * (1 + t) / t - |u| < |p|. So u and x
-    share a shingle that p hasn't, or x has one of these few sizes. Both are equi-joins on short lists; what a group has in
-    common, which is what makes it large, is in p and joins nothing. Where the sizes fit too many members, these and all
-    such u are a group of their own, without p.
-    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g = batch.column(0).to_numpy()
+            for x in np.unique(g):
+                held = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column(1).filter(pa.array(g == x))]
+                h, n = np.unique(np.concatenate(held), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), x)), pa.array(h), pa.array(n)], names=["g", "h", "n"])
 
     def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = []
-            for x, p in zip(batch.column(5), batch.column(6)):
-                x, p = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(p.as_buffer(), np.int64)
-                own.append(x[~np.isin(x, p, assume_unique=True)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(own, pa.list_(pa.int64()))], names=["g", "node", "n", "component", "leader", "own"])
+            for x, core in zip(batch.column(5), batch.column(6)):
+                x, core = np.frombuffer(x.as_buffer(), np.int64), np.array(core.values, np.int64)
+                own.append(x[~np.isin(x, core, assume_unique=True)])
+            core = pa.array([len(c.values) for c in batch.column(6)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], core, pa.array(own, pa.list_(pa.int64()))], names=["g", "node", "n", "component", "size", "core", "own"])
 
     sets = _sets(texts, nodes, groups.select("node").distinct())
-    leaders = cut_lineage(groups.select("g", F.col("leader").alias("node")).distinct().join(sets, "node").select("g", F.col("hashes").alias("led")))
-    with_sets = groups.join(sets, "node").join(_few(leaders, 2_000), "g").select("g", "node", "n", "component", "leader", "hashes", "led")
-    held = cut_lineage(with_sets.mapInArrow(beyond, "g long, node long, n long, component long, leader long, own array<long>"))
-    release(sets, leaders)
+    sizes = cut_lineage(groups.groupBy("g").agg(F.count("*").alias("size")))
+    held = cut_lineage(join_counted(groups, sizes, ["g"], "size").join(sets, "node"))
+    common = held.select("g", "hashes").mapInArrow(count, "g long, h long, n long").groupBy("g", "h").agg(F.sum("n").alias("n"))
+    common = common.join(_few(sizes, 100_000), "g").where((F.col("n") > SMALL_BUCKET) & (F.col("n") * SHARE >= F.col("size")))
+    cores = cut_lineage(common.groupBy("g").agg(F.collect_list("h").alias("core")))
+    none = F.coalesce("core", F.array().cast("array<long>")).alias("core")
+    out = held.join(_few(cores, 2_000), "g", "left").select("g", "node", "n", "component", "size", "hashes", none)
+    out = cut_lineage(out.mapInArrow(beyond, "g long, node long, n long, component long, size long, core long, own array<long>"))
+    release(sets, sizes, held, cores)
+    return out
+
+
+def _stars(held: DataFrame) -> DataFrame:
+    """Pairs of the members nearest to a group's core, LEADERS of them, with all members of other components."""
+    shared = F.col("n") - F.size("own")
+    near = F.struct((shared / (F.col("n") + F.col("core") - shared)).alias("near"), (-F.col("node")).alias("minus"), "component")
+    leaders = held.groupBy("g", (F.col("node") % LEADERS).alias("k")).agg(F.max(near).alias("x")).select("g", (-F.col("x.minus")).alias("leader"), F.col("x.component").alias("led"))
+    pairs = held.join(_few(leaders, 100_000), "g").where("component <> led")
+    return pairs.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
+
 
-    own = held.select("g", "node", "n", "component", F.explode("own").alias("h"))
-    sharing = own.select(F.xxhash64("g", "h").alias("g"), "node", "n", "component")
+def _split(held: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Groups of `_cored` as smaller ones (g, node, n, component), and pairs (a, b).
+
+    Let u and x be members of two components. If all that they share is in the core, J(u, x) >= t needs
+    |u| + |x| <= (1 + t) / t * min(|u & core|, |x & core|). So they share a shingle beyond the core, or have one of a few
+    sizes. Both are equi-joins on short lists; what a group has in common, which is what makes it large, joins nothing.
+    Where the sizes fit too many members, these are a group of their own.
+    """
+    sharing = held.select("g", "node", "n", "component", F.explode("own").alias("h")).select(F.xxhash64("g", "h").alias("g"), "node", "n", "component")
     keys = sharing.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("of"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node") % 1_000_003).alias("y")).where("lo < hi")
     keys = cut_lineage(keys.groupBy("of", "x", "y").agg(F.min("g").alias("g")).select("g", "of"))  # groups of the same members count once
     smaller = join_counted(sharing, keys, ["g"], "of").drop("of")
 
-    home = held.where("node = leader").select("g", F.col("component").alias("led"))
+    # the group's main component is too large for pairs of its own; its members are met from outside
+    main = held.groupBy("g", "component").agg(F.count("*").alias("c")).groupBy("g").agg(F.max(F.struct("c", "component")).alias("x")).select("g", F.col("x.component").alias("led"))
     low, high = F.ceil(F.col("n") * percent / 100), F.floor((F.col("n") - F.size("own")) * (100 + percent) / percent) - F.col("n")
-    apart = held.join(_few(home), "g").where("component <> led").select("g", "node", "n", "component", low.alias("low"), high.alias("high")).where("low <= high")
-    sizes = held.where("node <> leader").groupBy("g", "n").agg(F.count("*").alias("of")).groupBy("g").agg(F.collect_list(F.struct("n", "of")).alias("sizes"), F.sum("of").alias("all"))
-    fitting = cut_lineage(apart.join(_few(sizes, 2_000), "g").withColumn("fit", F.filter("sizes", lambda s: s["n"].between(F.col("low"), F.col("high")))).withColumn("pairs", F.aggregate("fit", F.lit(0).cast("long"), lambda a, s: a + s["of"])).where("pairs > 0"))
-    heavy = _few(fitting.groupBy("g").agg(F.sum("pairs").alias("pairs"), F.max("all").alias("all"), F.min("low").alias("least"), F.max("high").alias("most")).where(F.col("pairs") > SMALL_BUCKET * F.col("all")).select("g", "least", "most"))
-    light = fitting.join(heavy, "g", "left_anti").select("g", "node", "component", F.explode("fit.n").alias("n"))
-    others = held.where("node <> leader").select("g", "n", F.col("node").alias("other"), F.col("component").alias("of"))
-    pairs = light.join(others, ["g", "n"]).where("component <> of").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    small = held.where("node <> leader").join(heavy, "g").where(F.col("n").between(F.col("least"), F.col("most"))).select("g", "node", "n", "component")
-    small = small.union(fitting.join(heavy, "g", "left_semi").select("g", "node", "n", "component")).distinct()
+    fit = held.select("g", "node", "n", "component", "size", low.alias("low"), high.alias("high")).where("low <= high")
+    apart = fit.join(_few(main, 100_000), "g").where("component <> led")
+    sizes = fit.groupBy("g", "n").agg(F.count("*").alias("of")).groupBy("g").agg(F.collect_list(F.struct("n", "of")).alias("sizes"))
+    apart = apart.join(_few(sizes, 2_000), "g").withColumn("fit", F.filter("sizes", lambda s: s["n"].between(F.col("low"), F.col("high")))).drop("sizes")
+    apart = cut_lineage(apart.withColumn("pairs", F.aggregate("fit", F.lit(0).cast("long"), lambda a, s: a + s["of"])).where("pairs > 0"))
+    heavy = _few(cut_lineage(apart.groupBy("g").agg(F.sum("pairs").alias("pairs"), F.max("size").alias("size"), F.min("low").alias("least"), F.max("high").alias("most")).where(F.col("pairs") > SMALL_BUCKET * F.col("size")).select("g", "least", "most")))
+    light = apart.join(heavy, "g", "left_anti").select("g", "node", "component", F.col("n").alias("its"), F.explode("fit.n").alias("n"))
+    others = fit.select("g", "n", F.col("node").alias("other"), F.col("component").alias("of"), "low", "high")
+    pairs = light.join(others, ["g", "n"]).where("component <> of AND its BETWEEN low AND high").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    small = fit.join(heavy, "g").where(F.col("n").between(F.col("least"), F.col("most"))).select("g", "node", "n", "component")
+    small = small.union(apart.join(heavy, "g", "left_semi").select("g", "node", "n", "component")).distinct()
     return smaller.union(small.withColumn("g", F.xxhash64("g", F.lit("sizes")))), pairs
 
 
@@ -299,25 +330,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     large = rest.where(F.col("members") > SMALL_BUCKET)
     home = component.select(F.col("node").alias("leader"), F.col("component").alias("g"))
     named = cut_lineage(large.join(home, "leader", "left").withColumn("g", F.coalesce("g", "leader")).select("g", "node", "n", "component").distinct())
-    groups = _with_leaders(named, met)
-    pairs = _across(rest.where(F.col("members") <= SMALL_BUCKET), "key", percent).union(_star(groups)).distinct()
-    component = _merged(component, _verified(pairs.join(tested, ["a", "b"], "left_anti"), nodes, texts, size, percent))
+    pairs = _across(rest.where(F.col("members") <= SMALL_BUCKET), "key", percent).join(tested, ["a", "b"], "left_anti")
+    component = _merged(component, _verified(pairs, nodes, texts, size, percent))
     release(led, rest)
 
+    groups = cut_lineage(_open(cut_lineage(_placed(named, component)), "g"))
     for _ in range(DEPTH):
-        groups = cut_lineage(_open(cut_lineage(_placed(groups, component)), "g"))
         if groups.isEmpty():
             break
-        smaller, pairs = _split(groups, nodes, texts, percent)
+        held = _cored(groups, nodes, texts)
+        component = _merged(component, _verified(_stars(held).distinct(), nodes, texts, size, percent))
+        still = cut_lineage(_open(cut_lineage(_placed(held, component)), "g"))
+        release(held)
+        smaller, pairs = _split(still, percent)
         smaller = cut_lineage(smaller)
-        counted = smaller.groupBy("g").agg(F.count("*").alias("of"))
+        counted = cut_lineage(smaller.groupBy("g").agg(F.count("*").alias("of")))
         few = smaller.join(counted.where(F.col("of") <= SMALL_BUCKET).select("g"), "g", "left_semi")
-        groups = _with_leaders(cut_lineage(join_counted(smaller, counted.where(F.col("of") > SMALL_BUCKET), ["g"], "of").drop("of")), met)
-        pairs = pairs.union(_across(few, "g", percent)).union(_star(groups)).distinct()
-        component = _merged(component, _verified(pairs, nodes, texts, size, percent))
-        release(smaller)
+        component = _merged(component, _verified(pairs.union(_across(few, "g", percent)).distinct(), nodes, texts, size, percent))
+        large = cut_lineage(join_counted(smaller, counted.where(F.col("of") > SMALL_BUCKET), ["g"], "of").drop("of"))
+        groups = cut_lineage(_open(cut_lineage(_placed(large, component)), "g"))
+        release(still, smaller, counted, large)
     else:
-        component = _merged(component, _verified(_across(_placed(groups, component), "g", percent), nodes, texts, size, percent))
+        component = _merged(component, _verified(_across(groups, "g", percent), nodes, texts, size, percent))
 
     known = nodes.select("digest", "node", "low", "rows").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     tops = known.groupBy("component").agg(F.min("low").alias("top"), F.count("*").alias("of"))
@@ -331,18 +365,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(shown(F.col("doc_id")).alias("doc_id"), "n_shingles", shown(F.col("top.doc_id")).alias("component_id"), (F.col("doc_id") == F.col("top.doc_id")).alias("kept"), "th", first.alias("first"))
 
 
-def _with_leaders(groups: DataFrame, met: DataFrame) -> DataFrame:
-    """groups (g, node, n, component; held) with their leaders, the members that meet most others; held."""
-    leaders = groups.join(met, "node").groupBy("g").agg(F.max(F.struct("met", (-F.col("node")).alias("minus"))).alias("x"), F.count("*").alias("of")).select("g", (-F.col("x.minus")).alias("leader"), "of")
-    return cut_lineage(join_counted(groups, cut_lineage(leaders), ["g"], "of").drop("of"))
-
-
-def _star(groups: DataFrame) -> DataFrame:
-    """Pairs of each group's leader with the members of other components."""
-    home = groups.where("node = leader").select("g", F.col("component").alias("led"))
-    return groups.join(_few(home), "g").where("component <> led").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
-
-
 def op7_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents")).drop("th", "first")
 
