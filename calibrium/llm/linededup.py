@@ -1,12 +1,13 @@
 """Operator 9, repeated runs of lines by a suffix array over line ids.
 
 A document is its sequence of lines that hold a word. A run of lines with at least `MIN_WORDS` words that occurs before,
-in an earlier document or higher up in the same one, is deleted; its first copy stays. Order is (id, text hash, line).
+in an earlier document or higher up in the same one, is deleted; its first copy stays whole, also where a later copy
+overlaps it. Order is (id, text hash, line). Words are what ASCII white space parts, everywhere in this module.
 
 1. Lines get 128-bit ids. Only lines that occur twice or more go on: no repeated run holds another line.
 2. Prefix doubling: rank 0 sorts the line ids; rank k + 1 sorts the pairs (rank k here, rank k 2**k lines on). Suffixes
    whose pair is unique leave. The distinct pairs, counted before they are shuffled, are sorted by range and numbered by
-   partition offsets, so that no task sees all copies of a hot line. Depth 2**DEPTH suffices: a shortest run with
+   partition offsets; ranks of hot lines come back by broadcast (`join_counted`), so that no task sees all copies of one. Depth 2**DEPTH suffices: a shortest run with
    MIN_WORDS words has at most MIN_WORDS lines.
 3. A longest-common-prefix interval of depth d is the suffixes that share their first d lines: those with equal ranks at
    both ends, (rank k at i, rank k at i + d - 2**k) with 2**k <= d < 2**(k + 1). For each line the shortest run with
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from calibrium.llm.common import bounded_batches, cut_lineage, read
+from calibrium.llm.common import bounded_batches, cut_lineage, join_counted, read, release
 
 MIN_WORDS = 50
 BROADCAST_DOCS = 500_000
@@ -51,8 +52,8 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
-            for doc, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                lines = (text or "").split("\n")
+            for doc, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
+                lines = (text or b"").split(b"\n")
                 counted = np.fromiter((len(x.split()) for x in lines), np.int64, len(lines))
                 at = np.flatnonzero(counted)
                 n = len(at)
@@ -80,23 +81,24 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
 def _ranked(suffixes: DataFrame, first: str, second: str) -> DataFrame:
     """(doc, th, no, rank): dense ranks of (first, second) in sorted order, for the suffixes whose pair repeats."""
     spark = suffixes.sparkSession
-    pairs = suffixes.groupBy(first, second).agg(F.count("*").alias("n")).where("n > 1").select(first, second)
-    held = cut_lineage(pairs.repartitionByRange(first, second).sortWithinPartitions(first, second).select(first, second, F.monotonically_increasing_id().alias("m")))
-    held = held.select(first, second, F.shiftright("m", 33).cast("int").alias("part"), F.col("m").bitwiseAND((1 << 33) - 1).alias("at"))
+    pairs = suffixes.groupBy(first, second).agg(F.count("*").alias("n")).where("n > 1")
+    held = cut_lineage(pairs.repartitionByRange(first, second).sortWithinPartitions(first, second).select(first, second, "n", F.monotonically_increasing_id().alias("m")))
+    held = held.select(first, second, "n", F.shiftright("m", 33).cast("int").alias("part"), F.col("m").bitwiseAND((1 << 33) - 1).alias("at"))
     base, rows = 0, []
     for part, n in sorted(tuple(r) for r in held.groupBy("part").count().collect()):  # one row a partition
         rows.append((part, base))
         base += n
     offsets = spark.createDataFrame(rows, "part int, base long")
-    ranks = held.join(F.broadcast(offsets), "part").select(first, second, (F.col("base") + F.col("at")).alias("new"))
-    return cut_lineage(suffixes.join(ranks, [first, second]).select(*POSITION, F.col("new").alias("rank")))
+    ranks = held.join(F.broadcast(offsets), "part").select(first, second, "n", (F.col("base") + F.col("at")).alias("new"))
+    return cut_lineage(join_counted(suffixes, ranks, [first, second], "n").select(*POSITION, F.col("new").alias("rank")))
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, th, runs): merged runs of lines, as places in the text, that are later copies. docs: doc, th, text."""
-    lines = _lines(docs, min_words)
-    repeated = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    suffixes = cut_lineage(lines.join(repeated, ["h1", "h2"], "left_semi"))
+    lines = cut_lineage(_lines(docs, min_words))
+    repeated = cut_lineage(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"))
+    suffixes = cut_lineage(join_counted(lines, repeated, ["h1", "h2"], "n").drop("n"))
+    release(lines, repeated)
     # rows with equal id and text are one document: their positions count once, else each level would square their number
     if not suffixes.where("no = 0").groupBy("doc", "th").count().where("count > 1").isEmpty():
         suffixes = cut_lineage(suffixes.dropDuplicates(POSITION))
@@ -104,8 +106,9 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     while (1 << len(levels)) <= min_words:
         step, now = 1 << (len(levels) - 1), levels[-1]
         on = now.select("doc", "th", (F.col("no") - step).alias("no"), F.col("rank").alias("then"))
-        shifted = now.join(on, POSITION)
+        shifted = cut_lineage(now.join(on, POSITION))
         levels.append(_ranked(shifted, "rank", "then"))
+        release(shifted)
         if levels[-1].isEmpty():
             break
     ranks = levels[0].withColumn("k", F.lit(0))
@@ -119,8 +122,11 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     placed = placed.join(ranks.select("doc", "th", "k", F.col("no").alias("end_no"), F.col("rank").alias("end_rank")), ["doc", "th", "k", "end_no"])
     placed = cut_lineage(placed.select(*POSITION, "length", "first", "last", "rank", "end_rank"))
     interval = ["length", "rank", "end_rank"]
-    heads = placed.groupBy(*interval).agg(F.min(F.struct(*POSITION)).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = placed.join(heads, interval).where(F.struct(*POSITION) != F.col("head")).select("doc", "th", "first", "last")
+    release(suffixes, *levels)
+    heads = cut_lineage(placed.groupBy(*interval).agg(F.min(F.struct(*POSITION, "last")).alias("head"), F.count("*").alias("n")).where("n > 1"))
+    copies = join_counted(placed, heads, interval, "n").where(F.struct(*POSITION, "last") != F.col("head"))
+    overlaps = (F.col("doc") == F.col("head.doc")) & (F.col("th") == F.col("head.th"))  # what the first copy covers stays
+    copies = copies.select("doc", "th", F.when(overlaps, F.greatest(F.col("first"), F.col("head.last") + 1)).otherwise(F.col("first")).alias("first"), "last")
 
     before = Window.partitionBy("doc", "th").orderBy("first", "last")
     fresh = F.coalesce(F.col("first") > F.max("last").over(before.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(True))
@@ -152,6 +158,8 @@ def without_repeated_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts without later copies; a document of which nothing is left is itself such a copy and goes."""
     out = drop_repeated_lines(docs)
     left = out.where((F.col("n_removed") == 0) | F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    if "n_chars" not in docs.columns:
+        return left.select(*docs.columns)
     return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
@@ -172,8 +180,12 @@ runs AS (
 texts AS (
   SELECT r.doc_id, r.no, r.upto, min(l.place) AS first, max(l.place) AS last, string_agg(l.line, chr(10) ORDER BY l.no) AS run
   FROM runs r JOIN lines l ON l.doc_id = r.doc_id AND l.no BETWEEN r.no AND r.upto GROUP BY ALL),
-later AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, no) AS copy FROM texts),
-gone AS (SELECT DISTINCT doc_id, unnest(generate_series(first, last)) AS place FROM later WHERE copy > 1),
+later AS (
+  SELECT *, row_number() OVER same AS copy, first_value(doc_id) OVER same AS head, first_value(last) OVER same AS upto_place
+  FROM texts WINDOW same AS (PARTITION BY run ORDER BY doc_id, no)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(CASE WHEN doc_id = head THEN greatest(first, upto_place + 1) ELSE first END, last)) AS place
+  FROM later WHERE copy > 1),
 kept AS (
   SELECT r.doc_id, count(*) AS n_lines, count(g.place) AS n_removed,
          coalesce(string_agg(r.line, chr(10) ORDER BY r.place) FILTER (WHERE g.place IS NULL), '') AS text

@@ -5,7 +5,8 @@ conditions by information gain until it covers no good text of the growing part
 pruned backwards on the rest, and is kept if it is right there often enough; what it covers leaves the sample. The rules
 become an ordered CASE expression; a text that no rule rejects is kept.
 
-The fit sees a bounded sample: at most `SAMPLE` labelled rows, those with the smallest hashes of doc_id; their
+The fit sees a bounded sample: of at most `SAMPLE` labelled rows, those with the smallest hashes of doc_id, the ones that
+the base rule lets through, so that conditions are spent where it doesn't decide; their
 statistics (a few numbers a row) go to the driver. Everything else covers all rows, without a shuffle: the sample's ids
 are broadcast (at most SAMPLE), and statistics and verdict are one projection over the scan.
 
@@ -29,6 +30,7 @@ from calibrium.llm.common import read
 
 SAMPLE, MAX_RULES, MAX_CONDITIONS, CUTS = 20_000, 12, 4, 48
 MIN_PRECISION, MIN_COVER = 0.95, 5
+BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FEATURES = {
     "n_words": "n_words",
@@ -144,7 +146,7 @@ def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "__label").limit(sample)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id")
     columns = [F.expr(e).cast("double").alias(f) for f, e in FEATURES.items()]
-    rows = with_statistics(texts).select("__label", F.pmod(F.xxhash64("__id"), F.lit(3)), *columns).collect()  # at most `sample` rows, but for repeated ids
+    rows = with_statistics(texts).where(f"NOT ({BASE_FAILED})").select("__label", F.pmod(F.xxhash64("__id"), F.lit(3)), *columns).collect()  # at most `sample` rows, but for repeated ids
     if not rows:
         return []
     table = np.array([tuple(r) for r in rows], float)
@@ -167,8 +169,7 @@ def rejected_by(rules: list[list[Condition]]) -> Column:
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """docs with statistics, base_failed, rule (the one that rejects) and kept."""
     rules = fit_rules(docs, labels, id_col, text_col, sample=sample)
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = with_statistics(docs, text_col).withColumn("base_failed", base).withColumn("rule", rejected_by(rules))
+    out = with_statistics(docs, text_col).withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("rule", rejected_by(rules))
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 

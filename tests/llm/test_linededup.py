@@ -53,3 +53,31 @@ def test_repeated_rows_of_many_lines(spark):
     rows = [(1, own), (1, own), (1, own), (None, other), (None, other), (2, f"x\n{own}")]
     got = sorted((r.doc_id or 0, r.n_removed, r.text) for r in drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(0, 0, other)] * 2 + [(1, 0, own)] * 3 + [(2, 60, "x")]
+
+
+def test_overlapping_runs_and_other_blanks(spark):
+    """A run that overlaps itself keeps its first copy whole; no-break spaces are no blanks."""
+    ten = " ".join(f"w{i}" for i in range(10))
+    period = "\n".join(" ".join(f"{k}_{i}" for i in range(13)) for k in "abc")
+    rows = [
+        (1, "\n".join([ten] * 10)),
+        (2, "\n".join([period] * 5)),
+        (3, "\n\u00a0\n".join([ten.replace("w", "v")] * 12)),
+        (4, "\n".join(["\u00a0".join(f"u{i}" for i in range(60))] * 3)),
+        (5, "\n \n".join([ten.replace("w", "t")] * 12)),
+    ]
+    got = sorted(map(tuple, drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_lines", "n_removed", "text").collect()))
+    assert got == by_sql(rows)
+    assert got[0][2] == 5 and got[3][2] == 0
+
+
+def test_hot_lines_by_broadcast(spark, sf, monkeypatch):
+    monkeypatch.setattr("calibrium.llm.common.HOT_ROWS", 2)
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(80).collect()]
+    got = drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_lines", "n_removed", "text")
+    assert sorted(map(tuple, got.collect())) == by_sql(rows)
+
+
+def test_without_a_column_of_lengths(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    assert [tuple(r) for r in without_repeated_lines(spark, docs, "").collect()] == [(1, "a b")]
