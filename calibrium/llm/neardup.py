@@ -12,8 +12,8 @@
    leader's component. A group's core is what many of its members share; the members nearest to it lead new stars. What is
    still open splits into those which share a shingle beyond the core, and pairs of sizes that make up for it (`_split`).
    No pair above the threshold is in none of them, a group has no more rows than its members' own shingles, and the
-   smaller groups are at most 1/SHARE of it. They are verified as before, up to `DEPTH` times; groups that are open then are compared
-   member by member.
+   smaller groups are at most 1/SHARE of it. They are verified as before, until all pairs of the groups left are no more than the table has texts, or
+   `DEPTH` times; groups that are open then are compared member by member.
 
 A pair at similarity 0.75 shares no band with probability 2e-5, at 0.8 with 1e-7.
 
@@ -304,9 +304,9 @@ def _split(held: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return smaller.union(small.withColumn("g", F.xxhash64("g", F.lit("sizes")))), pairs
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, pair_rows: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row, and th and first: the text's hash, and whether the row is the
-    one of its component that stays."""
+    one of its component that stays. pair_rows: pairs up to which groups are compared member by member, the number of texts by default."""
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     signed = cut_lineage(_sign(texts, bands, rows))
@@ -334,9 +334,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component = _merged(component, _verified(pairs, nodes, texts, size, percent))
     release(led, rest)
 
-    groups = cut_lineage(_open(cut_lineage(_placed(named, component)), "g"))
+    groups, total = cut_lineage(_open(cut_lineage(_placed(named, component)), "g")), pair_rows if pair_rows is not None else nodes.count()
     for _ in range(DEPTH):
-        if groups.isEmpty():
+        left = groups.groupBy("g").count().agg(F.coalesce(F.sum(F.col("count") * F.col("count")), F.lit(0))).first()[0]
+        if left <= total:
             break
         held = _cored(groups, nodes, texts)
         component = _merged(component, _verified(_stars(held).distinct(), nodes, texts, size, percent))
@@ -350,7 +351,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         large = cut_lineage(join_counted(smaller, counted.where(F.col("of") > SMALL_BUCKET), ["g"], "of").drop("of"))
         groups = cut_lineage(_open(cut_lineage(_placed(large, component)), "g"))
         release(still, smaller, counted, large)
-    else:
+    if not groups.isEmpty():
         component = _merged(component, _verified(_across(groups, "g", percent), nodes, texts, size, percent))
 
     known = nodes.select("digest", "node", "low", "rows").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
