@@ -10,8 +10,8 @@ from pyspark.sql.types import StringType
 NUMBER = r"\d[\d,]*(?:\.\d+)?(?:[eE][-+]?\d+)?%?"
 SECRET = r"(?<![A-Za-z0-9])(sk|pk|key|api|ghp|token)[-_][A-Za-z0-9_-]{8,}"
 DECISIONS = {"none": "no-call", "one": "one-call", "several": "multi-call"}
-#: Names that stand in for capitalised words.
-PLACEHOLDERS = ["Alder", "Birch", "Cedar", "Dunmore", "Elston", "Farrow", "Garnet", "Haldane", "Ingram", "Juniper", "Kestrel", "Linden"]
+#: Names that stand in for capitalised words.
+PLACEHOLDERS = ["Ostra", "Velmo", "Tarin", "Quesby", "Morwick", "Pellan", "Zindra"]
 
 
 def words(text: Column) -> Column:

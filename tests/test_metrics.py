@@ -1,4 +1,4 @@
-"""Metrics, thresholds and bootstrap on closed-form cases and against numpy."""
+"""Metrics, thresholds and bootstrap against numpy on random tables."""
 
 import math
 
@@ -11,8 +11,30 @@ from calibrium.operators import bootstrap as B
 from calibrium.operators import calibration as C
 from calibrium.operators import metrics as M
 
-P6, Y6 = [[0.75, 0.15, 0.10]] * 4 + [[0.5, 0.3, 0.2]] * 2, [0, 0, 0, 1, 0, 1]
-EYE = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
+
+def random_table(seed, n=240, k=3):
+    """Probabilities, none of them on a threshold or an edge of a bin, and labels that follow them in part."""
+    r = np.random.default_rng(seed)
+    p = np.maximum(r.dirichlet(np.ones(k) * 0.7, n), 0.0123)
+    p /= p.sum(axis=1, keepdims=True)
+    y = np.where(r.random(n) < 0.6, p.argmax(axis=1), r.integers(0, k, n))
+    return p, y
+
+
+def by_numpy(p, y, taus):
+    pred, conf = p.argmax(axis=1), p.max(axis=1)
+    right = pred == y
+    answered = conf >= np.array(taus)[pred]
+    place = np.minimum((conf * M.BINS).astype(int), M.BINS - 1)
+    f1 = [2 * (right & (y == c)).sum() / max(1, (y == c).sum() + (pred == c).sum()) for c in range(p.shape[1])]
+    return {
+        "accuracy": right.mean(),
+        "macro_f1": np.mean(f1),
+        "nll": -np.log(np.maximum(p[np.arange(len(y)), y], 1e-12)).mean(),
+        "ece": sum(abs((right[place == b] - conf[place == b]).sum()) for b in range(M.BINS)) / len(y),
+        "ask_rate": 1 - answered.mean(),
+        "selective_accuracy": right[answered].mean() if answered.any() else None,
+    }
 
 
 def scored(spark, p, y, taus=None):
@@ -33,32 +55,32 @@ def test_softmax(spark):
         rows.select(V.softmax(F.col("l"), 3, 0.0)).collect()
 
 
-def test_closed_forms(spark):
-    six = values(spark, P6, Y6, [0.6] * 3)
-    assert six.n == 6 and math.isclose(six.accuracy, 4 / 6) and abs(six.ece) < 1e-12 and math.isclose(six.ask_rate, 2 / 6) and math.isclose(six.selective_accuracy, 0.75)
-    assert math.isclose(values(spark, P6[:4], [1] * 4).ece, 0.75)
-    eye = values(spark, EYE, [0, 1, 2])
-    assert eye.ece == 0 and eye.accuracy == 1 and eye.nll == 0
-    assert math.isclose(values(spark, [EYE[i] for i in (0, 0, 1, 1)], [0, 0, 1, 1]).macro_f1, 2 / 3)
-    never = values(spark, P6, Y6, [1.01] * 3)
-    assert never.ask_rate == 1 and never.selective_accuracy is None
-    assert values(spark, P6, Y6, [0.34] * 3).ask_rate == 0
-    wrong = values(spark, [[0.0, 1.0, 0.0]], [0])
-    assert math.isclose(wrong.nll, -math.log(1e-12))
+@pytest.mark.parametrize("seed, taus", [(11, [0.55, 0.7, 0.45]), (12, [0.9, 0.4, 0.8])])
+def test_against_numpy(spark, seed, taus):
+    p, y = random_table(seed)
+    got, want = values(spark, p.tolist(), y.tolist(), taus), by_numpy(p, y, taus)
+    assert got.n == len(y)
+    for name, x in want.items():
+        assert math.isclose(got[name], x, abs_tol=1e-9), name
+
+
+def test_nobody_answered(spark):
+    p, y = random_table(13, 20)
+    got = values(spark, p.tolist(), y.tolist(), [2.0] * 3)
+    assert got.ask_rate == 1 and got.selective_accuracy is None
 
 
 def test_confusion_and_ties(spark):
-    dense = {(r.gold, r.pred): r.n for r in M.confusion(scored(spark, EYE, [1, 2, 0]), ["gauge"]).collect()}
-    assert len(dense) == 9 and {k for k, n in dense.items() if n} == {(0, 2), (1, 0), (2, 1)}
+    p, y = random_table(14, 90)
+    dense = {(r.gold, r.pred): r.n for r in M.confusion(scored(spark, p.tolist(), y.tolist()), ["gauge"]).collect()}
+    assert dense == {(g, c): int(((y == g) & (p.argmax(axis=1) == c)).sum()) for g in range(3) for c in range(3)}
     tie = spark.createDataFrame([([0.4, 0.4, 0.2],), ([0.2, 0.4, 0.4],), (None,)], "p array<double>")
     assert [r[0] for r in tie.select(V.argmax(F.col("p"))).collect()] == [0, 1, -1]
 
 
 def test_auroc(spark):
-    one = M.auroc(scored(spark, EYE, [0, 1, 2]), ["gauge"]).first()
-    assert one.auroc is None
-    two = M.auroc(scored(spark, [[0.9, 0.05, 0.05], [0.4, 0.35, 0.25]], [0, 1]), ["gauge"]).first()
-    assert two.auroc == 1
+    p, _ = random_table(15, 12)
+    assert M.auroc(scored(spark, p.tolist(), p.argmax(axis=1).tolist()), ["gauge"]).first().auroc is None  # no wrong answer
     r = np.random.default_rng(0)
     p = np.round(r.dirichlet([1, 1, 1], 300), 2) + 1e-9
     y = r.integers(0, 3, 300)
@@ -72,28 +94,41 @@ def test_auroc(spark):
 
 
 def test_temperature(spark):
-    rows = [(i, y, [2.0, 0.0, 0.0]) for i, y in enumerate([0] * 5 + [1] * 3 + [2] * 2)]
-    found = C.fit_temperature(spark.createDataFrame(rows, "ord long, y int, logits array<double>"))
-    assert abs(found["T"] - 2 / math.log(2)) < 1e-3 and found["method"] == "grid+refine"
-    flat = C.fit_temperature(spark.createDataFrame([(0, 0, [0.0] * 3), (1, 2, [0.0] * 3)], "ord long, y int, logits array<double>"))
-    assert flat["T"] == 1 and flat["method"] == "flat" and math.isclose(flat["nll"], math.log(3))
+    r = np.random.default_rng(16)
+    z, y = r.normal(0, 4, (200, 3)), r.integers(0, 3, 200)
+    y = np.where(r.random(200) < 0.6, z.argmax(axis=1), y)
+    found = C.fit_temperature(spark.createDataFrame([(i, int(c), [float(x) for x in v]) for i, (v, c) in enumerate(zip(z, y))], "ord long, y int, logits array<double>"))
+
+    def loss(t):
+        e = z / t - (z / t).max(axis=1, keepdims=True)
+        return (np.log(np.exp(e).sum(axis=1)) - e[np.arange(200), y]).mean()
+
+    assert math.isclose(found["nll"], loss(found["T"]), rel_tol=1e-9) and loss(found["T"]) <= min(loss(t) for t in np.geomspace(0.1, 20, 4000)) + 1e-7
 
 
 def test_thresholds(spark):
-    p = [[0.60, 0.25, 0.15]] * 30 + [[0.03, 0.95, 0.02]] * 30 + [[0.02, 0.03, 0.95]] * 20 + [[0.10, 0.80, 0.10]] * 10
-    y = [0] * 30 + [1] * 30 + [2] * 20 + [2] * 10
-    t = scored(spark, p, y)
-    found = C.fit_thresholds(t)
-    assert found == {"tau_global": 0.81, "taus": [0.34, 0.81, 0.34], "target_reachable": True}
-    assert C.global_threshold(t, ["gauge"]).first().tau_global == 0.81
-    curve = M.risk_coverage(t, ["gauge"]).orderBy("tau").collect()
-    assert len(curve) == 50 and curve[0].n_answered == 90 and curve[0].ask_rate == 0 and curve[-1].selective_accuracy is None
-    asks = [r.ask_rate for r in curve]
-    assert asks == sorted(asks)
-    none = C.fit_thresholds(scored(spark, [[0.9, 0.05, 0.05]] * 10, [1] * 10))
-    assert none == {"tau_global": None, "taus": [1.01] * 3, "target_reachable": False}
+    p, y = random_table(17, 400)
+    t = scored(spark, p.tolist(), y.tolist())
+    pred, conf, right = p.argmax(axis=1), p.max(axis=1), p.argmax(axis=1) == y
     grid = C.tau_grid()
-    assert len(grid) == 66 and grid[0] == 0.34 and grid[-1] == 0.99
+    share = [right[conf >= x].mean() if (conf >= x).any() else None for x in grid]
+    target = sorted(x for x in share if x is not None)[-20]  # some thresholds reach it, others don't
+    first = next(x for x, s in zip(grid, share) if s is not None and s >= target - 1e-9)
+    found = C.fit_thresholds(t, target=target)
+    assert found["tau_global"] == first == C.global_threshold(t, ["gauge"], target).first().tau_global and found["target_reachable"]
+    answered = conf >= np.array(found["taus"])[pred]
+    assert right[answered].mean() >= target - 1e-9 and answered.sum() >= (conf >= first).sum()
+    for c in range(3):  # no class can go one step lower by itself
+        lower = list(found["taus"])
+        if lower[c] > grid[0]:
+            lower[c] = grid[grid.index(lower[c]) - 1]
+            assert right[conf >= np.array(lower)[pred]].mean() < target
+    curve = M.risk_coverage(t, ["gauge"]).orderBy("tau").collect()
+    for row in curve:
+        inside = conf >= row.tau
+        assert row.n_answered == inside.sum() and math.isclose(row.ask_rate, 1 - inside.mean(), abs_tol=1e-12)
+    none = C.fit_thresholds(t, target=1.5)
+    assert none["tau_global"] is None and none["taus"] == [C.ABSTAIN] * 3 and not none["target_reachable"]
 
 
 def test_contract(spark):
@@ -120,7 +155,8 @@ def test_bootstrap_weights_equal_explicit_resamples(spark):
 
 
 def test_undefined_metrics_are_skipped(spark):
-    t = scored(spark, P6, Y6, [1.01] * 3)
+    p, y = random_table(18, 6)
+    t = scored(spark, p.tolist(), y.tolist(), [2.0] * 3)
     cell = B.bootstrap(t, B.hash_draws(spark, 6, 10), ["gauge"], ["selective_accuracy"]).first()
     assert cell.value is None and cell.lo is None and cell.n_boot_used == 0
 

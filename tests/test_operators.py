@@ -87,7 +87,7 @@ def test_text(spark):
     row = spark.createDataFrame([("Send 10 mails to Ada Lovelace, now", "key-abcdef123456 and sk_live_99999999 monkey-business", "7 of 1,000 or 0.70 and 1e-5 100%")], "a string, s string, n string")
     first, second = X.halves(F.col("a"))
     got = row.select(X.twin("a").alias("twin"), first.alias("h"), second.alias("t"), X.redact(F.col("s"), ["and"]).alias("r"), F.transform(X.number_tokens(F.col("n")), X.canonical_number).alias("n"), X.shared_prefix(F.split(F.lit("a b c"), " "), F.split(F.lit("a b d e"), " ")).alias("p")).first()
-    assert got.twin == "Send 21 mails to Alder Birch, now" and (got.h, got.t) == ("Send 10 mails", "to Ada Lovelace, now")
+    assert got.twin == "Send 21 mails to Ostra Velmo, now" and (got.h, got.t) == ("Send 10 mails", "to Ada Lovelace, now")
     assert got.r == "[redacted] [redacted] [redacted] monkey-business" and got.n == ["7", "1000", "0.7", "0.00001", "100"] and got.p == 2
 
 
