@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from calibrium.llm.common import bounded_batches, cut_lineage, read, shared_table
+from calibrium.llm.common import bounded_batches, read, shared_dir, shared_table
 from calibrium.llm.tokens import encoder, tokenizer_path
 
 END_ID, SCALE_BITS, LANES, CHECK_EVERY, BLOCK_TOKENS = 2, 20, 1024, 256, 1 << 19
@@ -159,7 +159,8 @@ def write_tokens(docs: DataFrame, target: str, path: str | None = None, id_col:
     order = [F.col("doc_id"), F.col("text")]
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ranged = (texts.repartitionByRange(partitions, "doc_id") if partitions else texts.repartitionByRange("doc_id")).sortWithinPartitions(*order)
-    blocks = cut_lineage(ranged.mapInArrow(_blocks(path, end_id, kind == "<u2"), "part int, number long, n_tokens long, docs array<long>, lengths array<long>, raw binary"))
+    shared_dir(spark)
+    blocks = ranged.mapInArrow(_blocks(path, end_id, kind == "<u2"), "part int, number long, n_tokens long, docs array<long>, lengths array<long>, raw binary").checkpoint()  # keeps the order of partitions, so that files are in order
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(vocabulary, np.int64)
