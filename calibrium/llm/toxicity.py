@@ -1,16 +1,18 @@
 """Operator 4, toxicity by a counterfactual-regularised classifier.
 
-A logistic model over the words of a text and their 4- and 5-byte prefixes. Besides the usual loss and ridge it pays for
-every change of a score when an identity term of a labelled text is swapped for another of its group, so that naming a
-group doesn't by itself raise the score.
+A logistic model over the words of a text and their 4- and 5-byte prefixes. In every labelled text of the sample each
+identity term is swapped for each other one of its group, the features of the swapped text are made anew, and besides the
+usual loss and ridge the model pays for the squared change of the score before the logistic function, so that naming a
+group doesn't by itself raise the score. Each term stands once more as a text of its own, for those that no labelled text has.
 
 The fit sees a bounded sample: the `SAMPLE` labelled rows with the smallest hashes of the id, none of them held out. Two
 narrow passes over these rows count features by class and list those of each row; to the driver go the `FEATURES` that
-tell the classes apart best and the sample's rows as lists of them. Scoring is one narrow pass over all rows with the
+tell the classes apart best, the sample's rows as lists of them, and the swaps added up by what they change: for each pair
+of terms at most one row for each set of their features that other words of a text have too. Scoring is one narrow pass over all rows with the
 weights as broadcast (at most FEATURES and the identity terms' features); nothing is shuffled but feature counts.
 
 Defined results: null, empty and wordless texts get the score of the intercept; null ids are scored, are held out by
-no fold (held_out false) and never teach; repeated rows get equal scores; labels that are null or have no document are
+no fold (held_out false) and never teach; repeated rows get equal scores; of an id with several texts the least teaches; labels that are null or have no document are
 ignored; without labels of both kinds all scores are the share of toxic labels (0 without any); an empty table gives no
 rows; other columns are ignored, whatever their names.
 """
@@ -43,9 +45,24 @@ IDENTITY_GROUPS = [
     ["immigrant", "refugee", "citizen", "foreigner"],
     ["immigrants", "refugees", "citizens", "foreigners"],
     ["disabled", "blind", "deaf", "old", "young"],
-    ["frau", "mann"],
-    ["femme", "homme"],
-    ["mujer", "hombre"],
+    ["frau", "mann", "mädchen", "junge"],
+    ["frauen", "männer", "jungen"],
+    ["christ", "muslim", "jude", "hindu", "atheist"],
+    ["christen", "muslime", "juden", "hindus", "atheisten"],
+    ["schwarze", "weiße", "deutsche", "türken", "araber", "ausländer", "flüchtlinge"],
+    ["schwul", "lesbisch", "behindert"],
+    ["femme", "homme", "fille", "garçon"],
+    ["femmes", "hommes", "filles", "garçons"],
+    ["chrétien", "musulman", "juif", "hindou", "athée"],
+    ["chrétiens", "musulmans", "juifs", "hindous", "athées"],
+    ["noirs", "blancs", "arabes", "africains", "étrangers", "immigrés", "réfugiés"],
+    ["lesbienne", "homosexuel", "handicapé"],
+    ["mujer", "hombre", "niña", "niño"],
+    ["mujeres", "hombres", "niñas", "niños"],
+    ["cristiano", "musulmán", "judío", "hindú", "ateo"],
+    ["cristianos", "musulmanes", "judíos", "hindúes", "ateos"],
+    ["negros", "blancos", "árabes", "africanos", "extranjeros", "inmigrantes", "refugiados"],
+    ["lesbiana", "homosexuales", "discapacitado"],
 ]
 
 
@@ -74,40 +91,39 @@ class Model:
         return 1 / (1 + math.exp(-z)) if z > -500 else 0.0
 
 
-def swap_rows(names: dict[bytes, int], seen: Counter) -> tuple[np.ndarray, np.ndarray]:
-    """Feature changes of the swaps, and how often each is met: once, and once more per row that has the term."""
-    rows, weights = [], []
+def partners() -> dict[bytes, set[bytes]]:
+    """Each identity term and those it is swapped for."""
+    out: dict[bytes, set[bytes]] = {}
     for group in IDENTITY_GROUPS:
         for x in group:
-            for y in group:
-                if x != y:
-                    change = np.zeros(len(names))
-                    for f in features(y.encode()):
-                        change[names[f]] += 1
-                    for f in features(x.encode()):
-                        change[names[f]] -= 1
-                    rows.append(change)
-                    weights.append((1 + seen[x]) / (len(group) - 1))
-    return np.array(rows), np.array(weights)
-
-
-def train(rows: list[list[int]], toxic: np.ndarray, swaps: np.ndarray, weights: np.ndarray, size: int) -> tuple[float, np.ndarray]:
-    """Intercept and weights: logistic loss + RIDGE/2 |w|^2 + SWAP/2 sum(weights * (swaps . w)^2), by momentum steps."""
+            out.setdefault(x.encode(), set()).update(y.encode() for y in group if y != x)
+    return out
+
+
+def swaps_of(words: set[bytes], others: dict[bytes, set[bytes]]) -> Iterator[tuple[int, frozenset, frozenset]]:
+    """(terms of x's kind besides x, features gained, features lost) of every swap of a term x of the text for another."""
+    held = Counter(f for w in words for f in features(w))
+    for x in words & others.keys():
+        old = features(x)
+        for y in others[x]:
+            new = features(y)
+            yield len(others[x]), frozenset(f for f in new if f not in held), frozenset(f for f in old if held[f] == 1 and f not in new)
+
+
+def train(rows: list[list[int]], toxic: np.ndarray, used: np.ndarray, swaps: np.ndarray, weights: np.ndarray, size: int) -> tuple[float, np.ndarray]:
+    """Intercept and weights: logistic loss + RIDGE/2 |w|^2 + SWAP/2 sum(weights * (swaps . w[used])^2), by momentum steps."""
     index = np.fromiter((i for r in rows for i in r), np.int64, sum(map(len, rows)))
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     n = len(rows)
     scale = np.sqrt(np.bincount(index, minlength=size) + RIDGE)  # a step for each feature, by how often it is met
     w, bias, velocity, v0 = np.zeros(size), math.log(toxic.mean() / (1 - toxic.mean())), np.zeros(size), 0.0
-    used = np.flatnonzero(np.abs(swaps).sum(axis=0)) if len(swaps) else np.empty(0, np.int64)
-    near = swaps[:, used] if len(swaps) else swaps
-    gram = SWAP * (near * weights[:, None]).T @ near if len(swaps) else np.zeros((0, 0))
-    scale[used] = np.sqrt(scale[used] ** 2 + np.abs(gram).sum(axis=1)) if len(used) else scale[used]
+    gram = SWAP * (swaps * weights[:, None]).T @ swaps
+    scale[used] = np.sqrt(scale[used] ** 2 + np.abs(gram).sum(axis=1))
     for _ in range(STEPS):
         z = bias + np.bincount(owner, weights=w[index], minlength=n)
         error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic
         grad = np.bincount(index, weights=error[owner], minlength=size) + RIDGE * w
-        if len(used):
-            grad[used] += gram @ w[used]
+        grad[used] += gram @ w[used]
         velocity = 0.9 * velocity - 0.1 * grad / scale**2 * 2
         v0 = 0.9 * v0 - 0.1 * 2 * error.sum() / n
         w += velocity
@@ -120,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     bounded_batches(docs.sparkSession)
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label"))
     chosen = chosen.where(~held_out(F.col("__id"))).orderBy(F.xxhash64("__id"), "__id", "__label").limit(sample)
-    rows = cut_lineage(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id").select("__id", "__label", "__text"))
+    rows = cut_lineage(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen.distinct()), "__id").groupBy("__id", "__label").agg(F.min("__text").alias("__text")))
     share = rows.agg(F.count("*"), F.avg(F.col("__label").cast("double"))).first()
     if not share[0] or share[1] in (0.0, 1.0):
         p = min(max(share[1] or 0.0, 1e-9), 1 - 1e-9)
@@ -142,9 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n, bad = F.col("n").cast("double"), F.col("bad").cast("double")
     tells = part(bad, n * toxic / total) + part(n - bad, n * (1 - toxic / total)) + part(toxic - bad, (total - n) * toxic / total) + part(total - n - toxic + bad, (total - n) * (1 - toxic / total))
     best = [bytes(r.f) for r in counted.orderBy(F.round(tells, 6).desc(), "f").limit(FEATURES).collect()]
-    terms = [x.encode() for group in IDENTITY_GROUPS for x in group]
+    others = partners()
     names: dict[bytes, int] = {}
-    for f in [*best, *(f for t in terms for f in features(t))]:
+    for f in [*best, *(f for t in sorted(others) for f in features(t))]:
         names.setdefault(f, len(names))
     shared = docs.sparkSession.sparkContext.broadcast(names)
 
@@ -155,10 +171,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["id", "label", "found"])
 
     table = sorted((r.id, r.label, r.found) for r in rows.select("__id", "__label", "__text").mapInArrow(listed, "id string, label int, found array<int>").collect())  # the sample
-    whole = {names[b"w" + t]: t.decode() for t in terms}
-    seen = Counter(whole[i] for r in table for i in r[2] if i in whole)
-    swaps, weights = swap_rows(names, seen)
-    bias, w = train([r[2] for r in table], np.array([float(r[1] != 0) for r in table]), swaps, weights, len(names))
+
+    def swapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                met.update(swaps_of(set(words_of(text)), others))
+        cells = [(k, sorted(shared.value[f] for f in gained), sorted(shared.value[f] for f in lost), n) for (k, gained, lost), n in met.items()]
+        yield pa.RecordBatch.from_pylist([dict(zip(kinds.names, c)) for c in cells], schema=kinds)
+
+    kinds = pa.schema([("others", pa.int32()), ("gained", pa.list_(pa.int32())), ("lost", pa.list_(pa.int32())), ("n", pa.int64())])
+    changes = rows.select("__text").mapInArrow(swapped, "others int, gained array<int>, lost array<int>, n long").groupBy("others", "gained", "lost").agg(F.sum("n").alias("n"))
+    met = Counter({(r.others, tuple(r.gained), tuple(r.lost)): r.n for r in changes.collect()})  # bounded by the pairs of terms
+    for x in others:
+        met.update((k, tuple(sorted(names[f] for f in gained)), tuple(sorted(names[f] for f in lost))) for k, gained, lost in swaps_of({x}, others))
+    used = np.array(sorted({names[f] for t in others for f in features(t)}))
+    place = {int(i): k for k, i in enumerate(used)}
+    swaps, weights = np.zeros((len(met), len(used))), np.zeros(len(met))
+    for row, ((k, gained, lost), n) in enumerate(sorted(met.items())):
+        swaps[row, [place[i] for i in gained]] = 1
+        swaps[row, [place[i] for i in lost]] = -1
+        weights[row] = n / k
+    bias, w = train([r[2] for r in table], np.array([float(r[1] != 0) for r in table]), used, swaps, weights, len(names))
     return Model(bias, {f: float(w[i]) for f, i in names.items() if w[i]})
 
 

@@ -1,6 +1,7 @@
 """Operator 4: folds, held-out accuracy, and the swap penalty."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -47,6 +48,37 @@ def test_swaps_take_the_weight_from_identity_terms(spark, monkeypatch):
     assert fair.score(b"vile scum") > 0.5 > fair.score(b"good morning to every muslim and gay person")
 
 
+def test_swaps_are_those_of_the_swapped_texts():
+    r = np.random.default_rng(5)
+    others = T.partners()
+    terms = sorted(others)
+    for _ in range(200):
+        words = {str(w).encode() for w in r.choice(["christmas", "blackboard", "muslin", "blind", "olden", "hello"], 3)} | {terms[i] for i in r.integers(len(terms), size=2)}
+        expected = Counter()
+        for x in words & others.keys():
+            for y in others[x]:
+                before, after = T.features_of(b" ".join(words)), T.features_of(b" ".join(words - {x} | {y}))
+                expected[len(others[x]), frozenset(after - before), frozenset(before - after)] += 1
+        assert Counter(T.swaps_of(words, others)) == expected
+
+
+def test_training_finds_the_least_loss():
+    r = np.random.default_rng(6)
+    rows = [sorted(r.choice(6, 3, replace=False).tolist()) for _ in range(300)]
+    toxic = np.array([float(r.random() < (0.8 if 0 in row else 0.2)) for row in rows])
+    used, swaps, weights = np.array([0, 1, 2]), np.array([[1.0, -1, 0], [0, 1, -1]]), np.array([0.02, 0.5])
+    x = np.array([[float(i in row) for i in range(6)] for row in rows])
+
+    def loss(bias, w):
+        z = bias + x @ w
+        return np.sum(np.log1p(np.exp(z)) - toxic * z) + T.RIDGE / 2 * w @ w + T.SWAP / 2 * np.sum(weights * (swaps @ w[used]) ** 2)
+
+    bias, w = T.train(rows, toxic, used, swaps, weights, 6)
+    step = 1e-4
+    slopes = [(loss(bias, w + step * e) - loss(bias, w - step * e)) / (2 * step) for e in np.eye(6)] + [(loss(bias + step, w) - loss(bias - step, w)) / (2 * step)]
+    assert np.abs(slopes).max() < 0.05
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 0.1), (2, "", 0.1), (None, "scum", 0.1), (3, "...", 0.1), (3, "...", 0.1)], "doc_id long, text string, score double")
     none = spark.createDataFrame([(None, 1), (1, None), (77, 1)], "doc_id long, toxic int")
