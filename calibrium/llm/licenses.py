@@ -25,6 +25,7 @@ from calibrium.llm.license_rules import rules
 
 BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 CERTAINTY = {1: 0.95, 2: 0.8, 3: 0.4}
+BLOCK = 256
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -97,8 +98,16 @@ def _detections(plain: Column, found: Column) -> Column:
             hit = F.struct(start.alias("start"), (-end).alias("end"), r["rule"]["priority"].alias("priority"), r["rule"]["id"].alias("id"), r["rule"]["label"].alias("label"))
             return F.struct(end.alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
 
-        kind = "array<struct<start:int,end:int,priority:int,id:int,label:string>>"
-        return F.aggregate(F.sequence(F.lit(0), F.size(r["hits"]) - 1), F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), add, lambda acc: acc["out"])
+        # an array grows by copying: hits go into blocks, blocks into the row, so that a text of n hits costs n * BLOCK steps
+        one = "array<struct<start:int,end:int,priority:int,id:int,label:string>>"
+
+        def add_block(acc: Column, begin: Column) -> Column:
+            block = F.sequence(begin, F.least(begin + BLOCK, F.size(r["hits"])) - 1)
+            whole = lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out"))
+            return F.aggregate(block, F.struct(acc["at"].alias("at"), F.array().cast(one).alias("out")), add, whole)
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{one}>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(r["hits"]) - 1, F.lit(BLOCK)), start, add_block, lambda acc: F.flatten(acc["out"]))
 
     return F.sort_array(F.flatten(F.transform(found, places)))
 

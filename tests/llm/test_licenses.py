@@ -87,3 +87,16 @@ def test_every_rule_alone_in_a_text(spark):
     got = {r.text: r for r in scan_licenses(spark.createDataFrame([(t,) for t in sorted(texts)], "text string")).select("text", "n_words", "n_base", "base_labels", "labels", "score").collect()}
     wrong = [(t, got[t].labels, brute(t)[5]) for t in texts if (got[t].n_words, got[t].n_base, got[t].base_labels, got[t].labels, got[t].score) != (*brute(t)[:2], *brute(t)[4:])]
     assert len(texts) > 1000 and wrong == []
+
+
+def test_a_text_of_many_notices_takes_little_time(spark):
+    """A megabyte of notices: more hits than fit a block of places by far."""
+    import time
+
+    n = 40_000
+    docs = spark.createDataFrame([(1, "All rights reserved. x \u00c9 " * n)], "doc_id long, text string")
+    start = time.time()
+    (row,) = scan_licenses(docs).selectExpr("n_base", "first_word", "last_word", "labels", "size(detections) AS n", "detections[1].start AS second", "array_max(detections).start AS last").collect()
+    assert time.time() - start < 60
+    assert (row.n_base, row.first_word, row.last_word, row.labels) == (n, 0, (n - 1) * 5, "reserved") and row.n >= n
+    assert row.second > 0 and row.last == 1 + (n - 1) * len("all rights reserved x \u00c9 ")
