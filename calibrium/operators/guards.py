@@ -38,6 +38,25 @@ def blank_think_blocks(text: Column, opening: str = "<think>", closing: str = "<
     return F.coalesce((count(opening) == count(closing)) & (F.size(bodies) == count(opening)) & F.forall(bodies, lambda b: F.trim(F.regexp_replace(b, r"\s", " ")) == ""), F.lit(False))
 
 
+def item_faults(items: DataFrame, key: str, filled: list[str], label: str, labels: list[str]) -> DataFrame:
+    """Items that break their schema: a null key, a blank text, a label out of its domain; key, faults (all, in that order)."""
+    blank = [F.when(F.col(c).isNull() | (F.trim(c) == ""), F.lit(f"blank {c}")) for c in filled]
+    found = [F.when(F.col(key).isNull(), F.lit("no key")), *blank, F.when(F.coalesce(~F.col(label).isin(labels), F.lit(True)), F.lit("label"))]
+    return items.select(key, F.array_join(F.array_compact(F.array(*found)), ", ").alias("faults")).where("faults <> ''")
+
+
+def token_rollup(prompts: DataFrame, by: list[str], tokens: str, limit: int) -> DataFrame:
+    """Mean and largest number of tokens, and how many prompts are cut at the limit."""
+    return prompts.groupBy(*by).agg(F.avg(tokens).alias("mean_tokens"), F.max(tokens).alias("max_tokens"), F.count_if(F.col(tokens) > limit).alias("truncated"))
+
+
+def with_one_start(tokens: Column, start: str) -> Column:
+    """Token array with exactly one start mark, in front; marks elsewhere stay."""
+    bare = F.when(F.get(tokens, F.lit(0)) == start, F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0)))).otherwise(tokens)
+    twice = F.get(bare, F.lit(0)) == start
+    return F.when(twice, F.raise_error(F.lit("more than one start mark"))).otherwise(F.array_prepend(bare, F.lit(start)))
+
+
 def incomplete_runs(items: DataFrame, footers: DataFrame) -> DataFrame:
     """Runs whose footer is missing or tells another number of items. items: run; footers: run, n_items."""
     counted = items.groupBy("run").agg(F.count("*").alias("found"))

@@ -53,6 +53,24 @@ def metrics(terms: DataFrame, by: list[str], k: int = 3, bins: int = BINS, weigh
     return terms.groupBy(*by).agg(*sums(k, bins, weight)).select(*by, "n", *[c.alias(name) for name, c in values(k, bins).items()])
 
 
+def without_thresholds(terms: DataFrame, by: list[str], k: int = 3, bins: int = BINS, has_confidence: bool = True) -> DataFrame:
+    """Metrics of gauges that have no thresholds: ask rate and selective accuracy are null, with the reason in `na`.
+
+    Without a confidence NLL and ECE are null as well.
+    """
+    gone = ["ask_rate", "selective_accuracy"] + ([] if has_confidence else ["nll", "ece"])
+    out = metrics(terms, by, k, bins).withColumns({name: F.lit(None).cast("double") for name in gone})
+    return out.withColumn("na", F.lit("no thresholds" if has_confidence else "no thresholds, no confidence"))
+
+
+def input_faults(items: DataFrame, key: str, y: str, vector: str, k: int = 3) -> DataFrame:
+    """Items unfit for metrics, with the first fault of each: no class in range, no vector of k numbers. An empty table is one fault of its own."""
+    numbers = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x))
+    fault = F.when(F.col(y).isNull() | ~F.col(y).between(0, k - 1), "class").when(F.col(vector).isNull() | (F.size(vector) != k), "shape").when(~numbers, "number")
+    rows = items.select(F.col(key).cast("string").alias("key"), fault.alias("fault")).where("fault IS NOT NULL")
+    return rows.union(items.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(None).cast("string"), F.lit("empty")))
+
+
 def confusion(terms: DataFrame, by: list[str], k: int = 3) -> DataFrame:
     """Dense counts: gold, pred, n, with 0 where a pair never occurs."""
     counted = terms.groupBy(*by, F.col("y").alias("gold"), "pred").agg(F.count("*").alias("found"))

@@ -567,12 +567,12 @@ def license_lines(spark, d):
 
 
 def queries() -> dict[str, Callable]:
-    from calibrium.plans import more
+    from calibrium.plans import more, records
 
-    return QUERIES | more.QUERIES
+    return QUERIES | more.QUERIES | records.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from calibrium.plans import more
+    from calibrium.plans import more, records
 
-    return SQL | more.SQL
+    return SQL | more.SQL | records.SQL
