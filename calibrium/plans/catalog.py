@@ -239,7 +239,11 @@ def paired_ask_diff(spark, d):
     return P.paired_difference(_resampled(spark, d), M.metrics(terms(spark, d), BY), "A", "B", "ask_rate", ["split"])
 
 
-@query()
+@query(
+    f"{_RESAMPLED}, m AS ({metrics_sql('terms', 'gauge, split')}), shares AS (SELECT a.split, 1 - b.ask_rate AS whole, (1 - a.ask_rate) / nullif(1 - b.ask_rate, 0) AS share FROM per a JOIN per b ON a.split = b.split AND a.b = b.b WHERE a.gauge = 'A' AND b.gauge = 'B'), "
+    "ci AS (SELECT split, quantile_cont(whole, 0.025) > 0 AS fine, quantile_cont(share, 0.025) AS lo, quantile_cont(share, 0.975) AS hi FROM shares GROUP BY split) "
+    "SELECT a.split, coalesce(fine, false) AS defined, round(1 - a.ask_rate, 4) AS part, round(1 - b.ask_rate, 4) AS whole, CASE WHEN fine THEN round((1 - a.ask_rate) / nullif(1 - b.ask_rate, 0), 4) END AS share, CASE WHEN fine THEN round(lo, 4) END AS lo, CASE WHEN fine THEN round(hi, 4) END AS hi FROM ci JOIN m a ON a.split = ci.split AND a.gauge = 'A' JOIN m b ON b.split = ci.split AND b.gauge = 'B'"
+)
 def share_of_gap(spark, d):
     """(A - B) / (A - perfect) of the ask rates, with a gauge U that asks always as a third."""
     def third(df):
