@@ -33,10 +33,13 @@ def shared_table(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/calibrium-{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: later reads survive the loss of executors."""
+def cut_lineage(df: DataFrame, files: int | None = None) -> DataFrame:
+    """df written to the shared folder and read again: later reads survive the loss of executors.
+
+    files: files at most, where the rows are known to be few. A commit of an almost empty file takes longer than its rows.
+    """
     path = shared_table(df.sparkSession, "held")
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.held_path = path
     return out

@@ -27,12 +27,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return rest.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of `edges` (a long, b long); a component is named by its smallest node."""
-    now = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+def components(edges: DataFrame, files: int | None = None) -> DataFrame:
+    """(node, component) for every node of `edges` (a long, b long); a component is named by its smallest node.
+    files: as in `cut_lineage`."""
+    now = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), files)
     seen = _mark(now)
     while seen[0]:
-        before, now = now, cut_lineage(_small_star(_large_star(now)))
+        before, now = now, cut_lineage(_small_star(_large_star(now)), files)
         release(before)
         mark = _mark(now)
         if mark == seen:

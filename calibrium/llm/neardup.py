@@ -48,6 +48,8 @@ MISS, BATCH = 1e-6, 40
 SMALL_BUCKET, DEPTH, SHARE, LEADERS = 32, 6, 64, 4
 #: Ids (8 bytes each) up to which a set of documents to be read again is broadcast; beyond, it is joined by shuffling.
 BROADCAST_IDS = 1_000_000
+#: Documents to a file of the held tables: of a document come up to BANDS rows, or its set.
+DOCS_A_FILE = 2_500
 NO_ID = (1 << 63) - 1
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -158,7 +160,7 @@ def _few(df: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def _sets(texts: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
+def _sets(texts: DataFrame, nodes: DataFrame, ids: DataFrame, files: int) -> DataFrame:
     """(node, shingles as bytes) of the given nodes (held), each from its first text."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,9 +169,9 @@ def _sets(texts: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
             found = [shingles(x, memo).tobytes() for x in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "hashes"])
 
-    wanted = cut_lineage(nodes.select("node", "low.doc_id", "low.th").join(_few(ids), "node", "left_semi"))
+    wanted = cut_lineage(nodes.select("node", "low.doc_id", "low.th").join(_few(ids), "node", "left_semi"), files)
     found = texts.join(_few(wanted), ["doc_id", "th"]).select("node", "text").mapInArrow(gather, "node long, hashes binary")
-    held = cut_lineage(found.groupBy("node").agg(F.first("hashes").alias("hashes")))  # a row and its repeats give one
+    held = cut_lineage(found.groupBy("node").agg(F.first("hashes").alias("hashes")), files)  # a row and its repeats give one
     release(wanted)
     return held
 
@@ -189,15 +191,15 @@ def _exact(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(compare, "a long, b long")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int, files: int) -> DataFrame:
     """The pairs (a, b) that are similar on their full sets; held."""
     sig = nodes.select("node", "sig")
     signed = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
-    alive = cut_lineage(_bayes(signed, size))
-    ids = cut_lineage(alive.select(F.col("a").alias("node")).union(alive.select("b")).distinct())
-    sets = _sets(texts, nodes, ids)
+    alive = cut_lineage(_bayes(signed, size), files)
+    ids = cut_lineage(alive.select(F.col("a").alias("node")).union(alive.select("b")).distinct(), files)
+    sets = _sets(texts, nodes, ids, files)
     full = alive.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
-    out = cut_lineage(_exact(full, percent))
+    out = cut_lineage(_exact(full, percent), files)
     release(alive, ids, sets)
     return out
 
@@ -214,14 +216,14 @@ def _placed(members: DataFrame, component: DataFrame) -> DataFrame:
     return members.drop("component").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _merged(component: DataFrame, links: DataFrame) -> DataFrame:
+def _merged(component: DataFrame, links: DataFrame, files: int) -> DataFrame:
     """Components (node, component) after further links (a, b); held."""
     if links.isEmpty():
         return component
     named = links.join(component.toDF("a", "ca"), "a", "left").join(component.toDF("b", "cb"), "b", "left")
-    second = components(named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    second = components(named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), files)
     known = component.join(second.toDF("component", "top"), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-    return cut_lineage(known.union(second.join(component, "node", "left_anti")))
+    return cut_lineage(known.union(second.join(component, "node", "left_anti")), files)
 
 
 def _open(groups: DataFrame, key: str) -> DataFrame:
@@ -230,7 +232,7 @@ def _open(groups: DataFrame, key: str) -> DataFrame:
     return join_counted(groups, keys, [key], "of").drop("of")
 
 
-def _cored(groups: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def _cored(groups: DataFrame, nodes: DataFrame, texts: DataFrame, files: int) -> DataFrame:
     """groups (g, node, n, component) with size, the members of a group; core, the number of shingles in its core; and own,
     each member's shingles beyond it; held. A core holds the shingles of more than SMALL_BUCKET and 1/SHARE of the members, so
     its length is bounded by that of texts."""
@@ -252,15 +254,15 @@ def _cored(groups: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
             core = pa.array([len(c.values) for c in batch.column(6)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], core, pa.array(own, pa.list_(pa.int64()))], names=["g", "node", "n", "component", "size", "core", "own"])
 
-    sets = _sets(texts, nodes, groups.select("node").distinct())
-    sizes = cut_lineage(groups.groupBy("g").agg(F.count("*").alias("size")))
-    held = cut_lineage(join_counted(groups, sizes, ["g"], "size").join(sets, "node"))
+    sets = _sets(texts, nodes, groups.select("node").distinct(), files)
+    sizes = cut_lineage(groups.groupBy("g").agg(F.count("*").alias("size")), files)
+    held = cut_lineage(join_counted(groups, sizes, ["g"], "size").join(sets, "node"), files)
     common = held.select("g", "hashes").mapInArrow(count, "g long, h long, n long").groupBy("g", "h").agg(F.sum("n").alias("n"))
     common = common.join(_few(sizes, 100_000), "g").where((F.col("n") > SMALL_BUCKET) & (F.col("n") * SHARE >= F.col("size")))
-    cores = cut_lineage(common.groupBy("g").agg(F.collect_list("h").alias("core")))
+    cores = cut_lineage(common.groupBy("g").agg(F.collect_list("h").alias("core")), files)
     none = F.coalesce("core", F.array().cast("array<long>")).alias("core")
     out = held.join(_few(cores, 2_000), "g", "left").select("g", "node", "n", "component", "size", "hashes", none)
-    out = cut_lineage(out.mapInArrow(beyond, "g long, node long, n long, component long, size long, core long, own array<long>"))
+    out = cut_lineage(out.mapInArrow(beyond, "g long, node long, n long, component long, size long, core long, own array<long>"), files)
     release(sets, sizes, held, cores)
     return out
 
@@ -274,7 +276,7 @@ def _stars(held: DataFrame) -> DataFrame:
     return pairs.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
 
 
-def _split(held: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _split(held: DataFrame, percent: int, files: int) -> tuple[DataFrame, DataFrame]:
     """Groups of `_cored` as smaller ones (g, node, n, component), and pairs (a, b).
 
     Let u and x be members of two components. If all that they share is in the core, J(u, x) >= t needs
@@ -284,7 +286,7 @@ def _split(held: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """
     sharing = held.select("g", "node", "n", "component", F.explode("own").alias("h")).select(F.xxhash64("g", "h").alias("g"), "node", "n", "component")
     keys = sharing.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("of"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node") % 1_000_003).alias("y")).where("lo < hi")
-    keys = cut_lineage(keys.groupBy("of", "x", "y").agg(F.min("g").alias("g")).select("g", "of"))  # groups of the same members count once
+    keys = cut_lineage(keys.groupBy("of", "x", "y").agg(F.min("g").alias("g")).select("g", "of"), files)  # groups of the same members count once
     smaller = join_counted(sharing, keys, ["g"], "of").drop("of")
 
     # the group's main component is too large for pairs of its own; its members are met from outside
@@ -294,8 +296,8 @@ def _split(held: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     apart = fit.join(_few(main, 100_000), "g").where("component <> led")
     sizes = fit.groupBy("g", "n").agg(F.count("*").alias("of")).groupBy("g").agg(F.collect_list(F.struct("n", "of")).alias("sizes"))
     apart = apart.join(_few(sizes, 2_000), "g").withColumn("fit", F.filter("sizes", lambda s: s["n"].between(F.col("low"), F.col("high")))).drop("sizes")
-    apart = cut_lineage(apart.withColumn("pairs", F.aggregate("fit", F.lit(0).cast("long"), lambda a, s: a + s["of"])).where("pairs > 0"))
-    heavy = _few(cut_lineage(apart.groupBy("g").agg(F.sum("pairs").alias("pairs"), F.max("size").alias("size"), F.min("low").alias("least"), F.max("high").alias("most")).where(F.col("pairs") > SMALL_BUCKET * F.col("size")).select("g", "least", "most")))
+    apart = cut_lineage(apart.withColumn("pairs", F.aggregate("fit", F.lit(0).cast("long"), lambda a, s: a + s["of"])).where("pairs > 0"), files)
+    heavy = _few(cut_lineage(apart.groupBy("g").agg(F.sum("pairs").alias("pairs"), F.max("size").alias("size"), F.min("low").alias("least"), F.max("high").alias("most")).where(F.col("pairs") > SMALL_BUCKET * F.col("size")).select("g", "least", "most"), files))
     light = apart.join(heavy, "g", "left_anti").select("g", "node", "component", F.col("n").alias("its"), F.explode("fit.n").alias("n"))
     others = fit.select("g", "n", F.col("node").alias("other"), F.col("component").alias("of"), "low", "high")
     pairs = light.join(others, ["g", "n"]).where("component <> of AND its BETWEEN low AND high").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
@@ -310,53 +312,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     signed = cut_lineage(_sign(texts, bands, rows))
+    files = signed.count() // DOCS_A_FILE + 1
     classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "th")).alias("low"), F.count("*").alias("rows"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    nodes = cut_lineage(classes.withColumn("node", F.monotonically_increasing_id()))
+    nodes = cut_lineage(classes.withColumn("node", F.monotonically_increasing_id()), files)
     size = bands * rows
 
     exploded = nodes.select("node", "n", F.explode("bands").alias("key"))
-    shared = cut_lineage(exploded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
-    members = cut_lineage(join_counted(exploded, shared, ["key"]))
-    met = cut_lineage(members.groupBy("node").agg(F.sum("members").alias("met")))
-    leaders = cut_lineage(members.join(met, "node").groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("minus"))).alias("x"), F.count("*").alias("of")).select("key", (-F.col("x.minus")).alias("leader"), "of"))
+    shared = cut_lineage(exploded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), files)
+    members = cut_lineage(join_counted(exploded, shared, ["key"]), files)
+    met = cut_lineage(members.groupBy("node").agg(F.sum("members").alias("met")), files)
+    leaders = cut_lineage(members.join(met, "node").groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("minus"))).alias("x"), F.count("*").alias("of")).select("key", (-F.col("x.minus")).alias("leader"), "of"), files)
     release(shared)
-    led = cut_lineage(join_counted(members, leaders, ["key"], "of").drop("of"))
+    led = cut_lineage(join_counted(members, leaders, ["key"], "of").drop("of"), files)
     release(members, leaders)
     star = led.where("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-    component = cut_lineage(components(_verified(star, nodes, texts, size, percent)))
+    component = cut_lineage(components(_verified(star, nodes, texts, size, percent, files), files), files)
 
-    rest = cut_lineage(_open(cut_lineage(_placed(led, component)), "key"))
+    rest = cut_lineage(_open(cut_lineage(_placed(led, component), files), "key"), files)
     tested = rest.where("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
     large = rest.where(F.col("members") > SMALL_BUCKET)
     home = component.select(F.col("node").alias("leader"), F.col("component").alias("g"))
-    named = cut_lineage(large.join(home, "leader", "left").withColumn("g", F.coalesce("g", "leader")).select("g", "node", "n", "component").distinct())
+    named = cut_lineage(large.join(home, "leader", "left").withColumn("g", F.coalesce("g", "leader")).select("g", "node", "n", "component").distinct(), files)
     pairs = _across(rest.where(F.col("members") <= SMALL_BUCKET), "key", percent).join(tested, ["a", "b"], "left_anti")
-    component = _merged(component, _verified(pairs, nodes, texts, size, percent))
+    component = _merged(component, _verified(pairs, nodes, texts, size, percent, files), files)
     release(led, rest)
 
-    groups, total = cut_lineage(_open(cut_lineage(_placed(named, component)), "g")), pair_rows if pair_rows is not None else nodes.count()
+    groups, total = cut_lineage(_open(cut_lineage(_placed(named, component), files), "g"), files), pair_rows if pair_rows is not None else nodes.count()
     for _ in range(DEPTH):
         left = groups.groupBy("g").count().agg(F.coalesce(F.sum(F.col("count") * F.col("count")), F.lit(0))).first()[0]
         if left <= total:
             break
-        held = _cored(groups, nodes, texts)
-        component = _merged(component, _verified(_stars(held).distinct(), nodes, texts, size, percent))
-        still = cut_lineage(_open(cut_lineage(_placed(held, component)), "g"))
+        held = _cored(groups, nodes, texts, files)
+        component = _merged(component, _verified(_stars(held).distinct(), nodes, texts, size, percent, files), files)
+        still = cut_lineage(_open(cut_lineage(_placed(held, component), files), "g"), files)
         release(held)
-        smaller, pairs = _split(still, percent)
-        smaller = cut_lineage(smaller)
-        counted = cut_lineage(smaller.groupBy("g").agg(F.count("*").alias("of")))
+        smaller, pairs = _split(still, percent, files)
+        smaller = cut_lineage(smaller, files)
+        counted = cut_lineage(smaller.groupBy("g").agg(F.count("*").alias("of")), files)
         few = smaller.join(counted.where(F.col("of") <= SMALL_BUCKET).select("g"), "g", "left_semi")
-        component = _merged(component, _verified(pairs.union(_across(few, "g", percent)).distinct(), nodes, texts, size, percent))
-        large = cut_lineage(join_counted(smaller, counted.where(F.col("of") > SMALL_BUCKET), ["g"], "of").drop("of"))
-        groups = cut_lineage(_open(cut_lineage(_placed(large, component)), "g"))
+        component = _merged(component, _verified(pairs.union(_across(few, "g", percent)).distinct(), nodes, texts, size, percent, files), files)
+        large = cut_lineage(join_counted(smaller, counted.where(F.col("of") > SMALL_BUCKET), ["g"], "of").drop("of"), files)
+        groups = cut_lineage(_open(cut_lineage(_placed(large, component), files), "g"), files)
         release(still, smaller, counted, large)
     if not groups.isEmpty():
-        component = _merged(component, _verified(_across(groups, "g", percent), nodes, texts, size, percent))
+        component = _merged(component, _verified(_across(groups, "g", percent), nodes, texts, size, percent, files), files)
 
     known = nodes.select("digest", "node", "low", "rows").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     tops = known.groupBy("component").agg(F.min("low").alias("top"), F.count("*").alias("of"))
-    named = cut_lineage(join_counted(cut_lineage(known), cut_lineage(tops), ["component"], "of").select("digest", "rows", "top"))
+    named = cut_lineage(join_counted(cut_lineage(known, files), cut_lineage(tops, files), ["component"], "of").select("digest", "rows", "top"), files)
     release(nodes, met)
     some = join_counted(signed.where("n_shingles > 0").select("doc_id", "th", "n_shingles", "digest"), named, ["digest"], "rows").select("doc_id", "th", "n_shingles", "top")
     none = signed.where("n_shingles = 0").select("doc_id", "th", "n_shingles", F.struct("doc_id", "th").alias("top"))
