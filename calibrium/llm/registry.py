@@ -16,6 +16,7 @@ QUERIES = {
     "op8_site_style_tree": "sitetree",
     "op5_license_signatures": "licenses",
     "op3_rans_token_files": "rans",
+    "op11_importance_resampling": "resample",
 }
 
 
