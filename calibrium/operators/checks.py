@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from calibrium.functions import text as X
 from calibrium.functions import vectors as V
+from calibrium.operators.ranks import carried
 
 
 def missing_and_extra(have: DataFrame, want: DataFrame, key: str) -> DataFrame:
@@ -44,15 +45,14 @@ def status_rollup(statuses: DataFrame) -> DataFrame:
 def in_force(events: DataFrame, versions: DataFrame, by: list[str], at: str, since: str, value: str) -> DataFrame:
     """As-of join: for each event the value of the latest version strictly before it, null if there is none.
 
-    Both sides are put on one time line per group and the last value is carried on, so there is no range join; at equal
-    times events come first, which makes the bound strict. A hot group is one sort: put a bucket of the key in `by`.
+    Both sides are put on one time line per group and the last value is carried on, within ranges of the line and then
+    across them, so there is no range join and no task holds a group; at equal times events come first, which makes the
+    bound strict.
     """
     sides = [c for c in events.columns if c not in by]
     a = events.select(*by, F.col(at).alias("__t"), F.lit(0).alias("__side"), F.struct(*sides).alias("__row"), F.lit(None).cast(versions.schema[value].dataType).alias("__value"))
     b = versions.select(*by, F.col(since).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), F.col(value).alias("__value"))
-    line = Window.partitionBy(*by).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = a.union(b).withColumn("in_force", F.last("__value", ignorenulls=True).over(line))
-    return carried.where("__side = 0").select(*by, *[F.col("__row")[c].alias(c) for c in sides], "in_force")
+    return carried(a.union(b), by, ["__t", "__side"], "__value", "in_force").where("__side = 0").select(*by, *[F.col("__row")[c].alias(c) for c in sides], "in_force")
 
 
 def not_append_only(texts: DataFrame, by: list[str], order: str, text: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from calibrium.operators.ranks import ranked
+
 DROP_REASONS = ["duplicate_id", "no_ground_truth", "contradicts_category", "empty_request"]
 
 
@@ -134,15 +136,15 @@ def hash_key(seed: int, *columns: str) -> Column:
 
 
 def sample_per_group(items: DataFrame, by: list[str], key: str, sizes: DataFrame, seed: int) -> DataFrame:
-    """`k` rows of each group without replacement, by hash order. sizes: by, k."""
-    w = Window.partitionBy(*by).orderBy(hash_key(seed, key), key)
-    return items.withColumn("__place", F.row_number().over(w)).join(F.broadcast(sizes), by).where(F.col("__place") <= F.col("k")).drop("__place", "k")
+    """`k` rows of each group without replacement, by hash order. sizes: by, k; a row for each group, of which there must be few."""
+    placed = ranked(items, by, [hash_key(seed, key), F.col(key)], "__place")
+    return placed.join(F.broadcast(sizes), by).where(F.col("__place") <= F.col("k")).drop("__place", "k")
 
 
 def split_per_group(items: DataFrame, by: list[str], key: str, n_fit: int, seed: int) -> DataFrame:
     """`split`: the first n_fit of each group in hash order are fit, the rest exam."""
-    w = Window.partitionBy(*by).orderBy(hash_key(seed, key), key)
-    return items.withColumn("split", F.when(F.row_number().over(w) <= n_fit, "fit").otherwise("exam"))
+    placed = ranked(items, by, [hash_key(seed, key), F.col(key)], "__place")
+    return placed.withColumn("split", F.when(F.col("__place") <= n_fit, "fit").otherwise("exam")).drop("__place")
 
 
 def parity_sample(ids: list, k: int, seed: int) -> list:
@@ -154,8 +156,8 @@ def parity_sample(ids: list, k: int, seed: int) -> list:
 
 def folds(items: DataFrame, by: list[str], key: str, k: int, seed: int) -> DataFrame:
     """Stratified fold of each row, 0 to k - 1."""
-    w = Window.partitionBy(*by).orderBy(hash_key(seed, key), key)
-    return items.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(k)))
+    placed = ranked(items, by, [hash_key(seed, key), F.col(key)], "__place")
+    return placed.withColumn("fold", F.pmod(F.col("__place") - 1, F.lit(k)).cast("int")).drop("__place")
 
 
 def resolve_files(expected: DataFrame, present: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibrium.functions import vectors as V
+from calibrium.operators.ranks import running_sum
 
 BINS, CURVE_POINTS = 15, 50
 
@@ -87,13 +88,13 @@ def reliability(terms: DataFrame, by: list[str]) -> DataFrame:
 def auroc(terms: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:
     """Rank statistic of confidence for correctness, ties at mid-rank; null if all or none are correct.
 
-    Equal confidences are added up first, so the window runs over distinct values. With integer weights an item counts
-    that many times.
+    Equal confidences are added up first, and distinct ones are ranked range by range. With integer weights an item
+    counts that many times.
     """
     w = weight if weight is not None else F.lit(1)
     tied = terms.groupBy(*by, "conf").agg(F.sum(w).alias("w"), F.sum(F.when(F.col("correct"), w).otherwise(0)).alias("right"))
-    before = Window.partitionBy(*by).orderBy("conf").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = tied.withColumn("rank", F.coalesce(F.sum("w").over(before), F.lit(0)) + (F.col("w") + 1) / 2)
+    summed = running_sum(tied, by, [F.col("conf")], F.col("w"), "upto")
+    ranked = summed.withColumn("rank", F.col("upto") - F.col("w") + (F.col("w") + 1) / 2)
     out = ranked.groupBy(*by).agg(F.sum(F.col("rank") * F.col("right")).alias("ranks"), F.sum("right").alias("pos"), F.sum("w").alias("n"))
     pos, neg = F.col("pos"), F.col("n") - F.col("pos")
     return out.select(*by, F.try_divide(F.col("ranks") - pos * (pos + 1) / 2, (pos * neg).cast("double")).alias("auroc"))

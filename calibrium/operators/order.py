@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from calibrium.operators.ranks import ranked
+
 
 def first_rows(rows: DataFrame, order: list[str], n: int) -> DataFrame:
     """The n first rows; every task keeps its own n, so nothing else is moved."""
@@ -25,8 +27,7 @@ def capped(rows: DataFrame, label: str, labels: list, key: str, cap: int) -> Dat
     """At most `cap` rows: an equal share of each label and one more of the first labels for the remainder, least keys first."""
     share, more = divmod(cap, len(labels))
     sizes = rows.sparkSession.createDataFrame([(x, share + (i < more)) for i, x in enumerate(labels)], f"{label} {rows.schema[label].dataType.simpleString()}, k int")
-    place = F.row_number().over(Window.partitionBy(label).orderBy(key))
-    return rows.join(F.broadcast(sizes), label).withColumn("__place", place).where(F.col("__place") <= F.col("k")).drop("__place", "k")
+    return ranked(rows, [label], [F.col(key)], "__place").join(F.broadcast(sizes), label).where(F.col("__place") <= F.col("k")).drop("__place", "k")
 
 
 def listed_faults(faults: DataFrame, by: list[str], fault: str, n: int = 5) -> DataFrame:

@@ -15,6 +15,7 @@ from calibrium.operators import guards as K
 from calibrium.operators import metrics as M
 from calibrium.operators import order as O
 from calibrium.operators import report as R
+from calibrium.operators.ranks import ranked
 from calibrium.plans import fixtures as X0
 from calibrium.plans.fixtures import EMISSIONS_SQL, ITEMS_SQL, TERMS_SQL, metrics_sql, table
 from calibrium.plans.more import QUERIES, SQL, query
@@ -263,7 +264,7 @@ def first_faults(spark, d):
 def numbers_in_order(spark, d):
     """Distinct numbers of a report in the order of their values, not of their text."""
     tokens = table(spark, d, "part").select(X.canonical_number(F.col("p_size").cast("string")).alias("number")).distinct()
-    return tokens.select("number", F.row_number().over(Window.orderBy(F.col("number").cast("decimal(38,18)"))).alias("place"))
+    return ranked(tokens, [], [F.col("number").cast("decimal(38,18)")]).select("number", F.col("place").cast("int").alias("place"))
 
 
 @query("SELECT event_id, printf('%.6f', (event_id % 1000) / 1000000.0::DOUBLE) AS shown FROM events")

@@ -10,11 +10,22 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir, or in a folder of our own where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="calibrium-")
+    """A new path in spark.checkpoint.dir; where that is unset on one machine (tests) in a folder of our own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="calibrium-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: rows and partition numbers stay as they are, whatever is lost."""
+    path = scratch(df.sparkSession, "held")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def file_name() -> Column:
     return F.col("_metadata.file_name")
 
