@@ -17,6 +17,7 @@ QUERIES = {
     "op5_license_signatures": "licenses",
     "op3_rans_token_files": "rans",
     "op11_importance_resampling": "resample",
+    "op12_information_sanitisation": "pii",
     "op13_conversation_prefix_trie": "prefixtrie",
 }
 
