@@ -214,6 +214,12 @@ def op10_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def without_leaks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold no test item."""
-    gone = cut_lineage(benchmark_leaks(docs, read(spark, sf_dir, "benchmark")).where("leaked").select("doc_id").distinct())
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
+    """Pipeline stage: documents that hold no test item.
+
+    Whether a text leaks depends on the text alone, so rows are told apart by its hash: a clean row stays whatever ids it
+    shares, and a leaked one goes though its id is null.
+    """
+    text = F.xxhash64("text")
+    gone = benchmark_leaks(docs.select(text.alias("h"), "text"), read(spark, sf_dir, "benchmark"), id_col="h").where("leaked")
+    gone = cut_lineage(gone.select(F.col("doc_id").alias("__h")).distinct())
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, text == F.col("__h"), "left_anti")

@@ -1,8 +1,9 @@
 """Operator 9, repeated runs of lines by a suffix array over line ids.
 
 A document is its sequence of lines that hold a word. A run of lines with at least `MIN_WORDS` words that occurs before,
-in an earlier document or higher up in the same one, is deleted; its first copy stays whole, also where a later copy
-overlaps it. Order is (id, text hash, line). Words are what ASCII white space parts, everywhere in this module.
+in an earlier document or higher up in the same one, is deleted. Each of its lines stays somewhere, but not always in one
+piece: the rule looks at the input, so a run whose first copy overlaps a later copy of another run loses those lines
+there (they stay where that other run comes first), and its own later copies go all the same. Order is (id, text hash, line). Words are what ASCII white space parts, everywhere in this module.
 
 1. Lines get 128-bit ids. Only lines that occur twice or more go on: no repeated run holds another line.
 2. Prefix doubling: rank 0 sorts the line ids; rank k + 1 sorts the pairs (rank k here, rank k 2**k lines on). Suffixes
