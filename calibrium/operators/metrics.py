@@ -25,14 +25,18 @@ def term_table(items: DataFrame, k: int = 3, temperature: Column | float = 1.0,
     return out.withColumns(known)
 
 
+def contributions(k: int = 3, bins: int = BINS) -> dict[str, Column]:
+    """What one item adds to each sum."""
+    n = lambda c: c.cast("long")
+    out = {"n": F.lit(1), "n_correct": n(F.col("correct")), "s_nll": F.col("nll"), "n_answered": n(F.col("answered")), "n_right": n(F.col("answered") & F.col("correct"))}
+    out |= {f"gold_{c}": n(F.col("y") == c) for c in range(k)} | {f"pred_{c}": n(F.col("pred") == c) for c in range(k)} | {f"both_{c}": n((F.col("y") == c) & (F.col("pred") == c)) for c in range(k)}
+    return out | {f"gap_{b}": F.when(F.col("bin") == b, n(F.col("correct")) - F.col("conf")).otherwise(0.0) for b in range(bins)}
+
+
 def sums(k: int = 3, bins: int = BINS, weight: Column | None = None) -> list[Column]:
     """Partial sums over a group; `weight` counts an item more than once."""
     w = weight if weight is not None else F.lit(1)
-    total = lambda x, name: F.coalesce(F.sum(w * x), F.lit(0)).alias(name)
-    n = lambda c: c.cast("long")
-    out = [total(F.lit(1), "n"), total(n(F.col("correct")), "n_correct"), total(F.col("nll"), "s_nll"), total(n(F.col("answered")), "n_answered"), total(n(F.col("answered") & F.col("correct")), "n_right")]
-    out += [total(n(F.col("y") == c), f"gold_{c}") for c in range(k)] + [total(n(F.col("pred") == c), f"pred_{c}") for c in range(k)] + [total(n((F.col("y") == c) & (F.col("pred") == c)), f"both_{c}") for c in range(k)]
-    return out + [total(F.when(F.col("bin") == b, n(F.col("correct")) - F.col("conf")).otherwise(0.0), f"gap_{b}") for b in range(bins)]
+    return [F.coalesce(F.sum(w * x), F.lit(0)).alias(name) for name, x in contributions(k, bins).items()]
 
 
 def values(k: int = 3, bins: int = BINS) -> dict[str, Column]:

@@ -189,7 +189,7 @@ def _draws(spark, d, n_boot=N_BOOT):
 
 
 def _resampled(spark, d):
-    return M.metrics(placed_terms(spark, d).join(_draws(spark, d), ["split", "ord"]), [*BY, "b"], weight=F.col("w"))
+    return B.hash_block_metrics(placed_terms(spark, d), BY, N_BOOT)
 
 
 _RESAMPLED = f"WITH {TERMS_SQL}, {draws_sql(N_BOOT)}, per AS ({metrics_sql('resampled', 'gauge, split, b')})"
@@ -230,7 +230,7 @@ def bootstrap_pcg64(spark, d):
 def bootstrap_poisson(spark, d):
     """Poisson weights over the large gauge: one pass, no draws by index."""
     rows = M.term_table(X0.large_items(spark, d).withColumn("key", F.monotonically_increasing_id()), 3, 1.0, [X0.TAU] * 3)
-    per = M.metrics(B.poisson_draws(rows, "key", 50), [*BY, "b"], weight=F.col("w"))
+    per = B.poisson_block_metrics(rows, "key", BY, 50)
     return B.intervals(per, BY, ["accuracy", "ask_rate"]).withColumns({c: F.round(c, 3) for c in ("lo", "hi")})
 
 
@@ -571,12 +571,12 @@ def license_lines(spark, d):
 
 
 def queries() -> dict[str, Callable]:
-    from calibrium.plans import more, records
+    from calibrium.plans import more, records, verification
 
-    return QUERIES | more.QUERIES | records.QUERIES
+    return QUERIES | more.QUERIES | records.QUERIES | verification.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from calibrium.plans import more, records
+    from calibrium.plans import more, records, verification
 
-    return SQL | more.SQL | records.SQL
+    return SQL | more.SQL | records.SQL | verification.SQL

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -33,8 +33,8 @@ def file_name() -> Column:
 def read_jsonl(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
     """file, ord (line, from 0, blank ones not counted), body (variant). A bad line fails, or gives a null body if tolerant.
 
-    A file is one row at first, which keeps the order of its lines; use it for files that fit a task. For larger ones
-    Spark's own JSON source reads in parallel, without order.
+    A file is one row at first, which keeps the order of its lines; use it for files that fit a task. Larger ones are read
+    in ranges by `ordered_lines`.
     """
     whole = spark.read.text(path, wholetext=True).select(file_name().alias("file"), "value")
     lines = F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")
@@ -42,6 +42,22 @@ def read_jsonl(spark: SparkSession, path: str, tolerant: bool = False) -> DataFr
     return rows.select("file", "ord", (F.try_parse_json("line") if tolerant else F.parse_json(F.col("line"))).alias("body"))
 
 
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, ord (line of the file, from 0, blank ones not counted), value; a file is read in byte ranges, by many tasks.
+
+    A range's lines come in their order, so a line's place in it is how far its row number is from the range's first; the
+    ranges before it add their counts. Only those, a row per range, are joined with the lines; they are held, so every
+    reader sees the same.
+    """
+    where = F.struct(file_name().alias("file"), F.col("_metadata.file_block_start").alias("begin"))
+    lines = spark.read.option("lineSep", "\n").text(path).select(where.alias("at"), F.rtrim(F.col("value"), F.lit("\r")).alias("value")).where(F.trim("value") != "")
+    rows = held(lines.withColumn("row", F.monotonically_increasing_id()))
+    ranges = rows.groupBy("at").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("at.file").orderBy("at.begin").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select("at", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return rows.join(starts, "at").select("at.file", (F.col("start") + F.col("row") - F.col("first")).alias("ord"), "value")
+
+
 def write_jsonl(df: DataFrame, path: str, order: list[str], overwrite: bool = False) -> None:
     """Rows as JSON lines in order; ranges of the order become files whose names sort alike. Existing output is an error unless overwritten."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)

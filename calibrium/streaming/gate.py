@@ -1,11 +1,15 @@
-"""A fitted gate over a stream: thresholds and temperature are fixed, so the query is a stateless projection."""
+"""Streams: a fitted gate (a stateless projection), windowed counts, keyed streaks and budgets, and output by batches."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from calibrium.operators import metrics as M
+from calibrium.operators.ranks import carried, ranked
+from calibrium.sources.files import held
 
 
 def gated(items: DataFrame, temperature: float, taus: list[float], k: int = 3) -> DataFrame:
@@ -23,3 +27,90 @@ def write_gated(stream: DataFrame, path: str, checkpoint: str, key: str, tempera
 def running_counts(stream: DataFrame, event_time: str, every: str, late: str, failed):
     """Calls and failures per window of event time; windows close once the watermark has passed."""
     return stream.withWatermark(event_time, late).groupBy(F.window(event_time, every).alias("w")).agg(F.count("*").alias("calls"), F.count_if(failed).alias("failures")).select(F.col("w.start").alias("start"), "calls", "failures")
+
+
+#: Calls that a run may make, and failures in a row that end it.
+CALL_CAP, FAILURES_IN_A_ROW = 400, 5
+GUARDED = "calls long, streak long, mark string"
+
+
+def call_guard(rows: DataFrame, by: list[str], order: list[str], failed: str, cap: int = CALL_CAP, in_a_row: int = FAILURES_IN_A_ROW) -> DataFrame:
+    """rows with `calls` (so far), `streak` (failures up to this one) and `mark`, for tables.
+
+    mark tells the call that ends a run: `first failed` (a failure before any success), `in a row`, `over cap`; later
+    calls of the run are `after stop`, all others null. Ranks and last successes come by ranges, so a run may be of any size.
+    """
+    placed = ranked(rows, by, [F.col(c) for c in order], "calls")
+    seen = carried(placed.withColumn("__ok", F.when(~F.col(failed), F.col("calls"))), by, ["calls"], "__ok", "__last_ok")
+    seen = seen.withColumn("streak", F.col("calls") - F.coalesce("__last_ok", F.lit(0)))
+    ends = F.when(F.col("calls") > cap, "over cap").when(F.col(failed) & F.col("__last_ok").isNull(), "first failed").when(F.col("streak") >= in_a_row, "in a row")
+    seen = held(seen.withColumn("__ends", ends))
+    stops = seen.where("__ends IS NOT NULL").groupBy(*by).agg(F.min("calls").alias("__stop")).select(*[F.col(c).alias(f"__key_{c}") for c in by], "__stop")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__key_{c}"))
+    mark = F.when(F.col("calls") > F.col("__stop"), "after stop").when(F.col("calls") == F.col("__stop"), F.col("__ends"))
+    return seen.join(stops, same, "left").select(*rows.columns, "calls", "streak", mark.alias("mark"))
+
+
+def guarded_stream(stream: DataFrame, by: list[str], order: list[str], failed: str, cap: int = CALL_CAP, in_a_row: int = FAILURES_IN_A_ROW) -> DataFrame:
+    """`call_guard` over a stream: calls so far, streak, whether any succeeded and whether the run has ended are keyed state.
+
+    Rows of a micro-batch are taken in `order`; a later batch comes after an earlier one. Needs the RocksDB state store.
+    """
+    names = stream.columns
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields), GUARDED])
+
+    class Guard(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.run = handle.getValueState("run", "calls long, streak long, any_ok boolean, ended boolean")
+
+        def handleInputRows(self, key, rows, timers):  # noqa: N802
+            calls, streak, any_ok, ended = self.run.get() if self.run.exists() else (0, 0, False, False)
+            table = pd.concat(list(rows)).sort_values(order, kind="stable")
+            out = []
+            for bad in table[failed].tolist():
+                calls += 1
+                streak = streak + 1 if bad else 0
+                any_ok = any_ok or not bad
+                ends = "over cap" if calls > cap else "first failed" if bad and not any_ok else "in a row" if streak >= in_a_row else None
+                out.append((calls, streak, "after stop" if ended else ends))
+                ended = ended or ends is not None
+            self.run.update((calls, streak, any_ok, ended))
+            table["calls"], table["streak"], table["mark"] = zip(*out)
+            yield table[[*names, "calls", "streak", "mark"]]
+
+        def close(self) -> None:
+            pass
+
+    return stream.groupBy(*by).transformWithStateInPandas(Guard(), schema, "append", "none")
+
+
+def write_batches(stream: DataFrame, path: str, checkpoint: str):
+    """Starts a query whose micro-batches go to folders by their number, each overwritten when its batch is done again.
+
+    A batch that was cut off is repeated with the same number after a restart, so no row is lost or doubled. Readers see
+    nothing (`read_batches`) before `commit_run`.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def commit_run(spark: SparkSession, path: str) -> None:
+    """The footer that makes a run's batches a whole: number of rows. A second one is an error."""
+    rows = spark.read.parquet(f"{path}/rows")
+    rows.agg(F.count("*").alias("n_items")).write.mode("errorifexists").json(f"{path}/footer")
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a committed run; an uncommitted one, or one that has grown since, is refused."""
+    footer = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/footer")
+    if not footer.getFileSystem(spark._jsc.hadoopConfiguration()).exists(footer):
+        raise ValueError(f"{path} has no footer: the run isn't complete")
+    rows = spark.read.parquet(f"{path}/rows").drop("batch")
+    if rows.count() != spark.read.schema("n_items long").json(f"{path}/footer").first().n_items:
+        raise ValueError(f"{path} holds other rows than its footer tells")
+    return rows
