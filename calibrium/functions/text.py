@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
+#: What a number is in a report, and what a secret looks like.
 NUMBER = r"\d[\d,]*(?:\.\d+)?(?:[eE][-+]?\d+)?%?"
 SECRET = r"(?<![A-Za-z0-9])(sk|pk|key|api|ghp|token)[-_][A-Za-z0-9_-]{8,}"
 DECISIONS = {"none": "no-call", "one": "one-call", "several": "multi-call"}
@@ -14,6 +15,11 @@ DECISIONS = {"none": "no-call", "one": "one-call", "several": "multi-call"}
 PLACEHOLDERS = ["Ostra", "Velmo", "Tarin", "Quesby", "Morwick", "Pellan", "Zindra"]
 
 
+def known(value: Column, then) -> Column:
+    """then(value), with the value worked out once: what a function of an array's items uses would be, for each item anew."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Words between blanks; an empty array for null and blank texts."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
@@ -85,43 +91,53 @@ def parsed_emission(text: Column) -> Column:
     return F.struct(F.when(ok, decision).alias("decision"), F.when(ok, number).alias("confidence"), ok.alias("parse_ok"), error.alias("parse_error"))
 
 
-@F.pandas_udf(StringType())
-def trimmed_tools(functions: pd.Series, cap: pd.Series) -> pd.Series:
-    """The tools block within `cap` words: the longest description is cut to 70 % (24 characters at least) time and again, then last functions go."""
+#: What a description is cut to, as a share, and the least that a cut leaves.
+CUT_TO, LEAST_CUT = 0.7, 24
 
-    def fit(entries, most: int) -> str:
-        rows = [[f["name"] or "", f["description"] or "", False, list(f["params"] if f["params"] is not None else [])] for f in entries]
-        show = lambda: "\n".join(f"{n}: {d}{'…' * cut} ({', '.join(p)})" for n, d, cut, p in rows)
-        text = show()
-        while rows and len(text.split()) > most:
-            longest = max(rows, key=lambda r: len(r[1]))
-            size = max(24, int(len(longest[1]) * 0.7))
-            if size < len(longest[1]):
-                longest[1:3] = longest[1][:size], True
-            else:
-                rows.pop()
-            text = show()
-        return text
 
-    return pd.Series([fit(e, c) for e, c in zip(functions, cap)])
+def trimmed_tools(functions: Column | str, cap: Column) -> Column:
+    """The tools block within `cap` words: the longest description is cut to CUT_TO of it (LEAST_CUT characters at least)
+    again and again, then last functions go. A null array is an empty block.
+
+    A fold over as many steps as could be needed: how often each description can be cut, and one for each function.
+    """
+    given = F.coalesce(F.col(functions) if isinstance(functions, str) else functions, F.array())
+    entries = F.transform(
+        given,
+        lambda f: F.struct(F.coalesce(f["name"], F.lit("")).alias("name"), F.coalesce(f["description"], F.lit("")).alias("description"), F.lit("").alias("mark"), F.coalesce(f["params"], F.array().cast("array<string>")).alias("params")),
+    )
+    cuts = F.transform(entries, lambda r: 2 + F.ceil(F.ln(F.greatest(F.length(r["description"]), F.lit(LEAST_CUT)) / LEAST_CUT) / -math.log(CUT_TO)).cast("int"))
+    steps = F.aggregate(cuts, F.lit(1), lambda n, x: n + x)
+
+    def shown(rows: Column) -> Column:
+        return F.array_join(F.transform(rows, lambda r: F.concat(r["name"], F.lit(": "), r["description"], r["mark"], F.lit(" ("), F.array_join(r["params"], ", "), F.lit(")"))), "\n")
 
+    def shorter(rows: Column) -> Column:
+        def cut(at: Column) -> Column:
+            size = F.greatest(F.lit(LEAST_CUT), F.floor(at["longest"] * CUT_TO).cast("int"))
+            less = lambda r: F.struct(r["name"].alias("name"), F.substring(r["description"], F.lit(1), size).alias("description"), F.lit("…").alias("mark"), r["params"].alias("params"))
+            return F.when(size < at["longest"], F.transform(rows, lambda r, i: F.when(i == at["first"], less(r)).otherwise(r))).otherwise(F.slice(rows, F.lit(1), F.size(rows) - 1))
 
-@F.pandas_udf(StringType())
-def twin(text: pd.Series) -> pd.Series:
+        lengths = F.transform(rows, lambda r: F.length(r["description"]))
+        where = lambda x: F.struct(F.array_max(x).alias("longest"), (F.array_position(x, F.array_max(x)) - 1).alias("first"))
+        return known(known(lengths, where), cut)
+
+    fitted = F.aggregate(F.sequence(F.lit(1), steps), entries, lambda rows, _: F.when((F.size(rows) > 0) & (F.size(words(shown(rows))) > cap), shorter(rows)).otherwise(rows), shown)
+    return F.when(F.size(given) > 0, fitted).otherwise("")
+
+
+def twin(text: Column | str) -> Column:
     """Deterministic perturbation: each digit is the next one, each capitalised word after the first a placeholder in turn.
 
-    A replaced word keeps the marks at its end. State runs along the words, so this is an Arrow-batched function.
+    A replaced word keeps the marks at its end. The turn of a word is its place among those that are replaced.
     """
-    digits = str.maketrans("0123456789", "1234567890")
-
-    def change(value: str | None) -> str:
-        out, named = [], 0
-        for i, word in enumerate((value or "").split()):
-            if i and word[0].isupper():
-                out.append(PLACEHOLDERS[named % len(PLACEHOLDERS)] + word[len(word.rstrip("".join(c for c in word if not c.isalnum()))) :])
-                named += 1
-            else:
-                out.append(word.translate(digits))
-        return " ".join(out)
-
-    return text.map(change)
+    names = F.array(*map(F.lit, PLACEHOLDERS))
+    capitals = lambda w: F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0))), lambda i: (i > 0) & F.get(w, i).rlike(r"^\p{Lu}"))
+
+    def changed(places: Column, word: Column, i: Column) -> Column:
+        turn = F.array_position(places, i)
+        name = F.get(names, ((turn - 1) % len(PLACEHOLDERS)).cast("int"))
+        return F.when(turn > 0, F.concat(name, F.regexp_extract(word, r"[^\p{L}\p{N}]*$", 0))).otherwise(F.translate(word, "0123456789", "1234567890"))
+
+    each = lambda w: known(capitals(w), lambda places: F.transform(w, lambda word, i: changed(places, word, i)))
+    return F.array_join(known(words(F.col(text) if isinstance(text, str) else text), each), " ")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from calibrium.functions import text as X
 from calibrium.functions import vectors as V
 from calibrium.operators.ranks import carried
+from calibrium.sources.files import held
 
 
 def missing_and_extra(have: DataFrame, want: DataFrame, key: str) -> DataFrame:
@@ -84,8 +85,28 @@ def json_numbers(documents: DataFrame, key: str, body: str) -> DataFrame:
     return documents.select(key, F.explode(F.regexp_extract_all(bare, F.lit(r"-?" + X.NUMBER), F.lit(0))).alias("token"))
 
 
+def tree_numbers(documents: DataFrame, key: str, body: str) -> DataFrame:
+    """key, number: every number of a JSON tree (variant) and in its texts, in canonical form, without those of keys.
+
+    The tree is walked level by level, all documents at once; a level without objects and arrays is the last.
+    """
+    spark, level, out = documents.sparkSession, documents.select(key, F.col(body).alias("v")), None
+    while True:
+        level = held(level.withColumn("kind", F.schema_of_variant("v")))
+        inner = F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY")
+        text = F.col("v").cast("string")
+        number = F.col("kind").rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+        tokens = F.when(number, F.array(text)).when(F.col("kind") == "STRING", X.number_tokens(text))
+        found = level.where(~inner).select(key, F.explode(tokens).alias("t")).select(key, X.canonical_number(F.col("t")).alias("number")).where("number IS NOT NULL")
+        out = found if out is None else out.unionByName(found)
+        nested = level.where(inner)
+        if nested.isEmpty():
+            return out
+        level = nested.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).select(F.col("value").alias("inside"))).select(key, F.col("inside").alias("v"))
+
+
 def fingerprint(rows: DataFrame, by: list[str], key: str, columns: list[str]) -> DataFrame:
-    """sha256 of each group's rows in key order, as compact JSON."""
+    """sha256 of each group's rows in key order, as compact JSON, for groups that fit a task; `digests` is for any size."""
     return rows.groupBy(*by).agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct(key, *columns)))), 256).alias("sha256"), F.count("*").alias("n"))
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Tokens of a hit, hits that tell of contamination, hits of twins that still do.
 MIN_PREFIX, MIN_VERBATIM, MAX_TWINS = 6, 4, 1
 
 
@@ -73,11 +75,24 @@ def canary_flags(rows: DataFrame, by: list[str], least: int = MIN_PREFIX) -> Dat
 
 
 def rendered(template: str, **parts: Column) -> Column:
-    """A text template with {name} places filled by columns."""
-    out = F.lit(template)
-    for name, value in parts.items():
-        out = F.replace(out, F.lit("{%s}" % name), F.coalesce(value, F.lit("")))
-    return out
+    """A text template with {name} places filled by columns. The template is cut at its places first, so a value that
+    holds such a place is left as it is; names without a column stay."""
+    cut = re.split("(" + "|".join(re.escape("{%s}" % name) for name in parts) + ")", template) if parts else [template]
+    return F.concat(*[F.coalesce(parts[x[1:-1]], F.lit("")) if i % 2 else F.lit(x) for i, x in enumerate(cut)])
+
+
+def spec_sha256(spec: Column) -> Column:
+    """sha256 of a map of texts as compact JSON with sorted keys, whatever order the map has."""
+    quoted = lambda x: F.to_json(F.array(x))
+    bare = lambda x: F.substring(quoted(x), F.lit(2), F.length(quoted(x)) - 2)
+    pairs = F.transform(F.sort_array(F.map_keys(spec)), lambda k: F.concat(bare(k), F.lit(":"), bare(F.element_at(spec, k))))
+    return F.sha2(F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")), 256)
+
+
+def changed_entries(stored: Column, derived: Column) -> Column:
+    """Keys of a stored record that a new derivation gives another value, sorted; keys that it lacks may have been added."""
+    differ = F.filter(F.map_keys(stored), lambda k: F.map_contains_key(derived, k) & ~F.element_at(stored, k).eqNullSafe(F.element_at(derived, k)))
+    return F.sort_array(differ)
 
 
 def canonical_sha256(spec: dict) -> str:

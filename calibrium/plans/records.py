@@ -100,15 +100,12 @@ def versions_and_refusal(spark, d):
     return counted.withColumns({"rows": F.lit(spark.read.text(lines).count()).cast("long"), "refused": F.lit(refused)})
 
 
-@query("SELECT 'a' AS name, true AS accepted UNION ALL SELECT '../a', false UNION ALL SELECT '.a', false UNION ALL SELECT 'a/b', false UNION ALL SELECT '', false")
+@query("SELECT n_name AS name, CASE n_nationkey % 5 WHEN 0 THEN n_name WHEN 1 THEN '../' || n_name WHEN 2 THEN '.' || n_name WHEN 3 THEN n_name || chr(92) || 'x' ELSE '' END AS asked, n_nationkey % 5 = 0 AS accepted FROM nation")
 def result_names(spark, d):
-    rows = []
-    for name in ("a", "../a", ".a", "a/b", ""):
-        try:
-            rows.append((name, S.result_named(spark, d, name).endswith("/a.json")))
-        except ValueError:
-            rows.append((name, False))
-    return spark.createDataFrame(rows, "name string, accepted boolean")
+    """Names asked for, of which only bare ones may be a result's."""
+    n, k = table(spark, d, "nation"), F.col("n_nationkey") % 5
+    asked = F.when(k == 0, F.col("n_name")).when(k == 1, F.concat(F.lit("../"), "n_name")).when(k == 2, F.concat(F.lit("."), "n_name")).when(k == 3, F.concat("n_name", F.lit("\\x"))).otherwise("")
+    return n.select(F.col("n_name").alias("name"), asked.alias("asked"), S.is_bare_name(asked).alias("accepted"))
 
 
 @query("SELECT vec_id AS id, len(embedding) AS width, embedding[1]::DOUBLE AS first FROM embeddings")
@@ -167,12 +164,14 @@ def calibration_fault_list(spark, d):
     return K.calibration_faults(records, gauges, 0.95)
 
 
-@query("SELECT 'record' AS kind, 'T=1.0, method=fixed, n_fit=0, sa_target=0.95, tau_global=None, taus=None' AS shown UNION ALL SELECT 'changed', 'T, taus'")
+@query("SELECT n_name AS gauge, array_to_string(list_filter([CASE WHEN n_nationkey % 3 = 0 THEN 'T' END, CASE WHEN n_nationkey % 4 = 0 THEN 'taus' END], lambda x: x IS NOT NULL), ', ') AS changed FROM nation")
 def record_verification(spark, d):
-    """The record of a gauge without scores, and what a new derivation of another doesn't reproduce."""
-    record = C.external_record()
-    changed = C.changed_keys({"T": 1.0, "taus": [1], "n_fit": 3, "note": "x"}, {"T": 1.1, "taus": [2], "n_fit": 3, "new": 1})
-    return spark.createDataFrame([("record", ", ".join(f"{k}={record[k]}" for k in sorted(record))), ("changed", ", ".join(changed))], "kind string, shown string")
+    """Stored records against new derivations: other temperatures and thresholds are told, added keys aren't."""
+    n = F.col("n_nationkey")
+    made = lambda t, taus, *more: F.create_map(F.lit("T"), t, F.lit("method"), F.lit("fixed"), F.lit("taus"), taus, *more)
+    derived = made(F.lit("1.0"), F.lit(None).cast("string"))
+    stored = made(F.when(n % 3 == 0, "1.5").otherwise("1.0"), F.when(n % 4 == 0, "0.5,0.5,0.5"), F.lit("note"), F.col("n_name"))
+    return table(spark, d, "nation").select(F.col("n_name").alias("gauge"), F.array_join(K.changed_entries(stored, derived), ", ").alias("changed"))
 
 
 @query("SELECT conv_id, turn, 'role: ' || role || chr(10) || 'text: ' || text AS prompt FROM conversations")
@@ -180,11 +179,12 @@ def rendered_prompts(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", K.rendered("role: {role}\ntext: {text}", role=F.col("role"), text=F.col("text")).alias("prompt"))
 
 
-@query("SELECT count(DISTINCT s) = 1 AS same, max(s) AS sha256 FROM (SELECT sha256('{\"a\":[1,2],\"b\":\"x\"}') AS s)")
+@query("SELECT n_name AS name, sha256('{\"key\":\"' || n_nationkey || '\",\"name\":\"' || n_name || '\"}') AS sha256, true AS same FROM nation")
 def prompt_spec_hash(spark, d):
-    """Key order makes no difference."""
-    one, two = K.canonical_sha256({"b": "x", "a": [1, 2]}), K.canonical_sha256({"a": [1, 2], "b": "x"})
-    return spark.createDataFrame([(one == two, two)], "same boolean, sha256 string")
+    """Digests of specifications; the order of keys makes no difference."""
+    key, name = F.col("n_nationkey").cast("string"), F.col("n_name")
+    one, two = K.spec_sha256(F.create_map(F.lit("key"), key, F.lit("name"), name)), K.spec_sha256(F.create_map(F.lit("name"), name, F.lit("key"), key))
+    return table(spark, d, "nation").select(F.col("n_name").alias("name"), one.alias("sha256"), (one == two).alias("same"))
 
 
 @query(f"WITH {EMISSIONS_SQL} SELECT split, sha256('[' || string_agg('{{\"event_id\":' || event_id || ',\"decision\":' || decision || ',\"parse_ok\":' || (parse_error IS NULL) || '}}', ',' ORDER BY event_id) || ']') AS sha256, count(*) AS n FROM emitted GROUP BY split")

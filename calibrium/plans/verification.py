@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from calibrium.functions import text as X
 from calibrium.functions import vectors as V
 from calibrium.operators import bootstrap as B
+from calibrium.operators import checks as I
 from calibrium.operators import compare as P
 from calibrium.operators import dataset as D
 from calibrium.operators import digests as T
@@ -302,3 +303,18 @@ def ordered_lines(spark, d):
         return S.ordered_lines(spark, path).select("ord", F.col("value").cast("long").alias("event_id"))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+# Trees and texts
+
+
+@query(
+    "SELECT event_id, regexp_replace(x::VARCHAR, '[.]0$', '') AS number, count(*) AS n FROM "
+    "(SELECT event_id, unnest([event_id + 0.5, 3.0, user_id, event_id, -70.0]::DOUBLE[]) AS x FROM events) GROUP BY ALL"
+)
+def tree_numbers(spark, d):
+    """Numbers of nested JSON by walking it: keys with digits, marks and colons give none, texts and nested lists do."""
+    n, u = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    body = F.concat(F.lit(r'{"a\"9\"": ['), n, F.lit('.50, {"b:2": "x 3 y:'), u, F.lit('"}, null, true], "n": '), n, F.lit(', "deep": [[[-7e1]]], "13": {}}'))
+    rows = table(spark, d, "events").select("event_id", F.parse_json(body).alias("body"))
+    return I.tree_numbers(rows, "event_id", "body").groupBy("event_id", "number").agg(F.count("*").alias("n"))

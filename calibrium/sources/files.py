@@ -81,6 +81,11 @@ def gauge_results(documents: DataFrame) -> DataFrame:
     return out.join(calibs, "stem", "left").withColumn("calibrated", F.coalesce("calibrated", F.lit(False)))
 
 
+def is_bare_name(name: Column) -> Column:
+    """Whether a name may be a file's stem: not empty, no separators, no dot at the start."""
+    return F.coalesce((name != "") & ~name.rlike(r"[/\\]") & ~name.startswith("."), F.lit(False))
+
+
 def result_named(spark: SparkSession, folder: str, name: str) -> str:
     """Path of a result by its bare stem; separators and dots at the start are refused."""
     if not name or "/" in name or "\\" in name or name.startswith("."):
@@ -163,8 +168,10 @@ def append_ledger(calls: DataFrame, path: str, secrets: list[str]) -> None:
 
 
 def append_version(block: DataFrame, path: str) -> None:
-    """A new version of a metric block: a partition by the time it was made; older ones are never touched."""
-    block.withColumn("version", F.date_format(F.current_timestamp(), "yyyyMMdd'T'HHmmssSSS")).write.mode("append").partitionBy("version").parquet(path)
+    """A new version of a metric block: a partition by the time it was made and a mark of its own, so that two writers at
+    the same moment make two; older ones are never touched."""
+    mark = F.concat(F.date_format(F.current_timestamp(), "yyyyMMdd'T'HHmmssSSS"), F.lit(f"-{uuid.uuid4().hex[:12]}"))
+    block.withColumn("version", mark).write.mode("append").partitionBy("version").parquet(path)
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
