@@ -4,7 +4,8 @@
    MinHash values and the keys of 40 bands of 5. Documents with equal sets form a class, a node from here on.
 2. In every bucket (nodes that share a band) each member is paired with the bucket's leader, the member that meets
    most others over all its buckets: a star, so a bucket of n members makes n pairs, not n * n. The buckets of a group of
-   copies tend to have one leader, the text that the others are copies of.
+   copies tend to have one leader, the text that the others are copies of. Each member is first verified with the best of
+   its leaders alone; the others are met only in buckets that are open then, by members of other components.
 3. Pairs are verified in batches of signature values: after each batch a pair is dropped if the posterior probability
    that its similarity reaches the threshold (uniform prior) is below `MISS`. Survivors are compared on their full sets.
 4. Verified links give components. Buckets whose members now lie in one component are finished. In the others the
@@ -321,12 +322,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = cut_lineage(exploded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), files)
     members = cut_lineage(join_counted(exploded, shared, ["key"]), files)
     met = cut_lineage(members.groupBy("node").agg(F.sum("members").alias("met")), files)
-    leaders = cut_lineage(members.join(met, "node").groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("minus"))).alias("x"), F.count("*").alias("of")).select("key", (-F.col("x.minus")).alias("leader"), "of"), files)
+    leaders = cut_lineage(members.join(met, "node").groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("minus"))).alias("x"), F.count("*").alias("of")).select("key", (-F.col("x.minus")).alias("leader"), F.col("x.met").alias("led_met"), "of"), files)
     release(shared)
     led = cut_lineage(join_counted(members, leaders, ["key"], "of").drop("of"), files)
     release(members, leaders)
-    star = led.where("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-    component = cut_lineage(components(_verified(star, nodes, texts, size, percent, files), files), files)
+    pair = [F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")]
+    best = led.where("node <> leader").groupBy("node").agg(F.max(F.struct("led_met", (-F.col("leader")).alias("minus"))).alias("x"))
+    first = cut_lineage(best.select("node", (-F.col("x.minus")).alias("leader")).select(*pair).distinct(), files)
+    component = cut_lineage(components(_verified(first, nodes, texts, size, percent, files), files), files)
+
+    at = component.toDF("leader", "led_component")
+    still = _open(cut_lineage(_placed(led, component), files), "key").where("node <> leader").join(at, "leader", "left")
+    star = still.where("component <> coalesce(led_component, leader)").select(*pair).distinct().join(first, ["a", "b"], "left_anti")
+    component = _merged(component, _verified(star, nodes, texts, size, percent, files), files)
+    release(first)
 
     rest = cut_lineage(_open(cut_lineage(_placed(led, component), files), "key"), files)
     tested = rest.where("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
