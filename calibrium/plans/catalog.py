@@ -471,7 +471,15 @@ def canary_prefix(spark, d):
     return joined.select("doc_id", "item_id", F.size(X.words(first)).cast("long").alias("half"), X.shared_prefix(X.words(F.col("x")), X.words(F.col("y"))).alias("shared"))
 
 
-@query()
+_PREFIX = "w[1:len(w) // 2]"
+_NAMES = "[" + ", ".join(f"'{x}'" for x in X.PLACEHOLDERS) + "]"
+
+
+@query(
+    f"WITH d AS (SELECT doc_id, {_PREFIX} AS w FROM (SELECT doc_id, {WORDS_SQL.format('text')} AS w FROM documents)), c AS (SELECT *, list_filter(range(2, len(w) + 1), lambda i: regexp_matches(w[i], '^\\p{{Lu}}')) AS places FROM d), "
+    f"t AS (SELECT doc_id, w, list_transform(range(1, len(w) + 1), lambda i: CASE WHEN list_contains(places, i) THEN {_NAMES}[(list_position(places, i) - 1) % {len(X.PLACEHOLDERS)} + 1] || regexp_extract(w[i], '[^\\p{{L}}\\p{{N}}]*$') ELSE translate(w[i], '0123456789', '1234567890') END) AS t FROM c) "
+    "SELECT doc_id, array_to_string(t, ' ') AS twin, coalesce(list_filter(range(1, len(w) + 1), lambda i: w[i] <> t[i])[1] - 1, len(w))::INT AS shared FROM t"
+)
 def perturbed_twins(spark, d):
     """Prefixes with digits and names changed, and how much of them stays."""
     first, _ = X.halves(F.col("text"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from calibrium.functions import text as X
 from calibrium.functions import vectors as V
 from calibrium.operators import bootstrap as B
+from calibrium.operators import calibration as C
 from calibrium.operators import checks as I
 from calibrium.operators import compare as P
 from calibrium.operators import dataset as D
@@ -16,10 +17,12 @@ from calibrium.operators import digests as T
 from calibrium.operators import metrics as M
 from calibrium.operators import probe as L
 from calibrium.operators import report as R
+from calibrium.operators import scoring as Z
 from calibrium.operators import verify as W
 from calibrium.plans import fixtures as X0
 from calibrium.plans.catalog import BY, METRICS, N_BOOT, _RESAMPLED, _resampled
 from calibrium.plans.fixtures import EMISSIONS_SQL, TERMS_SQL, metrics_sql, table
+from calibrium.sources import features as N
 from calibrium.sources import files as S
 from calibrium.streaming import gate as G
 
@@ -318,3 +321,137 @@ def tree_numbers(spark, d):
     body = F.concat(F.lit(r'{"a\"9\"": ['), n, F.lit('.50, {"b:2": "x 3 y:'), u, F.lit('"}, null, true], "n": '), n, F.lit(', "deep": [[[-7e1]]], "13": {}}'))
     rows = table(spark, d, "events").select("event_id", F.parse_json(body).alias("body"))
     return I.tree_numbers(rows, "event_id", "body").groupBy("event_id", "number").agg(F.count("*").alias("n"))
+
+
+# Before scoring
+
+
+_LABEL = "['no-call', 'one-call', 'multi-call'][event_id % 3 + 1]"
+
+
+def _labelled(spark, d):
+    label = F.get(F.array(*map(F.lit, V.LABELS)), (F.col("event_id") % 3).cast("int"))
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), label.alias("label"))
+
+
+@query(
+    "SELECT (event_id)::VARCHAR AS key, 'label' AS fault FROM events WHERE event_id % 11 = 4 UNION ALL SELECT event_id::VARCHAR, 'repeated' FROM events WHERE event_id % 13 = 2 "
+    "UNION ALL SELECT NULL, 'no key' FROM (SELECT count(*) AS n FROM events WHERE event_id % 17 = 1) WHERE n > 0"
+)
+def truth_file_faults(spark, d):
+    """A split file with labels out of the domain, repeated ids and rows without one."""
+    i, rows = F.col("id"), _labelled(spark, d)
+    odd = rows.withColumn("label", F.when(i % 11 == 4, "two-call").otherwise(F.col("label")))
+    odd = odd.union(odd.where(i % 13 == 2)).union(rows.where(i % 17 == 1).select(F.lit(None).cast("long"), "label"))
+    return Z.truth_faults(odd, V.LABELS)
+
+
+@query(
+    "SELECT event_id::VARCHAR AS key, CASE WHEN event_id % 19 = 0 THEN 'missing' WHEN event_id % 19 = 1 THEN 'label' ELSE 'repeated' END AS fault FROM events WHERE event_id % 19 < 3 UNION ALL SELECT '-1', 'extra'"
+)
+def split_agreement(spark, d):
+    """A gauge's rows that miss, repeat, relabel and add items of the split file."""
+    i, truth = F.col("id"), _labelled(spark, d)
+    rows = truth.where(i % 19 != 0).withColumn("label", F.when(i % 19 == 1, F.lit("other")).otherwise(F.col("label")))
+    rows = rows.union(rows.where(i % 19 == 2)).union(spark.createDataFrame([(-1, "one-call")], "id long, label string"))
+    return Z.split_faults(rows, truth)
+
+
+@query(
+    "WITH a AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS place FROM events), b AS (SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_id % 100 = 7 THEN event_id + 2.5 ELSE event_id END) AS place FROM events WHERE event_id < (SELECT max(event_id) FROM events)) "
+    "SELECT coalesce(a.place, b.place) AS place, a.event_id AS left_key, b.event_id AS right_key FROM a FULL JOIN b ON a.place = b.place WHERE a.event_id IS DISTINCT FROM b.event_id"
+)
+def order_assertion(spark, d):
+    """Places where two runs over all events differ: some items come later in the second, and its last is missing."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"))
+    last = e.agg(F.max("id")).first()[0]
+    a = e.withColumn("ord", F.col("id").cast("double"))
+    b = e.where(F.col("id") < last).withColumn("ord", F.col("id") + F.when(F.col("id") % 100 == 7, 2.5).otherwise(0.0))
+    return Z.order_faults(a, b)
+
+
+@query(
+    "SELECT n_name || CASE WHEN n_nationkey % 7 = 1 THEN '.partial.json' ELSE '.json' END AS file, CASE WHEN n_nationkey % 7 IN (0, 1) THEN 'partial' WHEN n_nationkey % 7 = 2 THEN 'empty' WHEN n_nationkey % 7 = 3 THEN 'count' ELSE 'vectors' END AS fault FROM nation WHERE n_nationkey % 7 < 5"
+)
+def partial_files(spark, d):
+    """Result files of which some are checkpoints left behind, empty, truncated, or hold broken vectors."""
+    k = F.col("n_nationkey") % 7
+    n = table(spark, d, "nation").select(
+        F.concat("n_name", F.when(k == 1, ".partial.json").otherwise(".json")).alias("file"), (k == 0).alias("partial"), F.when(k == 2, 0).otherwise(10).alias("n_items"), F.when(k == 6, 2).otherwise(0).alias("n_failed"),
+        F.when(k == 2, 0).when(k == 3, 4).otherwise(3).alias("n_fit"), F.when(k == 2, 0).when(k == 6, 9).otherwise(7).alias("n_exam"), F.when(k == 4, 1).otherwise(0).alias("n_broken"),
+    )
+    return Z.file_faults(n)
+
+
+@query("SELECT n_name AS name, CASE n_nationkey % 4 WHEN 0 THEN 'no section' WHEN 1 THEN 'other prompt' ELSE 'registered late' END AS fault FROM nation WHERE n_nationkey % 4 < 3")
+def registered_runs(spark, d):
+    """Runs without a section, with another prompt than the registered one, and registered after they began."""
+    n, k = table(spark, d, "nation").withColumn("name", F.col("n_name")), F.col("n_nationkey") % 4
+    heading, digest = F.concat(F.lit("## Run "), "n_name"), F.sha2(F.col("n_name"), 256)
+    text = F.concat(F.lit("# Plan\nsee "), heading, F.lit("\n"), F.when(k != 0, F.concat(heading, F.lit("\nprompt "))).otherwise(""), F.when(k == 1, "none").otherwise(digest), F.lit("\n"))
+    return Z.registration_faults(n, text, heading, digest, F.lit(10), F.when(k == 2, 10).otherwise(9))
+
+
+@query("SELECT * FROM (VALUES (0, 'truth', 'label', (SELECT count(*) FROM events WHERE event_id % 11 = 4)), (1, 'split', 'missing', (SELECT count(*) FROM events WHERE event_id % 19 = 0)), (2, 'files', 'count', (SELECT count(*) FROM nation WHERE n_nationkey % 3 = 0))) v(place, step, fault, n) WHERE n > 0")
+def scoring_guards(spark, d):
+    """All guards in the order they are passed, with what each refuses."""
+    i, truth = F.col("id"), _labelled(spark, d)
+    files = table(spark, d, "nation").select(F.concat("n_name", F.lit(".json")).alias("file"), F.lit(False).alias("partial"), F.lit(5).alias("n_items"), F.lit(0).alias("n_failed"), F.lit(2).alias("n_fit"), F.when(F.col("n_nationkey") % 3 == 0, 4).otherwise(3).alias("n_exam"), F.lit(0).alias("n_broken"))
+    odd = truth.withColumn("label", F.when(i % 11 == 4, "two-call").otherwise(F.col("label")))
+    return Z.guard_scoring([("truth", Z.truth_faults(odd, V.LABELS)), ("split", Z.split_faults(truth.where(i % 19 != 0), truth)), ("files", Z.file_faults(files))])
+
+
+# Descent and allocation, as SQL repeats them
+
+
+_GRID66 = ", ".join(str(34 + i) for i in range(66))
+_SUM = "({x}0[p0 + 1 - ({c} = 0 AND {d})::INT] + {x}1[p1 + 1 - ({c} = 1 AND {d})::INT] + {x}2[p2 + 1 - ({c} = 2 AND {d})::INT])"
+_MEETS = "({a} > 0 AND {r} / {a}::DOUBLE + 1e-12 >= target)".format(a=_SUM.format(x="a", c="c", d="true"), r=_SUM.format(x="r", c="c", d="true"))
+_MAY = f"(CASE c WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END > 0 AND {_MEETS})"
+_LISTS = ", ".join(f"list(coalesce(a{c}, 0) ORDER BY hundredth) AS a{c}, list(coalesce(r{c}, 0) ORDER BY hundredth) AS r{c}" for c in range(3))
+_CELLS66 = ", ".join(f"sum((pred = {c} AND conf >= hundredth / 100.0::DOUBLE)::INT)::BIGINT AS a{c}, sum((pred = {c} AND conf >= hundredth / 100.0::DOUBLE)::INT * correct)::BIGINT AS r{c}" for c in range(3))
+
+
+@query(
+    f"WITH RECURSIVE {TERMS_SQL}, cells AS (SELECT gauge, hundredth, {_CELLS66} FROM (SELECT * FROM terms WHERE split = 'fit'), (SELECT unnest([{_GRID66}]) AS hundredth) GROUP BY ALL), lists AS (SELECT gauge, target, {_LISTS} FROM cells, (SELECT unnest([0.8, 0.95, 0.97]::DOUBLE[]) AS target) GROUP BY gauge, target), "
+    "begun AS (SELECT *, list_filter(range(1, 67), lambda i: a0[i] + a1[i] + a2[i] > 0 AND (r0[i] + r1[i] + r2[i]) / (a0[i] + a1[i] + a2[i])::DOUBLE + 1e-12 >= target)[1] - 1 AS g FROM lists), "
+    "descent AS (SELECT gauge, target, a0, a1, a2, r0, r1, r2, g, g AS p0, g AS p1, g AS p2, 0 AS c, false AS changed, 0 AS step FROM begun WHERE g IS NOT NULL UNION ALL "
+    f"SELECT gauge, target, a0, a1, a2, r0, r1, r2, g, p0 - (c = 0 AND {_MAY})::INT, p1 - (c = 1 AND {_MAY})::INT, p2 - (c = 2 AND {_MAY})::INT, CASE WHEN {_MAY} THEN c WHEN c = 2 THEN CASE WHEN changed THEN 0 ELSE 3 END ELSE c + 1 END, CASE WHEN {_MAY} THEN true WHEN c = 2 THEN false ELSE changed END, step + 1 FROM descent WHERE c < 3) "
+    "SELECT b.gauge, b.target, (34 + b.g) AS tau_global, CASE WHEN b.g IS NULL THEN NULL ELSE (34 + p0) || ',' || (34 + p1) || ',' || (34 + p2) END AS taus FROM begun b LEFT JOIN descent d ON d.gauge = b.gauge AND d.target = b.target AND d.c = 3"
+)
+def threshold_descent(spark, d):
+    """Thresholds (in hundredths) by the descent on class counts, for three targets; null where a target is out of reach."""
+    rows = []
+    for gauge in X0.GAUGES:
+        fit = X0.terms(spark, d).where((F.col("gauge") == gauge) & (F.col("split") == "fit"))
+        for target in (0.8, 0.95, 0.97):
+            r = C.fit_thresholds(fit, X0.K, target)
+            rows.append((gauge, target, round(100 * r["tau_global"]) if r["tau_global"] else None, ",".join(str(round(100 * t)) for t in r["taus"]) if r["target_reachable"] else None))
+    return spark.createDataFrame(rows, "gauge string, target double, tau_global long, taus string")
+
+
+_SHARE = "((target - coalesce(list_sum(pin), 0)) * n[i] / list_sum(list_transform(range(1, len(n) + 1), lambda j: CASE WHEN pin[j] IS NULL THEN n[j] ELSE 0 END))::DOUBLE)"
+SQL["allocate_sizes"] = (
+    "WITH RECURSIVE c AS (SELECT list(source ORDER BY source) AS f, list(k ORDER BY source) AS n FROM (SELECT source, count(*) AS k FROM documents GROUP BY source)), "
+    "b AS (SELECT f, n, list_transform(n, lambda x: least(10, x)) AS lo, (list_sum(n) // 5)::BIGINT AS target FROM c), "
+    "s AS (SELECT f, CASE WHEN list_sum(lo) > target THEN lo ELSE n END AS n, lo, list_transform(n, lambda x: NULL::BIGINT) AS pin, target, CASE WHEN list_sum(lo) <= target THEN 1 END AS placed, 0 AS step FROM b UNION ALL "
+    f"SELECT f, n, lo, list_transform(range(1, len(n) + 1), lambda i: CASE WHEN i = hit THEN CASE WHEN {_SHARE} < lo[i] THEN lo[i] ELSE n[i] END ELSE pin[i] END), target, hit, step + 1 FROM (SELECT *, list_filter(range(1, len(n) + 1), lambda i: pin[i] IS NULL AND ({_SHARE} < lo[i] OR {_SHARE} > n[i]))[1] AS hit FROM s WHERE placed IS NOT NULL)), "
+    "last AS (SELECT * FROM s WHERE placed IS NULL), "
+    f"open AS (SELECT f[i] AS source, pin[i] AS pinned, {_SHARE} AS share, target - list_sum(list_transform(range(1, len(n) + 1), lambda j: pin[j])) AS left_, target FROM last, LATERAL (SELECT unnest(range(1, len(n) + 1)) AS i)), "
+    "w AS (SELECT *, row_number() OVER (PARTITION BY pinned IS NULL ORDER BY floor(share) - share, source) AS place, coalesce(left_, target) - sum(floor(share)) OVER (PARTITION BY pinned IS NULL) AS more FROM open) "
+    "SELECT source::VARCHAR AS source, coalesce(pinned, (floor(share) + (place <= more)::INT)::BIGINT)::BIGINT AS n FROM w"
+)
+
+
+# Features
+
+
+@query("SELECT vec_id AS id, len(embedding) AS width, embedding[1]::DOUBLE AS first, embedding[len(embedding)]::DOUBLE AS last FROM embeddings")
+def feature_source(spark, d):
+    """All embeddings written as a matrix in blocks with digests, and read back a block at a time."""
+    N.register(spark)
+    path = S.scratch(spark, "matrix")
+    table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<float>").alias("features")).write.format("features").option("block_rows", 256).mode("append").save(path)
+    back = spark.read.format("features").load(path)
+    n = F.size("features")
+    return back.select("id", n.cast("long").alias("width"), F.get("features", F.lit(0)).cast("double").alias("first"), F.get("features", n - 1).cast("double").alias("last"))
