@@ -69,8 +69,8 @@ def run_file(spark, d):
     path = S.scratch(spark, "run")
     e = table(spark, d, "events").select(F.lit(1).alias("k"), F.col("event_id").alias("o"), F.to_json(F.struct(F.lit("item").alias("kind"), F.col("event_id").alias("id"))).alias("value"))
     ends = spark.createDataFrame([(0, 0, '{"kind": "header"}'), (2, 0, '{"kind": "footer"}')], "k int, o long, value string")
-    e.union(ends).coalesce(1).sortWithinPartitions("k", "o").select("value").write.text(path)
-    header, items, footer = S.read_run(S.read_jsonl(spark, path))
+    e.union(ends).repartitionByRange("k", "o").sortWithinPartitions("k", "o").select("value").write.text(path)
+    header, items, footer = S.read_run(S.parsed_lines(S.ordered_lines(spark, path, as_one=True)))
     return items.agg(F.count("*").alias("items")).crossJoin(header.agg(F.count("*").alias("headers"))).crossJoin(footer.agg(F.count("*").alias("footers")))
 
 
@@ -110,10 +110,10 @@ def stream_counts(spark, d):
     source = S.scratch(spark, "events")
     table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type").repartition(4).write.parquet(source)
     stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
-    name = f"counts_{source[-8:]}"
-    q = G.running_counts(stream, "ts", "1 hour", "1 day", F.col("event_type") == "error").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    out = S.scratch(spark, "counts")
+    counts = G.running_counts(stream, "ts", "1 hour", "1 day", F.col("event_type") == "error")
+    G.write_complete(counts, out, f"{out}-checkpoint").awaitTermination()
+    return spark.read.parquet(out).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 def _features(spark, d):
@@ -139,6 +139,8 @@ def labels_needed_sweep(spark, d):
             model = L.fit(L.subsample(rows.where("split = 'fit'"), n, draw, 3), 0.01, n)
             one = M.metrics(M.term_table(L.logits(model, rows.where("split = 'exam'"))), []).select(F.lit(n).alias("n"), F.lit(draw).alias("k"), F.round("accuracy", 4).alias("value"))
             out = one if out is None else out.union(one)
+    out = S.held(out)
+    rows.unpersist()
     return out
 
 
@@ -155,7 +157,7 @@ def unfulfilled_promises(spark, d):
 
 @query()
 def trimmed_tool_blocks(spark, d):
-    """Tool blocks within a cap of words, by the iterative cut (Arrow batches)."""
+    """Tool blocks within a cap of words, by the iterative cut."""
     p = table(spark, d, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct(F.col("p_name").alias("name"), F.col("p_type").alias("description"), F.array(F.col("p_size").cast("string")).alias("params")))).alias("functions"))
     return p.select("p_brand", X.trimmed_tools("functions", F.lit(40)).alias("block"))
 

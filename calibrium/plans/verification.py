@@ -14,6 +14,7 @@ from calibrium.operators import checks as I
 from calibrium.operators import compare as P
 from calibrium.operators import dataset as D
 from calibrium.operators import digests as T
+from calibrium.operators import gauges as E
 from calibrium.operators import metrics as M
 from calibrium.operators import probe as L
 from calibrium.operators import report as R
@@ -412,12 +413,19 @@ _LISTS = ", ".join(f"list(coalesce(a{c}, 0) ORDER BY hundredth) AS a{c}, list(co
 _CELLS66 = ", ".join(f"sum((pred = {c} AND conf >= hundredth / 100.0::DOUBLE)::INT)::BIGINT AS a{c}, sum((pred = {c} AND conf >= hundredth / 100.0::DOUBLE)::INT * correct)::BIGINT AS r{c}" for c in range(3))
 
 
+def _descent(ctes: str, source: str, targets: str) -> str:
+    """CTEs begun and descent: where the descent starts and, at c = 3, where it ends. source: gauge, pred, conf, correct."""
+    return (
+        f"WITH RECURSIVE {ctes}, cells AS (SELECT gauge, hundredth, {_CELLS66} FROM {source}, (SELECT unnest([{_GRID66}]) AS hundredth) GROUP BY ALL), lists AS (SELECT gauge, target, {_LISTS} FROM cells, (SELECT unnest([{targets}]::DOUBLE[]) AS target) GROUP BY gauge, target), "
+        "begun AS (SELECT *, list_filter(range(1, 67), lambda i: a0[i] + a1[i] + a2[i] > 0 AND (r0[i] + r1[i] + r2[i]) / (a0[i] + a1[i] + a2[i])::DOUBLE + 1e-12 >= target)[1] - 1 AS g FROM lists), "
+        "descent AS (SELECT gauge, target, a0, a1, a2, r0, r1, r2, g, g AS p0, g AS p1, g AS p2, 0 AS c, false AS changed, 0 AS step FROM begun WHERE g IS NOT NULL UNION ALL "
+        f"SELECT gauge, target, a0, a1, a2, r0, r1, r2, g, p0 - (c = 0 AND {_MAY})::INT, p1 - (c = 1 AND {_MAY})::INT, p2 - (c = 2 AND {_MAY})::INT, CASE WHEN {_MAY} THEN c WHEN c = 2 THEN CASE WHEN changed THEN 0 ELSE 3 END ELSE c + 1 END, CASE WHEN {_MAY} THEN true WHEN c = 2 THEN false ELSE changed END, step + 1 FROM descent WHERE c < 3) "
+    )
+
+
 @query(
-    f"WITH RECURSIVE {TERMS_SQL}, cells AS (SELECT gauge, hundredth, {_CELLS66} FROM (SELECT * FROM terms WHERE split = 'fit'), (SELECT unnest([{_GRID66}]) AS hundredth) GROUP BY ALL), lists AS (SELECT gauge, target, {_LISTS} FROM cells, (SELECT unnest([0.8, 0.95, 0.97]::DOUBLE[]) AS target) GROUP BY gauge, target), "
-    "begun AS (SELECT *, list_filter(range(1, 67), lambda i: a0[i] + a1[i] + a2[i] > 0 AND (r0[i] + r1[i] + r2[i]) / (a0[i] + a1[i] + a2[i])::DOUBLE + 1e-12 >= target)[1] - 1 AS g FROM lists), "
-    "descent AS (SELECT gauge, target, a0, a1, a2, r0, r1, r2, g, g AS p0, g AS p1, g AS p2, 0 AS c, false AS changed, 0 AS step FROM begun WHERE g IS NOT NULL UNION ALL "
-    f"SELECT gauge, target, a0, a1, a2, r0, r1, r2, g, p0 - (c = 0 AND {_MAY})::INT, p1 - (c = 1 AND {_MAY})::INT, p2 - (c = 2 AND {_MAY})::INT, CASE WHEN {_MAY} THEN c WHEN c = 2 THEN CASE WHEN changed THEN 0 ELSE 3 END ELSE c + 1 END, CASE WHEN {_MAY} THEN true WHEN c = 2 THEN false ELSE changed END, step + 1 FROM descent WHERE c < 3) "
-    "SELECT b.gauge, b.target, (34 + b.g) AS tau_global, CASE WHEN b.g IS NULL THEN NULL ELSE (34 + p0) || ',' || (34 + p1) || ',' || (34 + p2) END AS taus FROM begun b LEFT JOIN descent d ON d.gauge = b.gauge AND d.target = b.target AND d.c = 3"
+    _descent(TERMS_SQL, "(SELECT * FROM terms WHERE split = 'fit')", "0.8, 0.95, 0.97")
+    + "SELECT b.gauge, b.target, (34 + b.g) AS tau_global, CASE WHEN b.g IS NULL THEN NULL ELSE (34 + p0) || ',' || (34 + p1) || ',' || (34 + p2) END AS taus FROM begun b LEFT JOIN descent d ON d.gauge = b.gauge AND d.target = b.target AND d.c = 3"
 )
 def threshold_descent(spark, d):
     """Thresholds (in hundredths) by the descent on class counts, for three targets; null where a target is out of reach."""
@@ -430,6 +438,25 @@ def threshold_descent(spark, d):
     return spark.createDataFrame(rows, "gauge string, target double, tau_global long, taus string")
 
 
+_BEST = "list_sort(list_transform(list_filter(range(1, 67), lambda i: b.a0[i] + b.a1[i] + b.a2[i] > 0), lambda i: {'sa': -round((b.r0[i] + b.r1[i] + b.r2[i]) / (b.a0[i] + b.a1[i] + b.a2[i])::DOUBLE, 12), 'i': i}))[1].i"
+
+
+@query(
+    _descent(EMISSIONS_SQL, "(SELECT split AS gauge, greatest(decision, 0) AS pred, confidence AS conf, (decision = y)::INT AS correct FROM emitted)", "0.5, 0.95")
+    + f"SELECT b.gauge AS split, b.target, CASE WHEN b.g IS NULL THEN 'fallback' ELSE 'per class' END AS mode, CASE WHEN b.g IS NULL THEN (33 + {_BEST}) ELSE (34 + b.g) END AS tau_global, "
+    f"CASE WHEN b.g IS NULL THEN (33 + {_BEST}) || ',' || (33 + {_BEST}) || ',' || (33 + {_BEST}) ELSE (34 + p0) || ',' || (34 + p1) || ',' || (34 + p2) END AS taus FROM begun b LEFT JOIN descent d ON d.gauge = b.gauge AND d.target = b.target AND d.c = 3"
+)
+def emission_thresholds(spark, d):
+    """Thresholds (in hundredths) of the responses' own confidence, per class or the one that is best where a target is out of reach."""
+    rows = []
+    e = E.emissions(X0.emission_rows(spark, d))
+    for split in ("fit", "exam"):
+        for target in (0.5, 0.95):
+            r = E.emission_gate(e.where(F.col("split") == split), X0.K, target)
+            rows.append((split, target, r["mode"], round(100 * r["tau_global"]), ",".join(str(round(100 * t)) for t in r["taus"])))
+    return spark.createDataFrame(rows, "split string, target double, mode string, tau_global long, taus string")
+
+
 _SHARE = "((target - coalesce(list_sum(pin), 0)) * n[i] / list_sum(list_transform(range(1, len(n) + 1), lambda j: CASE WHEN pin[j] IS NULL THEN n[j] ELSE 0 END))::DOUBLE)"
 SQL["allocate_sizes"] = (
     "WITH RECURSIVE c AS (SELECT list(source ORDER BY source) AS f, list(k ORDER BY source) AS n FROM (SELECT source, count(*) AS k FROM documents GROUP BY source)), "

@@ -42,8 +42,9 @@ def read_jsonl(spark: SparkSession, path: str, tolerant: bool = False) -> DataFr
     return rows.select("file", "ord", (F.try_parse_json("line") if tolerant else F.parse_json(F.col("line"))).alias("body"))
 
 
-def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+def ordered_lines(spark: SparkSession, path: str, as_one: bool = False) -> DataFrame:
     """file, ord (line of the file, from 0, blank ones not counted), value; a file is read in byte ranges, by many tasks.
+    as_one: the files of a folder, in the order of their names, are one file, called by the folder.
 
     A range's lines come in their order, so a line's place in it is how far its row number is from the range's first; the
     ranges before it add their counts. Only those, a row per range, are joined with the lines; they are held, so every
@@ -53,9 +54,15 @@ def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.option("lineSep", "\n").text(path).select(where.alias("at"), F.rtrim(F.col("value"), F.lit("\r")).alias("value")).where(F.trim("value") != "")
     rows = held(lines.withColumn("row", F.monotonically_increasing_id()))
     ranges = rows.groupBy("at").agg(F.min("row").alias("first"), F.count("*").alias("n"))
-    before = Window.partitionBy("at.file").orderBy("at.begin").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*([] if as_one else ["at.file"])).orderBy("at.file", "at.begin").rowsBetween(Window.unboundedPreceding, -1)
+    name = F.lit(path.rstrip("/").rsplit("/", 1)[-1]).alias("file") if as_one else F.col("at.file")
     starts = ranges.select("at", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return rows.join(starts, "at").select("at.file", (F.col("start") + F.col("row") - F.col("first")).alias("ord"), "value")
+    return rows.join(starts, "at").select(name, (F.col("start") + F.col("row") - F.col("first")).alias("ord"), "value")
+
+
+def parsed_lines(lines: DataFrame, tolerant: bool = False) -> DataFrame:
+    """file, ord, body (variant) of ordered lines; a bad line fails, or gives a null body if tolerant."""
+    return lines.select("file", "ord", (F.try_parse_json("value") if tolerant else F.parse_json(F.col("value"))).alias("body"))
 
 
 def write_jsonl(df: DataFrame, path: str, order: list[str], overwrite: bool = False) -> None:

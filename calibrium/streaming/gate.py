@@ -86,6 +86,15 @@ def guarded_stream(stream: DataFrame, by: list[str], order: list[str], failed: s
     return stream.groupBy(*by).transformWithStateInPandas(Guard(), schema, "append", "none")
 
 
+def write_complete(counts: DataFrame, path: str, checkpoint: str):
+    """Starts a query over an aggregate whose whole result replaces the one before, after each micro-batch."""
+
+    def write(result: DataFrame, number: int) -> None:
+        result.write.mode("overwrite").parquet(path)
+
+    return counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def write_batches(stream: DataFrame, path: str, checkpoint: str):
     """Starts a query whose micro-batches go to folders by their number, each overwritten when its batch is done again.
 
