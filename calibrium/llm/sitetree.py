@@ -1,7 +1,7 @@
 """Operator 8, main text of pages by site style trees.
 
-The pages of a host are merged into one tree: a node is a path of elements with their classes and ids, and knows in how
-many pages it stands, which child sequences (presentation) and which own texts (content) it has there, and how often.
+The pages of a host are merged into one tree: a node is a path of elements with their classes and ids, written as a number
+made of its parent's and its own name (so deep pages cost no more than their elements), and knows in how many pages it stands, which child sequences (presentation) and which own texts (content) it has there, and how often.
 Importance of a node = (1 - 0.9**l) * presentation + 0.9**l * content, for l presentations, each term an entropy over
 pages divided by its maximum: 1 where pages differ, 0 where they repeat. At nodes of low importance the own texts that
 repeat are removed, each by its content; what other pages or the elements below hold stays.
@@ -51,8 +51,8 @@ ASIDE_TAGS = frozenset("head nav aside footer form script style noscript templat
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 ASIDE_NAMES = frozenset(
     """ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe subscription
-    sidebar sidebars widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs header footer masthead topbar comment comments commentlist reply replies respond disqus share sharing
-    social related recommended recommendations toolbar login signup search pagination pager skip disclaimer alert""".split()
+    adsbygoogle sidebar sidebars widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs header footer masthead topbar comment comments commentlist reply replies respond disqus share sharing
+    social related recommended recommendations toolbar login signup search pagination pager skip disclaimer""".split()
 )
 #: Parts of the main element's discussion, and lists of other articles: around an article they still name what is beside.
 AROUND_OTHERS = frozenset("comment comments commentlist reply replies respond disqus related recommended recommendations".split())
@@ -61,9 +61,9 @@ COMMENTS = frozenset("comment comments reply".split())
 COMPANIONS = frozenset(
     """area bar bars block blocks body bottom box boxes btn button buttons center col column container content desktop fixed form global group holder icon icons inner inline item items label
     left link links list lists main message messages mobile module outer page panel post posts primary right row rows secondary section sections site slot slots small sticky text title top
-    unit units wrap wrapper wrappers zone""".split()
+    unit units wrap wrapper wrappers zone reader readers user users visitor visitors thread threads law info""".split()
 )
-NAME = 60
+NAME, ROOT = 60, -1
 _TAG = re.compile(r"""<(?:!--(.*?)(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)(>|\Z)|[!?][^>]*(?:>|\Z))""", re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
@@ -98,8 +98,11 @@ def _signature(tag: str, attributes: str, around: bool = False) -> tuple[str, bo
     return name, beside
 
 
-def walk(page: str | None) -> Iterator[tuple[str, str, bool, bool, str]]:
-    """("open" | "text" | "block" | "blank", path, inside the main element, beside the main text, name or text) in page order."""
+def walk(page: str | None) -> Iterator[tuple[str, int, bool, bool, object]]:
+    """("open" | "text" | "block" | "blank", node, inside the main element, beside the main text, what) in page order.
+
+    A node is a number made of its parent's number and its name, so it tells the whole path and costs the same at any
+    depth; what is the text, or at "open" the parent's number and the name."""
     if not page:
         return
     around: frozenset = frozenset()
@@ -108,7 +111,7 @@ def walk(page: str | None) -> Iterator[tuple[str, str, bool, bool, str]]:
         for kind, _, main, _, what in _walk(page):
             if kind == "open" and main:
                 break
-            lost |= kind == "open" and _MAIN_NAME.match(what) is not None
+            lost |= kind == "open" and _MAIN_NAME.match(what[1]) is not None
         else:
             if lost:
                 found: set[int] = set()
@@ -118,9 +121,9 @@ def walk(page: str | None) -> Iterator[tuple[str, str, bool, bool, str]]:
     yield from _walk(page, around)
 
 
-def _walk(page: str, around: frozenset | None = frozenset(), found: set | None = None) -> Iterator[tuple[str, str, bool, bool, str]]:
+def _walk(page: str, around: frozenset | None = frozenset(), found: set | None = None) -> Iterator[tuple[str, int, bool, bool, object]]:
     """walk, with the places of elements whose names don't count (None: of all); found gets the places around main elements."""
-    stack = [("", "", False, False, 0)]  # tag, path, main, beside, place
+    stack = [("", ROOT, False, False, 0)]  # tag, node, main, beside, place
     at = 0
     while at < len(page):
         m = _TAG.search(page, at)
@@ -135,7 +138,7 @@ def _walk(page: str, around: frozenset | None = frozenset(), found: set | None =
         tag = m[3].lower()
         if m[2]:
             if tag not in INLINE:
-                yield "block", "", False, False, ""
+                yield "block", ROOT, False, False, ""
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
@@ -144,7 +147,7 @@ def _walk(page: str, around: frozenset | None = frozenset(), found: set | None =
         if not m[5]:
             return  # cut off within a tag
         if tag == "br":
-            yield "blank", "", False, False, ""
+            yield "blank", ROOT, False, False, ""
             continue
         for closed in CLOSES.get(tag, ("p",) if tag in BLOCKS else ()):
             for k in range(len(stack) - 1, 0, -1):
@@ -154,9 +157,9 @@ def _walk(page: str, around: frozenset | None = frozenset(), found: set | None =
                 if stack[k][0] in BLOCKS and stack[k][0] != "p" or stack[k][0] in ("td", "th", "table", "body"):
                     break
         if tag not in INLINE:
-            yield "block", "", False, False, ""
+            yield "block", ROOT, False, False, ""
         name, beside = _signature(tag, m[4], around is None or m.start() in around)
-        _, path, main, within, _ = stack[-1]
+        _, parent, main, within, _ = stack[-1]
         if tag == "header" and main:
             beside = False  # the head of an article, with its title
         elif tag == "header":
@@ -165,8 +168,8 @@ def _walk(page: str, around: frozenset | None = frozenset(), found: set | None =
         if found is not None and tag in ("article", "main") and not main and not beside:
             found.update(x[4] for x in stack[1:])
         main = main or (tag in ("article", "main") and not beside)
-        path = f"{path}/{name}"
-        yield "open", path, main, beside, name
+        node = xxhash.xxh3_64_intdigest(f"{parent}/{name}") >> 1
+        yield "open", node, main, beside, (parent, name)
         if tag in VOID or m[4].endswith("/") and tag not in BLOCKS:
             continue
         if tag in RAW:
@@ -176,7 +179,7 @@ def _walk(page: str, around: frozenset | None = frozenset(), found: set | None =
                 close = page.find(">", at)
                 at = close + 1 if close >= 0 else len(page)
             continue
-        stack.append((tag, path, main, beside, m.start()))
+        stack.append((tag, node, main, beside, m.start()))
 
 
 def _own(texts: list[str]) -> int:
@@ -188,9 +191,9 @@ def _own(texts: list[str]) -> int:
 def main_text(page: str | None, removed: frozenset = frozenset()) -> str:
     """The text of the blocks of no beside branch: of the main elements, else of the whole page. removed: (node, content)
     of own texts that go; if nothing would be left, all stay."""
-    gone: set[str] = set()
+    gone: set[int] = set()
     if removed:
-        texts: dict[str, list[str]] = {}
+        texts: dict[int, list[str]] = {}
         nodes = {node for node, _ in removed}
         for kind, path, _, beside, what in walk(page):
             if kind == "text" and not beside and path in nodes:
@@ -200,7 +203,7 @@ def main_text(page: str | None, removed: frozenset = frozenset()) -> str:
     return text if text or not gone else _block_text(page, set())
 
 
-def _block_text(page: str | None, gone: set[str]) -> str:
+def _block_text(page: str | None, gone: set[int]) -> str:
     main_blocks: list[str] = []
     all_blocks: list[str] = []
     now: list[tuple[bool, str]] = []
@@ -229,18 +232,18 @@ def _block_text(page: str | None, gone: set[str]) -> str:
     return " ".join(main_blocks if has_main else all_blocks)
 
 
-def styles(page: str | None) -> dict[str, tuple[int, int, bool]]:
+def styles(page: str | None) -> dict[int, tuple[int, int, bool]]:
     """Per node that isn't beside the main text: hashes of its child sequences and own texts, and whether it is in main."""
-    children: dict[str, list[str]] = {}
-    texts: dict[str, list[str]] = {}
-    inside: dict[str, bool] = {}
+    children: dict[int, list[str]] = {}
+    texts: dict[int, list[str]] = {}
+    inside: dict[int, bool] = {}
     for kind, path, main, beside, what in walk(page):
         if beside:
             continue
         if kind == "open":
             inside[path] = inside.get(path, False) or main
-            children.setdefault(path.rpartition("/")[0], []).append(what)
-        elif kind == "text" and path:
+            children.setdefault(what[0], []).append(what[1])
+        elif kind == "text" and path != ROOT:
             texts.setdefault(path, []).append(what)
     out = {}
     for path, main in inside.items():
@@ -258,7 +261,7 @@ def importance(pages: DataFrame) -> DataFrame:
         def rows():
             keys = list(found)
             columns = list(zip(*keys)) or [[]] * 5
-            kinds = (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64())
+            kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
             return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array([found[k] for k in keys], pa.int64())], names=["host", "node", "main", "style", "content", "n"])
 
         for batch in batches:
@@ -270,7 +273,7 @@ def importance(pages: DataFrame) -> DataFrame:
                 found.clear()
         yield rows()
 
-    counted = pages.mapInArrow(count, "host string, node string, main boolean, style long, content long, n long")
+    counted = pages.mapInArrow(count, "host string, node long, main boolean, style long, content long, n long")
     counted = counted.groupBy("host", "node", "style", "content").agg(F.sum("n").alias("n"), F.max("main").alias("main"))
     by_style = counted.groupBy("host", "node", "style").agg(F.sum("n").alias("n"))
     by_content = counted.groupBy("host", "node", "content").agg(F.sum("n").alias("n"), F.max("main").alias("main"))

@@ -72,7 +72,7 @@ def test_names_are_whole_tokens():
     for name in ("layout has-sidebar", "no-sidebar", "content-with-menu", "social-studies", "ad-free", "sidebar", "menu", "page-wrapper nav"):
         assert main_text(f'<body><div class="top ad">x</div><div class="{name}">{story}<aside>y</aside></div></body>') == "story", name
         assert main_text(f'<div id="{name}"><div class="{name}"><main><p>story</p><p class="ads">x</p></main></div></div>') == "story", name
-    for name in ("sidebar", "ad-slot", "cookie-notice", "wide main-menu", "site-header__nav", "menu-item-12", "comments"):
+    for name in ("sidebar", "ad-slot", "cookie-notice", "wide main-menu", "site-header__nav", "menu-item-12", "comments", "reader-comments", "user-comments", "comment-thread", "cookie-law-info", "adsbygoogle"):
         assert main_text(f'<div class="{name}"><article>card</article></div>{story}') == "story", name
     assert main_text('<p>text</p><div class="no-sidebar">more</div><div class="sidebar">x</div>') == "text more"
     assert main_text(f'<div class="menu">{story}<div class="comments"><article>no</article></div></div>') == "story"
@@ -82,3 +82,51 @@ def test_names_are_whole_tokens():
 def test_long_names_stay_apart():
     name = "flex items " * 8
     assert len(styles(f'<div class="{name} a">x</div><div class="{name} b">y</div>')) == 2
+
+
+def test_notes_within_an_article_stay():
+    assert main_text('<article><p>a</p><div class="alert alert-info">note</div><section class="user-comments">no</section></article>') == "a note"
+
+
+def test_deep_pages_cost_no_more_than_their_nodes():
+    import time
+    import tracemalloc
+
+    page = "<div class=x>" * 16_000 + "deep" + "</div>" * 16_000
+    tracemalloc.start()
+    began = time.time()
+    found = styles(page)
+    took, most = time.time() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 16_000 and main_text(page) == "deep" and took < 20 and most < 64 << 20
+
+
+def test_importance_against_a_recomputation(spark):
+    import math
+    import random
+    from collections import Counter, defaultdict
+
+    from calibrium.llm.sitetree import DECAY, importance
+
+    rng = random.Random(6)
+    part = lambda: rng.choice(["<p>a</p>", "<p>b <b>c</b></p>", "<div class=k><p>d</p></div>", "<ul><li>e<li>f</ul>", "<nav>n</nav>"])
+    rows = [(f"h{i % 3}", f"<body><div>{part()}{part()}</div><div class=z>same</div><article>{i % 4}{part()}</article></body>") for i in range(60)]
+    shapes, texts, main = defaultdict(Counter), defaultdict(Counter), {}
+    for host, page in rows:
+        for node, (style, content, inside) in styles(page).items():
+            shapes[host, node][style] += 1
+            texts[host, node][content] += 1
+            main[host, node] = main.get((host, node), False) or inside
+
+    def spread(counts):
+        total = sum(counts.values())
+        return max(0.0, -sum(n / total * math.log(n / total) for n in counts.values()) / math.log(total)) if total > 1 else 1.0
+
+    want = {}
+    for key, counts in shapes.items():
+        decay = DECAY ** len(counts)
+        want[key] = ((1 - decay) * spread(counts) + decay * spread(texts[key]), sum(counts.values()), main[key])
+    got = {(r.host, r.node): (r.importance, r.n_pages, r.main) for r in importance(spark.createDataFrame(rows, "host string, html string").repartition(4)).collect()}
+    assert got.keys() == want.keys() and len(got) > 30
+    for key, (x, n, inside) in want.items():
+        assert abs(got[key][0] - x) < 1e-9 and got[key][1:] == (n, inside)
