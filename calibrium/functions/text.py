@@ -60,6 +60,28 @@ def canonical_number(token: Column) -> Column:
     return F.when(value.isNotNull(), trimmed)
 
 
+def positional(number: Column) -> Column:
+    """A number's text without an exponent: every digit that it has, none rounded."""
+    parts = lambda k: F.regexp_extract(number, r"^(-?)(\d+)(?:\.(\d*?)0*)?[eE]([-+]?\d+)$", k)
+    digits, power = F.concat(parts(2), parts(3)), parts(4).try_cast("int")
+    point = F.length(parts(2)) + power  # digits before the point
+    small = F.concat(parts(1), F.lit("0."), F.repeat(F.lit("0"), -point), digits)
+    large = F.concat(parts(1), F.rpad(digits, point, "0"))
+    inner = F.concat(parts(1), F.substr(digits, F.lit(1), point), F.lit("."), F.substr(digits, point + 1))
+    return F.when(power.isNull(), number).when(point <= 0, small).when(point >= F.length(digits), large).otherwise(inner)
+
+
+def verbatim(value: Column) -> Column:
+    """A JSON value (variant) as a report shows it: null as a dash, numbers positional, texts as they are, lists item by item."""
+
+    def one(v: Column) -> Column:
+        kind, text = F.schema_of_variant(v), v.cast("string")
+        return F.when(v.isNull() | (kind == "VOID"), "—").when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), positional(text)).when(kind.rlike("^(OBJECT|ARRAY)"), F.to_json(v)).otherwise(text)
+
+    items = F.transform(F.try_variant_get(value, "$", "array<variant>"), one)
+    return F.when(F.schema_of_variant(value).startswith("ARRAY"), F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))).otherwise(one(value))
+
+
 def tools_line(name: Column, description: Column, params: Column) -> Column:
     return F.concat(name, F.lit(": "), F.coalesce(description, F.lit("")), F.lit(" ("), F.array_join(params, ", "), F.lit(")"))
 

@@ -482,3 +482,41 @@ def feature_source(spark, d):
     back = spark.read.format("features").load(path)
     n = F.size("features")
     return back.select("id", n.cast("long").alias("width"), F.get("features", F.lit(0)).cast("double").alias("first"), F.get("features", n - 1).cast("double").alias("last"))
+
+
+# Subsamples and unions
+
+
+@query(
+    "WITH r AS (SELECT vec_id AS id, (label % 3)::INT AS y, draw, row_number() OVER (PARTITION BY draw, label % 3 ORDER BY md5((1000 + draw) || ':' || vec_id), vec_id) AS place FROM embeddings, generate_series(0, 2) AS g(draw) WHERE vec_id % 10 < 3) "
+    "SELECT draw::INT AS draw, id, y FROM r WHERE place <= 20"
+)
+def equal_per_class(spark, d):
+    """Three draws of sixty fit items, twenty of each class, by the hash order of each draw."""
+    rows = table(spark, d, "embeddings").where("vec_id % 10 < 3").select(F.col("vec_id").alias("id"), (F.col("label") % X0.K).cast("int").alias("y"))
+    out = None
+    for draw in range(3):
+        one = L.subsample(rows, 60, draw, X0.K).select(F.lit(draw).alias("draw"), "id", "y")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("SELECT vec_id AS id, CASE WHEN vec_id % 9 = 4 THEN 'in no split' ELSE 'in no set' END AS fault FROM embeddings WHERE vec_id % 9 IN (4, 5)")
+def union_of_splits(spark, d):
+    """Items that the union of the splits lacks, and that it has beyond the set."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
+    n = F.col("id")
+    fit, exam = e.where((n % 10 < 3) & (n % 9 != 4)), e.where((n % 10 >= 3) & (n % 9 != 4))
+    both = I.missing_and_extra(fit.union(exam), e.where(n % 9 != 5), "id")
+    return both.select("id", F.when(F.col("side") == "missing", "in no split").otherwise("in no set").alias("fault"))
+
+
+@query(
+    "SELECT event_id, CASE event_id % 6 WHEN 0 THEN '—' WHEN 1 THEN 'true' WHEN 2 THEN '0.000' || (event_id % 90 + 10) || '5' WHEN 3 THEN '[' || event_id || ', a b, —, -0.0000125]' WHEN 4 THEN 'text ' || event_id ELSE (event_id % 90 + 10) || '0000000000' END AS shown FROM events"
+)
+def verbatim_values(spark, d):
+    """Values of JSON as a report shows them: no exponent, nothing rounded, texts and lists as they are."""
+    n, two = F.col("event_id").cast("string"), (F.col("event_id") % 90 + 10).cast("string")
+    k = F.col("event_id") % 6
+    body = F.when(k == 0, "null").when(k == 1, "true").when(k == 2, F.concat(two, F.lit("5e-6"))).when(k == 3, F.concat(F.lit("["), n, F.lit(', "a b", null, -1.25e-5]'))).when(k == 4, F.concat(F.lit('"text '), n, F.lit('"'))).otherwise(F.concat(two, F.lit("e10")))
+    return table(spark, d, "events").select("event_id", X.verbatim(F.parse_json(body)).alias("shown"))
