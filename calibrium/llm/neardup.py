@@ -51,6 +51,8 @@ SMALL_BUCKET, DEPTH, SHARE, LEADERS = 32, 6, 64, 4
 BROADCAST_IDS = 1_000_000
 #: Documents to a file of the held tables: of a document come up to BANDS rows, or its set.
 DOCS_A_FILE = 2_500
+#: Words whose hashes a worker keeps: some ten MB, as idle workers keep theirs too.
+WORDS_HELD = 1 << 16
 NO_ID = (1 << 63) - 1
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -60,7 +62,7 @@ class WordHashes(dict):
     """Memo of words' hashes, emptied when it is full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) >= WORDS_HELD:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
