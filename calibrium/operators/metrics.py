@@ -71,7 +71,7 @@ def without_thresholds(terms: DataFrame, by: list[str], k: int = 3, bins: int =
 
 def input_faults(items: DataFrame, key: str, y: str, vector: str, k: int = 3) -> DataFrame:
     """Items unfit for metrics, with the first fault of each: no class in range, no vector of k numbers. An empty table is one fault of its own."""
-    numbers = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    numbers = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (x < float("inf")))
     fault = F.when(F.col(y).isNull() | ~F.col(y).between(0, k - 1), "class").when(F.col(vector).isNull() | (F.size(vector) != k), "shape").when(~numbers, "number")
     rows = items.select(F.col(key).cast("string").alias("key"), fault.alias("fault")).where("fault IS NOT NULL")
     return rows.union(items.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(None).cast("string"), F.lit("empty")))
