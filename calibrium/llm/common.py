@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +76,26 @@ def join_counted(big: DataFrame, small: DataFrame, key: list[str], members: str
     return rest.unionByName(big.join(F.broadcast(hottest), key))
 
 
+_CACHES: list = []
+
+
+def keeps(cache: dict) -> dict:
+    """cache, known as one that a worker keeps from task to task."""
+    _CACHES.append(cache)
+    return cache
+
+
+def let_go() -> None:
+    """Empties what this worker keeps for other stages. Workers are used again by later stages, which need the memory."""
+    if any(_CACHES):
+        for cache in _CACHES:
+            cache.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries give memory back by themselves
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches are cut by bytes as well as by rows, so that very long texts don't gather in one batch."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(MAX_ARROW_BYTES))

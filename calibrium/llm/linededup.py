@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from calibrium.llm.common import bounded_batches, cut_lineage, join_counted, read, release
+from calibrium.llm.common import bounded_batches, cut_lineage, join_counted, let_go, read, release
 
 MIN_WORDS = 50
 BROADCAST_DOCS = 500_000
@@ -51,6 +51,7 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     run = pa.struct([("no", pa.int32()), ("length", pa.int32()), ("first", pa.int32()), ("last", pa.int32())])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             parts = []
             for doc, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibrium.llm.common import bounded_batches, cut_lineage, join_counted, read, release
+from calibrium.llm.common import bounded_batches, cut_lineage, join_counted, let_go, read, release
 from calibrium.llm.graph import components
 
 WIDTH, PERCENT = 5, 75
@@ -103,6 +103,7 @@ def signature(found: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _sign(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         memo, (a, b) = WordHashes(), _permutations(bands * rows)
         salt = _mix(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:

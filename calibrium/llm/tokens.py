@@ -16,6 +16,8 @@ import re
 from array import array
 from struct import Struct
 
+from calibrium.llm.common import keeps
+
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of a worker's memo, and of an entry besides its chunk and ids.
 MEMO_BYTES, ENTRY_BYTES = 96 << 20, 190
@@ -26,7 +28,7 @@ SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 _MARKS = ".,;:!?"
 PACK = [Struct(f"<{n}I").pack for n in range(16)]
-_TOKENIZERS: dict[str, tuple] = {}
+_TOKENIZERS: dict[str, tuple] = keeps({})
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -129,7 +131,7 @@ class WordEncoder:
         return b"".join(map(self.memo.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[str, WordEncoder] = keeps({})
 
 
 def encoder(path: str) -> WordEncoder:

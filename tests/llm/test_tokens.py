@@ -34,3 +34,13 @@ def test_other_tokenizer_files_go_to_the_library():
     assert not other.by_chunk and WORDS.by_chunk
     text = "Two  blanks,\nand Capitals don't vanish"
     assert other.encode(text) == other.library(text)
+
+
+def test_workers_let_go_of_what_they_keep():
+    from calibrium.llm.common import let_go
+    from calibrium.llm.tokens import _ENCODERS, _TOKENIZERS, encoder, tokenizer_path
+
+    before = encoder(tokenizer_path()).encode("some words")
+    assert _ENCODERS and _TOKENIZERS
+    let_go()
+    assert not _ENCODERS and not _TOKENIZERS and encoder(tokenizer_path()).encode("some words") == before
