@@ -1,4 +1,11 @@
-"""Corpus preparation: quality rules, line dedup, near-dedup, decontamination, packing."""
+"""Corpus preparation: quality rules, line dedup, near-dedup, decontamination, packing.
+
+Defined results of the whole: null, empty and short texts fail the base rule of the first stage and go; rows with a null id
+or with an id of others are documents of their own and are told apart by their texts throughout; of rows equal in id and
+text, and of near-duplicates, one stays, that with the smallest id, of equal ids that with the smallest text hash; very
+long texts are judged, compared and packed whole; an empty table gives no rows; all other columns come along unchanged up
+to the last stage, whatever their names, but for n_chars where the line stage has changed a text.
+"""
 
 from __future__ import annotations
 

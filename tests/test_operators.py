@@ -10,6 +10,7 @@ from calibrium.functions import vectors as V
 from calibrium.operators import checks as I
 from calibrium.operators import dataset as D
 from calibrium.operators import gauges as G
+from calibrium.operators import guards as K
 from calibrium.sources import files as S
 
 
@@ -141,3 +142,39 @@ def test_guards(spark, tmp_path):
     assert [r.features for r in rows] == [[0, 1, 2], [3, 4, 5], [6, 7, 8], [9, 10, 11]] and len({r.sha256 for r in rows}) == 1
     S.append_ledger(spark.createDataFrame([(1, "x", 0, 500, "bad key-abcdefgh12345", 0.1, "t")], S.LEDGER), f"{tmp_path}/ledger", [])
     assert S.read_ledger(spark, f"{tmp_path}/ledger").first().error == "bad [redacted]"
+
+
+def test_tool_blocks_against_the_loop(spark):
+    import random
+
+    rng = random.Random(4)
+    word = lambda: rng.choice(["alpha", "to", "get-it", "number", "x"])
+    entries = lambda: [(word(), " ".join(word() for _ in range(rng.randrange(0, 25))) or None, [word() for _ in range(rng.randrange(0, 3))]) for _ in range(rng.randrange(0, 5))]
+    rows = [(i, entries(), rng.randrange(0, 60)) for i in range(120)] + [(1000, None, 5)]
+
+    def by_loop(found, cap):
+        held = [[n, d or "", "", p] for n, d, p in found or []]
+        while held:
+            text = "\n".join(f"{n}: {d}{m} ({', '.join(p)})" for n, d, m, p in held)
+            if len(text.split()) <= cap:
+                return text
+            at = max(range(len(held)), key=lambda i: len(held[i][1]))
+            size = max(24, int(len(held[at][1]) * 0.7))
+            if size < len(held[at][1]):
+                held[at][1:3] = held[at][1][:size], "…"
+            else:
+                held.pop()
+        return ""
+
+    df = spark.createDataFrame(rows, "id int, f array<struct<name:string,description:string,params:array<string>>>, cap int")
+    got = {r.id: r.block for r in df.select("id", X.trimmed_tools("f", F.col("cap")).alias("block")).collect()}
+    assert got == {i: by_loop(f, c) for i, f, c in rows}
+
+
+def test_templates_and_positional_numbers(spark):
+    row = spark.range(1).select(
+        K.rendered("{a} and {b}, {c}", a=F.lit("{b}"), b=F.lit("{a}")).alias("t"),
+        F.array(*[X.positional(F.lit(x)) for x in ("3.0517578125E-5", "-1.5e3", "12E-1", "7", "-0.5", "1.0E10", "125E-2")]).alias("n"),
+    ).first()
+    assert row.t == "{b} and {a}, {c}"
+    assert row.n == ["0.000030517578125", "-1500", "1.2", "7", "-0.5", "10000000000", "1.25"]
