@@ -4,6 +4,8 @@ Statistics of a text are DataFrame expressions. From labelled rows rules are gro
 conditions by information gain until it covers no good text of the growing part (two thirds of the sample, by hash), is
 pruned backwards on the rest, and is kept if it is right there often enough; what it covers leaves the sample. The rules
 become an ordered CASE expression; a text that no rule rejects is kept.
+Bounds of the search, all parameters of the learner and none of the data: a condition's threshold is one of `CUTS` evenly
+spaced edges between values of different rows, a rule has at most `MAX_CONDITIONS` conditions, a list `MAX_RULES` rules.
 
 The fit sees a bounded sample: of at most `SAMPLE` labelled rows, those with the smallest hashes of doc_id, the ones that
 the base rule lets through, so that conditions are spent where it doesn't decide; their

@@ -50,3 +50,19 @@ def test_stages_and_run(spark, sf, tmp_path):
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in after) == sorted(pieces)
     whole = corpus_pipeline.run(spark, sf).collect()
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in whole) == sorted(pieces)
+
+
+def test_odd_rows(spark, sf):
+    text = lambda k: " ".join(f"word{k}{i} of plain prose" for i in range(30))
+    rows = [(1, text("a")), (1, text("b")), (None, text("c")), (2, None), (3, ""), (4, text("a")), (5, " \n "), (1, text("b")), (6, "too short")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, rule string, first string"
+    docs = spark.createDataFrame([(d, t, "en", None, None, "x", None, "y") for d, t in rows], schema).repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns, docs = docs.columns, stage(spark, docs, sf)
+        assert docs.columns == columns, name
+    left = sorted(((r.doc_id, r.text, r.kept, r.first) for r in docs.collect()), key=str)
+    assert left == sorted([(1, text("a"), "x", "y"), (1, text("b"), "x", "y"), (None, text("c"), "x", "y")], key=str)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert sorted(str(r.doc_id) for r in packed.collect()) == ["1", "1", "None"]
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
