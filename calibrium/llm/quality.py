@@ -179,6 +179,12 @@ def op6_quality_decision_list(spark, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).select("doc_id", *STATISTICS, "base_failed", "kept")
 
 
+#: Columns that `judge` adds.
+ADDED = [*STATISTICS, "n_lines", "n_distinct", "n_upper", "n_digits", "n_marks", "base_failed", "rule", "kept"]
+
+
 def good_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules keep."""
-    return judge(docs, read(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    """Pipeline stage: documents that the rules keep. Columns of the names that `judge` adds come along as they are."""
+    own = {c: f"__own_{c}" for c in docs.columns if c in ADDED}
+    kept = judge(docs.withColumnsRenamed(own), read(spark, sf_dir, "labels")).where("kept")
+    return kept.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])

@@ -53,7 +53,7 @@ def test_stages_and_run(spark, sf, tmp_path):
 
 
 def test_odd_rows(spark, sf):
-    text = lambda k: " ".join(f"word{k}{i} of plain prose" for i in range(30))
+    text = lambda k: " ".join(f"plain{k}{i} prose{i}{k}" for i in range(40))
     rows = [(1, text("a")), (1, text("b")), (None, text("c")), (2, None), (3, ""), (4, text("a")), (5, " \n "), (1, text("b")), (6, "too short")]
     schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, rule string, first string"
     docs = spark.createDataFrame([(d, t, "en", None, None, "x", None, "y") for d, t in rows], schema).repartition(3)
