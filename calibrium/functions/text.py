@@ -94,23 +94,29 @@ def tools_block(functions: Column) -> Column:
 def parsed_emission(text: Column) -> Column:
     """First JSON object of a free text as struct(decision, confidence, parse_ok, parse_error).
 
-    It must hold a known decision and a confidence that is a JSON number in [0, 1]; other keys are ignored.
+    It must hold a known decision and a confidence that is a JSON number in [0, 1]; other keys are ignored. The text is
+    parsed once, however many of the fields are used.
     """
-    at = F.instr(text, "{")
-    body = F.try_parse_json(F.when(at > 0, F.substr(text, at)))
-    kind = F.schema_of_variant(body)
-    raw, conf = F.try_variant_get(body, "$.decision", "string"), F.try_variant_get(body, "$.confidence", "variant")
-    shape = F.schema_of_variant(conf)
-    number = F.when(shape.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(conf, "$", "double"))
-    known = F.schema_of_variant(F.try_variant_get(body, "$.decision", "variant")) == "STRING"
-    decision = F.when(known, F.element_at(F.create_map(*[F.lit(x) for kv in DECISIONS.items() for x in kv]), raw))
-    error = (
-        F.when(at == 0, "no object").when(body.isNull(), "not JSON").when(~kind.startswith("OBJECT"), "not an object")
-        .when(decision.isNull(), "no decision").when(number.isNull() | F.isnan(number) | (number < 0) | (number > 1), "no confidence")
-    )
-    error = F.coalesce(error, F.when(text.isNull(), F.lit("no object")))
-    ok = error.isNull()
-    return F.struct(F.when(ok, decision).alias("decision"), F.when(ok, number).alias("confidence"), ok.alias("parse_ok"), error.alias("parse_error"))
+
+    def read(body: Column) -> Column:
+        parts = F.struct(body.alias("body"), F.try_variant_get(body, "$.decision", "variant").alias("decision"), F.try_variant_get(body, "$.confidence", "variant").alias("confidence"))
+        return known(parts, judge)
+
+    def judge(x: Column) -> Column:
+        number = F.when(F.schema_of_variant(x["confidence"]).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(x["confidence"], "$", "double"))
+        names = F.create_map(*[F.lit(x) for kv in DECISIONS.items() for x in kv])
+        decision = F.when(F.schema_of_variant(x["decision"]) == "STRING", F.element_at(names, F.try_variant_get(x["decision"], "$", "string")))
+        return known(F.struct(x["body"].isNull().alias("none"), F.schema_of_variant(x["body"]).startswith("OBJECT").alias("object"), decision.alias("decision"), number.alias("number")), told)
+
+    def told(x: Column) -> Column:
+        number = x["number"]
+        error = (
+            F.when(F.instr(text, "{") == 0, "no object").when(x["none"], "not JSON").when(~x["object"], "not an object")
+            .when(x["decision"].isNull(), "no decision").when(number.isNull() | F.isnan(number) | (number < 0) | (number > 1), "no confidence")
+        )
+        return known(error, lambda e: F.struct(F.when(e.isNull(), x["decision"]).alias("decision"), F.when(e.isNull(), number).alias("confidence"), e.isNull().alias("parse_ok"), e.alias("parse_error")))
+
+    return known(F.try_parse_json(F.when(F.instr(text, "{") > 0, F.substr(text, F.instr(text, "{")))), read)
 
 
 #: What a description is cut to, as a share, and the least that a cut leaves.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from calibrium.functions import vectors as V
@@ -102,7 +102,11 @@ def descend(table: dict[int, dict[float, tuple[int, int]]], target: float = SA_T
 
 def fit_thresholds(terms: DataFrame, k: int = 3, target: float = SA_TARGET) -> dict:
     """tau_global, taus and whether the target is reachable; the descent runs on the table of class counts."""
-    rows = class_threshold_table(terms, [], k).collect()
+    return thresholds_of(class_threshold_table(terms, [], k).collect(), k, target)
+
+
+def thresholds_of(rows: list[Row], k: int = 3, target: float = SA_TARGET) -> dict:
+    """`fit_thresholds` from the rows of one group's class counts."""
     table: dict[int, dict[float, tuple[int, int]]] = {c: {} for c in range(k)}
     for r in rows:
         table[r["class"]][r.tau] = (r.n_answered, r.n_right)
@@ -113,7 +117,12 @@ def fit_thresholds(terms: DataFrame, k: int = 3, target: float = SA_TARGET) -> d
 
 def best_threshold(terms: DataFrame, by: list[str]) -> DataFrame:
     """Fallback: the threshold with the best selective accuracy, the smallest of equals."""
-    counts = M.threshold_counts(terms, by, tau_grid()).where("n_answered > 0").withColumn("sa", F.col("n_right") / F.col("n_answered"))
+    return best_of(M.threshold_counts(terms, by, tau_grid()), by)
+
+
+def best_of(counts: DataFrame, by: list[str]) -> DataFrame:
+    """`best_threshold` from counts (by, tau, n_answered, n_right)."""
+    counts = counts.where("n_answered > 0").withColumn("sa", F.col("n_right") / F.col("n_answered"))
     first = Window.partitionBy(*by).orderBy(F.round("sa", 12).desc(), "tau")
     return counts.withColumn("place", F.row_number().over(first)).where("place = 1").select(*by, "tau", "sa")
 

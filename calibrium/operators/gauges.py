@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from calibrium.functions import text as X
 from calibrium.functions import vectors as V
 from calibrium.operators import calibration as C
+from calibrium.sources.files import held
 
 RETRY, FAIL, ABORT = [408, 409, 425, 429, 500, 502, 503, 504], [400, 404, 413, 422], [401, 402, 403]
 
@@ -45,12 +46,24 @@ def emission_summary(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def emission_gate(rows: DataFrame, k: int = 3, target: float = C.SA_TARGET) -> dict:
     """Per-class thresholds at the target, or one threshold with the best selective accuracy."""
-    terms = emission_terms(rows)
-    found = C.fit_thresholds(terms, k, target)
-    if found["target_reachable"]:
-        return found | {"mode": "per class"}
-    best = C.best_threshold(terms, []).first()
-    return found | {"mode": "fallback", "tau_global": best and best.tau, "taus": [best.tau if best else C.ABSTAIN] * k}
+    return emission_gates(rows, [], [target], k)[(), target] if rows.limit(1).count() else {"tau_global": None, "taus": [C.ABSTAIN] * k, "target_reachable": False, "mode": "fallback"}
+
+
+def emission_gates(rows: DataFrame, by: list[str], targets: list[float], k: int = 3) -> dict[tuple, dict]:
+    """`emission_gate` of every group and target, as (group, target) -> record. Texts are read once: the counts of classes
+    and thresholds, at most k * 66 rows a group, are held, and all else is worked out of them."""
+    counts = held(C.class_threshold_table(emission_terms(rows), by, k).coalesce(1))
+    best = {tuple(r[c] for c in by): r.tau for r in C.best_of(counts.groupBy(*by, "tau").agg(F.sum("n_answered").alias("n_answered"), F.sum("n_right").alias("n_right")), by).collect()}
+    tables: dict[tuple, list] = {}
+    for r in counts.collect():
+        tables.setdefault(tuple(r[c] for c in by), []).append(r)
+    out = {}
+    for group, table in tables.items():
+        for target in targets:
+            found, tau = C.thresholds_of(table, k, target), best.get(group)
+            mode = {"mode": "per class"} if found["target_reachable"] else {"mode": "fallback", "tau_global": tau, "taus": [C.ABSTAIN if tau is None else tau] * k}
+            out[group, target] = found | mode
+    return out
 
 
 def valid_answer(kind: Column, choice: Column, probabilities: Column, options: list[str]) -> Column:

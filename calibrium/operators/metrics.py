@@ -119,11 +119,14 @@ def threshold_counts(terms: DataFrame, by: list[str], taus: list[float]) -> Data
     grid = F.array(*[F.lit(t) for t in taus])
     reached = F.coalesce(F.size(F.filter(grid, lambda t: t <= F.col("conf"))), F.lit(0))
     counted = terms.groupBy(*by, reached.alias("reached")).agg(F.count("*").alias("c"), F.sum(F.col("correct").cast("long")).alias("r"))
-    totals = counted.groupBy(*by).agg(F.sum("c").alias("n"))
-    steps = totals.select(*by, "n", F.posexplode(grid).alias("place", "tau"))
-    rows = steps.join(counted.withColumn("place", F.col("reached") - 1).drop("reached"), [*by, "place"], "left")
-    down = Window.partitionBy(*by).orderBy(F.col("place").desc())
-    return rows.select(*by, "tau", "n", F.coalesce(F.sum("c").over(down), F.lit(0)).alias("n_answered"), F.coalesce(F.sum("r").over(down), F.lit(0)).alias("n_right"))
+    # one row a group from here on, so that the items are read once
+    groups = counted.groupBy(*by).agg(F.sum("c").alias("n"), F.collect_list(F.struct("reached", "c", "r")).alias("cells"))
+    steps = groups.select(*by, "n", "cells", F.posexplode(grid).alias("place", "tau"))
+
+    def above(name: str) -> Column:
+        return F.aggregate(F.filter("cells", lambda x: x["reached"] > F.col("place")), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x[name], F.lit(0)))
+
+    return steps.select(*by, "tau", "n", above("c").alias("n_answered"), above("r").alias("n_right"))
 
 
 def risk_coverage(terms: DataFrame, by: list[str], points: int = CURVE_POINTS) -> DataFrame:

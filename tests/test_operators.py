@@ -178,3 +178,20 @@ def test_templates_and_positional_numbers(spark):
     ).first()
     assert row.t == "{b} and {a}, {c}"
     assert row.n == ["0.000030517578125", "-1500", "1.2", "7", "-0.5", "10000000000", "1.25"]
+
+
+def test_an_emission_is_parsed_once_however_many_fields_are_read(spark):
+    x = spark.createDataFrame([(1, "{}")], "k int, t string").select("k", X.parsed_emission(F.col("t")).alias("x")).select("k", "x.*")
+    plan = x._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") + plan.count("parse_json") == 1
+
+
+def test_gates_of_all_groups_from_one_pass(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b"]), rng.randrange(-1, 3), rng.randrange(0, 3), round(rng.random(), 2)) for _ in range(400)]
+    e = spark.createDataFrame(rows, "g string, decision int, y int, confidence double").withColumn("seen", F.raise_error(F.lit("unread")).cast("int"))
+    gates = G.emission_gates(e, ["g"], [0.3, 0.95])
+    assert set(gates) == {((g,), t) for g in "ab" for t in (0.3, 0.95)}
+    for ((g,), target), found in gates.items():
+        assert found == G.emission_gate(e.where(F.col("g") == g), 3, target)
+    assert G.emission_gate(e.limit(0))["mode"] == "fallback"
