@@ -29,17 +29,20 @@ def _folded(rows: DataFrame, by: list[str], place: Column, text: str, *more: Col
     return rows.groupBy(*by, place.cast("long").alias("place")).agg(F.sha2(whole, 256).alias("sha256"), *more)
 
 
-def digest_tree(rows: DataFrame, by: list[str], key: list[str], columns: list[str], per: int = PER) -> DataFrame:
+def digest_tree(rows: DataFrame, by: list[str], key: list[str], columns: list[str], per: int = PER, top: int | None = None) -> DataFrame:
     """by, level, place, n, first, last, sha256: ranges of rows at level 0, of ranges above; the highest of a group is its digest.
 
+    With `top` levels at most beyond the first, a large group keeps several highest ranges, each with a digest of its own.
     key orders the rows; rows equal in key go by their text. first and last are the text of the keys that bound a range.
     """
-    texts = rows.select(*by, *[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)], row_text(key).alias("__key"), row_text([*key, *columns]).alias("__text"))
-    placed = ranked(texts, by, [*[F.col(f"__k{i}") for i in range(len(key))], F.col("__text")], "__at")
+    cells = {c: f"__c{i}" for i, c in enumerate([*key, *columns])}
+    read = lambda names: row_text([cells[c] for c in names])
+    bare = rows.select(*by, *[F.col(c).alias(name) for c, name in cells.items()])
+    placed = ranked(bare, by, [*[F.col(cells[k]) for k in key], read([*key, *columns])], "__at").withColumns({"__key": read(key), "__text": read([*key, *columns])})
     edges = [F.count("*").alias("n"), F.min_by("__key", "__at").alias("first"), F.max_by("__key", "__at").alias("last")]
     level = held(_folded(placed, by, F.floor((F.col("__at") - 1) / per), "__text", *edges).withColumn("level", F.lit(0)))
     levels = [level]
-    while True:
+    while top is None or len(levels) <= top:
         wide = level.groupBy(*by).agg(F.max("place").alias("__most")).where("__most > 0")
         if wide.isEmpty():
             break
@@ -65,6 +68,15 @@ def digests(tree: DataFrame, by: list[str]) -> DataFrame:
     return tree.groupBy(*by).agg(F.max_by("n", "level").alias("n"), F.max_by("sha256", "level").alias("sha256"))
 
 
+def range_digests(tree: DataFrame, by: list[str]) -> DataFrame:
+    """by, place, n, sha256: the digests of each group's highest ranges, of which a tree that ends at a level may have several."""
+    high = tree.groupBy(*by).agg(F.max("level").alias("__high")).select(*[F.col(c).alias(f"__g_{c}") for c in by], "__high")
+    same = F.col("level") == F.col("__high")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__g_{c}"))
+    return tree.join(high, same).select(*by, "place", "n", "sha256")
+
+
 def tampered(before: DataFrame, after: DataFrame, by: list[str]) -> DataFrame:
     """by, place, first, last of the ranges of rows whose digests differ, or that one side lacks."""
     keys = [*by, "place"]

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from calibrium.sources.files import held
 
+#: Groups, each counted once for every range that it reaches into, up to which their starts are broadcast.
+STARTS = 200_000
+
 
 def in_ranges(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """rows with `__range`, ascending with (by, order), and `__tie`; held."""
@@ -23,13 +26,13 @@ def in_ranges(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return held(tied.repartitionByRange(*by, *order, "__tie").withColumn("__range", F.spark_partition_id()))
 
 
-def _added(at: DataFrame, before: DataFrame, by: list[str], columns: list[Column]) -> DataFrame:
-    """at with columns of `before`, which has a row for each range's first group at most."""
+def _added(at: DataFrame, before: DataFrame, by: list[str], columns: list[Column], few: bool = True) -> DataFrame:
+    """at with columns of `before`, which has a row for each range's first group at most, or else is not `few`."""
     small = before.select(F.col("__range").alias("__r"), *[F.col(c).alias(f"__by_{i}") for i, c in enumerate(by)], "__before")
     same = F.col("__range") == F.col("__r")
     for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"__by_{i}"))
-    return at.join(F.broadcast(small), same, "left").select(*columns)
+    return at.join(F.broadcast(small) if few else small, same, "left").select(*columns)
 
 
 def running_sum(rows: DataFrame, by: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
@@ -45,8 +48,21 @@ def running_sum(rows: DataFrame, by: list[str], order: list[Column], value: Colu
 
 
 def ranked(rows: DataFrame, by: list[str], order: list[Column], name: str = "place") -> DataFrame:
-    """rows with their place in the group, from 1; of rows equal in `order` any comes first."""
-    return running_sum(rows, by, order, F.lit(1).cast("long"), name)
+    """rows with their place in the group, from 1; of rows equal in `order` any comes first.
+
+    Ranges are sorted as they are written, with each row's number in its range. Where a group starts in a range, and its rows
+    in earlier ranges, then give the place: rows move once, and what orders them isn't carried along.
+    """
+    kept = [F.col(c) for c in rows.columns if c != name]
+    tied = rows.withColumn("__tie", F.monotonically_increasing_id())
+    put = tied.repartitionByRange(*by, *order, "__tie").sortWithinPartitions(*by, *order, "__tie").drop("__tie")
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    at = held(put.withColumns({"__range": F.spark_partition_id(), "__number": number}))
+    each = at.groupBy("__range", *by).agg(F.count("*").alias("__n"), F.min("__number").alias("__first"))
+    earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first") + 1
+    starts = held(each.select("__range", *by, before.alias("__before")))
+    return _added(at, starts, by, [*kept, (F.col("__number") + F.col("__before")).alias(name)], starts.limit(STARTS + 1).count() <= STARTS)
 
 
 def carried(rows: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:

@@ -86,3 +86,21 @@ def test_auroc_of_many_confidences(spark):
     terms = spark.createDataFrame([("g", float(c), bool(r)) for c, r in zip(conf, right)], "gauge string, conf double, correct boolean")
     pairs = (conf[right][:, None] > conf[~right]).mean() + 0.5 * (conf[right][:, None] == conf[~right]).mean()
     assert metrics.auroc(terms, ["gauge"]).first().auroc == pytest.approx(float(pairs))
+
+
+def test_ranked_rows_move_once(spark):
+    df = spark.createDataFrame([(i % 3, i % 40) for i in range(900)], "g int, k int").repartition(5)
+    plan = ranked(df, ["g"], [F.col("k")])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan.split("BroadcastExchange")[0] and "Window" not in plan
+
+
+def test_ranks_of_more_groups_than_are_broadcast(spark, monkeypatch):
+    from calibrium.operators import ranks
+
+    monkeypatch.setattr(ranks, "STARTS", 5)
+    rows = [(None if i % 50 == 0 else i % 50, i * 7919 % 1000) for i in range(1000)]
+    got = sorted(((r.g is None, r.g), r.k, r.place) for r in ranked(spark.createDataFrame(rows, "g int, k int").repartition(6), ["g"], [F.col("k")]).collect())
+    want = []
+    for g in {r[0] for r in rows}:
+        want += [((g is None, g), k, i + 1) for i, k in enumerate(sorted(r[1] for r in rows if r[0] == g))]
+    assert [x[1:] for x in got] == [x[1:] for x in sorted(want)]
