@@ -119,8 +119,8 @@ def parsed_emission(text: Column) -> Column:
     return known(F.try_parse_json(F.when(F.instr(text, "{") > 0, F.substr(text, F.instr(text, "{")))), read)
 
 
-#: What a description is cut to, as a share, and the least that a cut leaves.
-CUT_TO, LEAST_CUT = 0.7, 24
+#: What a description is cut to, as a share, the least that a cut leaves, and words of the shortest line ": ()".
+CUT_TO, LEAST_CUT, LEAST_WORDS = 0.7, 24, 2
 
 
 def trimmed_tools(functions: Column | str, cap: Column) -> Column:
@@ -128,11 +128,24 @@ def trimmed_tools(functions: Column | str, cap: Column) -> Column:
     again and again, then last functions go. A null array is an empty block.
 
     A fold over as many steps as could be needed: how often each description can be cut, and one for each function.
+    A function's line has at least LEAST_WORDS words, so of more functions than `most_tools` the later ones go whatever is
+    cut, and before the first of them goes every description is at LEAST_CUT: the fold begins there.
     """
-    given = F.coalesce(F.col(functions) if isinstance(functions, str) else functions, F.array())
+    whole = F.coalesce(F.col(functions) if isinstance(functions, str) else functions, F.array())
+    return known(F.struct(whole.alias("whole"), (F.size(whole) > most_tools(cap)).alias("over"), F.greatest(most_tools(cap), F.lit(0)).alias("most")), lambda x: _trimmed(x, cap))
+
+
+def most_tools(cap: Column) -> Column:
+    """Functions that a block of `cap` words can hold at most."""
+    return F.floor(cap / LEAST_WORDS).cast("int")
+
+
+def _trimmed(x: Column, cap: Column) -> Column:
+    given = F.when(x["over"], F.slice(x["whole"], F.lit(1), x["most"])).otherwise(x["whole"])
+    least = lambda f: x["over"] & (F.length(f["description"]) > LEAST_CUT)
     entries = F.transform(
         given,
-        lambda f: F.struct(F.coalesce(f["name"], F.lit("")).alias("name"), F.coalesce(f["description"], F.lit("")).alias("description"), F.lit("").alias("mark"), F.coalesce(f["params"], F.array().cast("array<string>")).alias("params")),
+        lambda f: F.struct(F.coalesce(f["name"], F.lit("")).alias("name"), F.coalesce(F.when(least(f), F.substring(f["description"], F.lit(1), F.lit(LEAST_CUT))).otherwise(f["description"]), F.lit("")).alias("description"), F.when(least(f), "…").otherwise("").alias("mark"), F.coalesce(f["params"], F.array().cast("array<string>")).alias("params")),
     )
     cuts = F.transform(entries, lambda r: 2 + F.ceil(F.ln(F.greatest(F.length(r["description"]), F.lit(LEAST_CUT)) / LEAST_CUT) / -math.log(CUT_TO)).cast("int"))
     steps = F.aggregate(cuts, F.lit(1), lambda n, x: n + x)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from calibrium.functions import text as X
@@ -157,9 +158,14 @@ def unfulfilled_promises(spark, d):
 
 @query()
 def trimmed_tool_blocks(spark, d):
-    """Tool blocks within a cap of words, by the iterative cut."""
-    p = table(spark, d, "part").groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct(F.col("p_name").alias("name"), F.col("p_type").alias("description"), F.array(F.col("p_size").cast("string")).alias("params")))).alias("functions"))
-    return p.select("p_brand", X.trimmed_tools("functions", F.lit(40)).alias("block"))
+    """Tool blocks within a cap of words, by the iterative cut. One function more than a block can hold tells that there are
+    more, so each task keeps that many of a brand."""
+    cap = F.lit(40)
+    tool = F.struct(F.col("p_name").alias("name"), F.col("p_type").alias("description"), F.array(F.col("p_size").cast("string")).alias("params"))
+    place = F.row_number().over(Window.partitionBy("p_brand").orderBy("tool"))
+    first = table(spark, d, "part").select("p_brand", tool.alias("tool")).withColumn("place", place).where(F.col("place") <= 40 // X.LEAST_WORDS + 1)
+    p = first.groupBy("p_brand").agg(F.sort_array(F.collect_list("tool")).alias("functions"))
+    return p.select("p_brand", X.trimmed_tools("functions", cap).alias("block"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01'")

@@ -1,6 +1,7 @@
 """Datasets, gauges, checks, text and files on small cases."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -195,3 +196,29 @@ def test_gates_of_all_groups_from_one_pass(spark):
     for ((g,), target), found in gates.items():
         assert found == G.emission_gate(e.where(F.col("g") == g), 3, target)
     assert G.emission_gate(e.limit(0))["mode"] == "fallback"
+
+
+def test_blocks_of_many_tools_are_cut_in_few_steps(spark):
+    rng = random.Random(5)
+    word = lambda: rng.choice(["alpha", "to", "", "get-it-done", "number", " ", "x\u2003y"])
+    entries = lambda n: [(word(), " ".join(word() for _ in range(rng.randrange(0, 12))), [word() for _ in range(rng.randrange(0, 3))]) for _ in range(n)]
+    rows = [(i, entries(rng.randrange(0, 14)), rng.randrange(0, 24)) for i in range(150)] + [(200, entries(200), 40)]
+    rows.append((201, rows[-1][1] + entries(20_000), 40))
+
+    def by_loop(found, cap):
+        held = [[n, d, "", p] for n, d, p in found]
+        while held:
+            lines = [re.findall(r"[^\x20\x09-\x0D]+", f"{n}: {d}{m} ({', '.join(p)})") for n, d, m, p in held]
+            if sum(map(len, lines)) <= cap:
+                return "\n".join(f"{n}: {d}{m} ({', '.join(p)})" for n, d, m, p in held)
+            at = max(range(len(held)), key=lambda i: len(held[i][1]))
+            size = max(24, int(len(held[at][1]) * 0.7))
+            if size < len(held[at][1]):
+                held[at][1:3] = held[at][1][:size], "…"
+            else:
+                held.pop()
+        return ""
+
+    df = spark.createDataFrame(rows, "id int, f array<struct<name:string,description:string,params:array<string>>>, cap int")
+    got = {r.id: r.block for r in df.select("id", X.trimmed_tools("f", F.col("cap")).alias("block")).collect()}
+    assert got == {i: by_loop(f[:200], c) for i, f, c in rows}
