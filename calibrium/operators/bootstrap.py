@@ -30,14 +30,26 @@ from calibrium.operators import metrics as M
 N_BOOT, SEED, CI = 1000, 20261007, 0.95
 #: Resamples that are worked on at once; items that draws by index may have.
 CHUNK, BLOCK_ITEMS = 128, 1 << 19
+#: Draws that a task makes or counts.
+DRAWS_A_TASK = 1_000_000
 
 
 def hash_draws(spark: SparkSession, n: int, n_boot: int = N_BOOT) -> DataFrame:
-    """(b, ord, w): how often each place is drawn in each resample."""
-    draws = spark.range(n_boot).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
+    """(b, ord, w): how often each place is drawn in each resample.
+
+    Whole resamples are dealt to as many tasks as it takes for each to make and count about DRAWS_A_TASK. Where one resample
+    has more, its draws are numbered and both made and counted in parts.
+    """
+    if n <= DRAWS_A_TASK:
+        resamples = spark.range(0, n_boot, 1, -(-n_boot // max(1, DRAWS_A_TASK // n)))
+        draws, tasks = resamples.select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j")), None
+    else:
+        tasks = n_boot * n // DRAWS_A_TASK + 1
+        draws = spark.range(0, n_boot * n, 1, tasks).select(F.expr(f"id div {n}").alias("b"), (F.col("id") % n).alias("j"))
     digest = F.md5(F.concat_ws(":", F.col("b").cast("string"), F.col("j").cast("string")).cast("binary"))
     index = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n
-    return draws.groupBy("b", index.alias("ord")).agg(F.count("*").alias("w"))
+    drawn = draws.select("b", index.alias("ord"))
+    return (drawn.repartition(tasks, "b", "ord") if tasks else drawn).groupBy("b", "ord").agg(F.count("*").alias("w"))
 
 
 def parity_draws(spark: SparkSession, n: int, n_boot: int = N_BOOT, seed: int = SEED) -> DataFrame:

@@ -147,3 +147,17 @@ def test_both_trees_of_a_bound_calibration_read_the_same_held_rows(spark, sf, mo
     monkeypatch.setattr(P.T, "digest_tree", lambda rows, *a: read.append(rows.inputFiles()) or spark.createDataFrame([], "split string, level int, place long, n long, first string, last string, sha256 string"))
     P.bound_calibrations(spark, sf)
     assert len(read) == 2 and read[0] == read[1] and not any("events.parquet" in f for f in read[0])
+
+
+@pytest.mark.parametrize("most,tasks", [(1500, 4), (200, 31)])
+def test_tasks_of_draws_grow_with_their_number(spark, monkeypatch, most, tasks):
+    """Whole resamples, and resamples in parts."""
+    monkeypatch.setattr(B, "DRAWS_A_TASK", most)
+    draws = B.hash_draws(spark, 300, 20)
+    assert draws.rdd.getNumPartitions() == tasks
+    want = {}
+    for b in range(20):
+        for j in range(300):
+            at = b, int(hashlib.md5(f"{b}:{j}".encode()).hexdigest()[:8], 16) % 300
+            want[at] = want.get(at, 0) + 1
+    assert {(r.b, r.ord): r.w for r in draws.collect()} == want
