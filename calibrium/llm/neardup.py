@@ -10,11 +10,14 @@
    that its similarity reaches the threshold (uniform prior) is below `MISS`. Survivors are compared on their full sets.
 4. Verified links give components. Buckets whose members now lie in one component are finished. In the others the
    pairs across components remain: of up to `SMALL_BUCKET` members all of them. Larger buckets are merged by their
-   leader's component. A group's core is what many of its members share; the members nearest to it lead new stars. What is
-   still open splits into those which share a shingle beyond the core, and pairs of sizes that make up for it (`_split`).
-   No pair above the threshold is in none of them, a group has no more rows than its members' own shingles, and the
-   smaller groups are at most 1/SHARE of it. They are verified as before, until all pairs of the groups left are no more than the table has texts, or
-   `DEPTH` times; groups that are open then are compared member by member.
+   leader's component. What most members of a group share, which is what makes it large, joins nothing: each member
+   is the list of shingles in which it differs from that, and these lists tell which members are similar. A star is led by
+   the one that differs least. Groups of at most BLOCKS blocks are compared block by block, in cells of two blocks each
+   that give only links, so that their pairs are no rows. In larger ones members who differ in so few that they must be similar
+   are so with the leader; all others meet under the first of their lists, rarest first (`_split`), and keys that
+   many share are groups again, of at most half the members. No pair above the threshold is in none of them. This ends when
+   all pairs of the groups left are no more than the table has texts (they are compared as pairs), or after `DEPTH` times,
+   the last of which compares all groups by blocks.
 
 A pair at similarity 0.75 shares no band with probability 2e-5, at 0.8 with 1e-7.
 
@@ -37,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calibrium.llm.common import bounded_batches, cut_lineage, join_counted, let_go, read, release
@@ -46,7 +49,9 @@ from calibrium.llm.graph import components
 WIDTH, PERCENT = 5, 75
 BANDS, ROWS = 40, 5
 MISS, BATCH = 1e-6, 40
-SMALL_BUCKET, DEPTH, SHARE, LEADERS = 32, 6, 64, 4
+SMALL_BUCKET, DEPTH, SHARE, LEADERS, TIERS = 32, 6, 64, 4, 4
+#: Members of a block and of what is listed for them; blocks of a group up to which all are compared.
+BLOCK, BLOCK_LIST, BLOCKS = 128, 1 << 17, 64
 #: Ids (8 bytes each) up to which a set of documents to be read again is broadcast; beyond, it is joined by shuffling.
 BROADCAST_IDS = 1_000_000
 #: Documents to a file of the held tables: of a document come up to BANDS rows, or its set.
@@ -236,10 +241,11 @@ def _open(groups: DataFrame, key: str) -> DataFrame:
     return join_counted(groups, keys, [key], "of").drop("of")
 
 
-def _cored(groups: DataFrame, nodes: DataFrame, texts: DataFrame, files: int) -> DataFrame:
-    """groups (g, node, n, component) with size, the members of a group; core, the number of shingles in its core; and own,
-    each member's shingles beyond it; held. A core holds the shingles of more than SMALL_BUCKET and 1/SHARE of the members, so
-    its length is bounded by that of texts."""
+def _cored(groups: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, files: int) -> DataFrame:
+    """groups (g, node, n, component) with own, in which shingles a member differs from what most members of its group have;
+    d, how many these are; and f, (100 + percent) * d - (100 - percent) * n; held. The rarest of own come first: the
+    shingles of no more than SMALL_BUCKET or 1/SHARE of the members by their hash, the others by how many differ in them.
+    So the shingles that are counted for a group, its core, are as many as SHARE times a text's at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,65 +255,148 @@ def _cored(groups: DataFrame, nodes: DataFrame, texts: DataFrame, files: int) ->
                 h, n = np.unique(np.concatenate(held), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), x)), pa.array(h), pa.array(n)], names=["g", "h", "n"])
 
-    def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = []
-            for x, core in zip(batch.column(5), batch.column(6)):
-                x, core = np.frombuffer(x.as_buffer(), np.int64), np.array(core.values, np.int64)
-                own.append(x[~np.isin(x, core, assume_unique=True)])
-            core = pa.array([len(c.values) for c in batch.column(6)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], core, pa.array(own, pa.list_(pa.int64()))], names=["g", "node", "n", "component", "size", "core", "own"])
+            cores: dict = {}
+            d, own = [], []
+            for g, size, x, core in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), batch.column(5), batch.column(6)):
+                if g not in cores:
+                    h, n = (c.to_numpy() for c in core.values.flatten())
+                    most = 2 * n > size
+                    order = np.lexsort((h, np.where(most, size - n, n)))
+                    cores[g] = h[order], most[order]
+                x, (h, most) = np.frombuffer(x.as_buffer(), np.int64), cores[g]
+                own.append(np.concatenate((x[~np.isin(x, h, assume_unique=True)], h[np.isin(h, x, assume_unique=True) ^ most])))
+                d.append(len(own[-1]))
+            d = np.array(d, np.int64)
+            f = (100 + percent) * d - (100 - percent) * batch.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(d), pa.array(f), pa.array(own, pa.list_(pa.int64()))], names=["g", "node", "n", "component", "d", "f", "own"])
 
     sets = _sets(texts, nodes, groups.select("node").distinct(), files)
     sizes = cut_lineage(groups.groupBy("g").agg(F.count("*").alias("size")), files)
     held = cut_lineage(join_counted(groups, sizes, ["g"], "size").join(sets, "node"), files)
     common = held.select("g", "hashes").mapInArrow(count, "g long, h long, n long").groupBy("g", "h").agg(F.sum("n").alias("n"))
     common = common.join(_few(sizes, 100_000), "g").where((F.col("n") > SMALL_BUCKET) & (F.col("n") * SHARE >= F.col("size")))
-    cores = cut_lineage(common.groupBy("g").agg(F.collect_list("h").alias("core")), files)
-    none = F.coalesce("core", F.array().cast("array<long>")).alias("core")
+    cores = cut_lineage(common.groupBy("g").agg(F.collect_list(F.struct("h", "n")).alias("core")), files)
+    none = F.coalesce("core", F.array().cast("array<struct<h:long,n:long>>")).alias("core")
     out = held.join(_few(cores, 2_000), "g", "left").select("g", "node", "n", "component", "size", "hashes", none)
-    out = cut_lineage(out.mapInArrow(beyond, "g long, node long, n long, component long, size long, core long, own array<long>"), files)
+    out = cut_lineage(out.mapInArrow(differing, "g long, node long, n long, component long, d long, f long, own array<long>"), files)
     release(sets, sizes, held, cores)
     return out
 
 
-def _stars(held: DataFrame) -> DataFrame:
-    """Pairs of the members nearest to a group's core, LEADERS of them, with all members of other components."""
-    shared = F.col("n") - F.size("own")
-    near = F.struct((shared / (F.col("n") + F.col("core") - shared)).alias("near"), (-F.col("node")).alias("minus"), "component")
-    leaders = held.groupBy("g", (F.col("node") % LEADERS).alias("k")).agg(F.max(near).alias("x")).select("g", (-F.col("x.minus")).alias("leader"), F.col("x.component").alias("led"))
-    pairs = held.join(_few(leaders, 100_000), "g").where("component <> led")
-    return pairs.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
+def _fit(x: str, y: str, percent: int) -> Column:
+    """Whether sizes and differences from the group allow the similarity of two members (columns n_ and d_)."""
+    sizes = F.least(f"n_{x}", f"n_{y}") * 100 >= F.greatest(f"n_{x}", f"n_{y}") * percent
+    return sizes & (F.abs(F.col(f"d_{x}") - F.col(f"d_{y}")) * (100 + percent) <= (F.col(f"n_{x}") + F.col(f"n_{y}")) * (100 - percent))
 
 
-def _split(held: DataFrame, percent: int, files: int) -> tuple[DataFrame, DataFrame]:
-    """Groups of `_cored` as smaller ones (g, node, n, component), and pairs (a, b).
+def _stars(held: DataFrame, percent: int) -> DataFrame:
+    """Pairs of LEADERS members of a group, the one with the smallest f among them, with all members of other components."""
+    leaders = held.groupBy("g", (F.col("node") % LEADERS).alias("k")).agg(F.min(F.struct("f", "node", "component", "n", "d")).alias("x"))
+    leaders = leaders.select("g", *[F.col(f"x.{c}").alias(f"{c}_a") for c in ("node", "component", "n", "d")])
+    pairs = held.withColumnsRenamed({"n": "n_b", "d": "d_b"}).join(_few(leaders, 100_000), "g").where((F.col("component") != F.col("component_a")) & _fit("a", "b", percent))
+    return pairs.select(F.least("node_a", "node").alias("a"), F.greatest("node_a", "node").alias("b")).distinct()
+
 
-    Let u and x be members of two components. If all that they share is in the core, J(u, x) >= t needs
-    |u| + |x| <= (1 + t) / t * min(|u & core|, |x & core|). So they share a shingle beyond the core, or have one of a few
-    sizes. Both are equi-joins on short lists; what a group has in common, which is what makes it large, joins nothing.
-    Where the sizes fit too many members, these are a group of their own.
+def _split(held: DataFrame, percent: int, files: int) -> tuple[DataFrame, DataFrame]:
+    """Groups of `_cored` as smaller ones (g, node, n, component), and pairs (a, b); both held.
+
+    u and x are similar if they differ in at most (100 - p) / (100 + p) * (|u| + |x|) shingles, and they differ in what only
+    one of own(u) and own(x) has. So they need o >= (f(u) + f(x)) / (2 * (100 + p)) of own in common. If that is not
+    above 0 they are similar whatever they share, and so are both with the member of the smallest f: `_stars` has them. Other
+    pairs meet under one of the rarest d - o + 1 of own. Of a pair the one with the smaller f is looked up by the other; f
+    falls into TIERS ranges, so a few members near to what most have don't make the others' lists longer than for themselves.
+    Keys under which many members of several components meet are groups of their own, of at most half the members.
     """
-    sharing = held.select("g", "node", "n", "component", F.explode("own").alias("h")).select(F.xxhash64("g", "h").alias("g"), "node", "n", "component")
-    keys = sharing.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("of"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node") % 1_000_003).alias("y")).where("lo < hi")
-    keys = cut_lineage(keys.groupBy("of", "x", "y").agg(F.min("g").alias("g")).select("g", "of"), files)  # groups of the same members count once
-    smaller = join_counted(sharing, keys, ["g"], "of").drop("of")
-
-    # the group's main component is too large for pairs of its own; its members are met from outside
-    main = held.groupBy("g", "component").agg(F.count("*").alias("c")).groupBy("g").agg(F.max(F.struct("c", "component")).alias("x")).select("g", F.col("x.component").alias("led"))
-    low, high = F.ceil(F.col("n") * percent / 100), F.floor((F.col("n") - F.size("own")) * (100 + percent) / percent) - F.col("n")
-    fit = held.select("g", "node", "n", "component", "size", low.alias("low"), high.alias("high")).where("low <= high")
-    apart = fit.join(_few(main, 100_000), "g").where("component <> led")
-    sizes = fit.groupBy("g", "n").agg(F.count("*").alias("of")).groupBy("g").agg(F.collect_list(F.struct("n", "of")).alias("sizes"))
-    apart = apart.join(_few(sizes, 2_000), "g").withColumn("fit", F.filter("sizes", lambda s: s["n"].between(F.col("low"), F.col("high")))).drop("sizes")
-    apart = cut_lineage(apart.withColumn("pairs", F.aggregate("fit", F.lit(0).cast("long"), lambda a, s: a + s["of"])).where("pairs > 0"), files)
-    heavy = _few(cut_lineage(apart.groupBy("g").agg(F.sum("pairs").alias("pairs"), F.max("size").alias("size"), F.min("low").alias("least"), F.max("high").alias("most")).where(F.col("pairs") > SMALL_BUCKET * F.col("size")).select("g", "least", "most"), files))
-    light = apart.join(heavy, "g", "left_anti").select("g", "node", "component", F.col("n").alias("its"), F.explode("fit.n").alias("n"))
-    others = fit.select("g", "n", F.col("node").alias("other"), F.col("component").alias("of"), "low", "high")
-    pairs = light.join(others, ["g", "n"]).where("component <> of AND its BETWEEN low AND high").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    small = fit.join(heavy, "g").where(F.col("n").between(F.col("least"), F.col("most"))).select("g", "node", "n", "component")
-    small = small.union(apart.join(heavy, "g", "left_semi").select("g", "node", "n", "component")).distinct()
-    return smaller.union(small.withColumn("g", F.xxhash64("g", F.lit("sizes")))), pairs
+    ends = held.groupBy("g").agg(F.min("f").alias("lo"), F.max("f").alias("hi"))
+    tier = F.floor((F.col("f") - F.col("lo")) * TIERS / (F.col("hi") - F.col("lo") + 1)).alias("tier")
+    tiered = cut_lineage(held.join(_few(ends, 100_000), "g").select("g", "node", "n", "component", "d", "f", "own", tier), files)
+    tiers = tiered.groupBy("g", "tier").agg(F.min("f").alias("low")).groupBy("g").agg(F.collect_list(F.struct("tier", "low")).alias("tiers"))
+    up_to = lambda twice_o: (F.col("d") - F.greatest(F.lit(1), F.ceil(twice_o / (2 * (100 + percent)))) + 1).cast("int")
+    lists = tiered.join(_few(tiers, 100_000), "g").withColumn("at", F.explode(F.filter("tiers", lambda t: t["tier"] <= F.col("tier"))))
+    lists = lists.withColumn("own", F.slice("own", F.lit(1), up_to(F.col("f") + F.col("at.low"))))
+    sought = (F.col("at.tier") == F.col("tier")) & (F.col("pos") < up_to(2 * F.col("f")))
+    met = lists.select("g", "node", "n", "component", "d", "f", "tier", "at", F.posexplode("own").alias("pos", "h"))
+    met = cut_lineage(met.select(F.xxhash64("g", "at.tier", "h").alias("g"), "node", "n", "component", "d", "f", sought.alias("sought")), files)
+
+    h = F.xxhash64("node")
+    each = met.groupBy("g", "component").agg(F.count("*").alias("of"), F.count_if("sought").alias("sought"), F.bit_xor(h).alias("x"), F.sum(h % 1_000_003).alias("y"))
+    keys = each.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("of").alias("of"), F.max("of").alias("main"), F.sum("sought").alias("sought"), F.bit_xor("x").alias("x"), F.sum("y").alias("y"))
+    keys = keys.where("lo < hi AND sought > 0").withColumn("heavy", F.least("sought", F.col("of") - F.col("main")) > SMALL_BUCKET)
+    keys = cut_lineage(keys.groupBy("heavy", "of", "x", "y", F.when(~F.col("heavy"), F.col("g")).alias("light")).agg(F.min("g").alias("g")).select("g", "of", "heavy"), files)  # groups of the same members count once
+    open_ = cut_lineage(join_counted(met, keys, ["g"], "of").drop("of"), files)
+    light = open_.where("NOT heavy")
+    x, y = (light.where(w).select("g", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "component", "d", "f")]) for s, w in (("a", "sought"), ("b", "true")))
+    ordered = (F.col("component_a") != F.col("component_b")) & (F.struct("f_a", "node_a") < F.struct("f_b", "node_b"))
+    pairs = x.join(y, "g").where(ordered & _fit("a", "b", percent)).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    out = cut_lineage(open_.where("heavy").select("g", "node", "n", "component"), files), cut_lineage(pairs, files)
+    release(tiered, met, keys, open_)
+    return out
+
+
+def _blocked(held: DataFrame, percent: int, blocks: int | None) -> tuple[DataFrame, DataFrame]:
+    """Groups of `_cored` of at most `blocks` blocks, or all: their members (g, node, component, f, own) by cells, each
+    two blocks that are compared; and the other groups, as they are. Members are dealt by sizes first, so that only those of
+    a range or of two that follow one another can be similar; a block has about BLOCK members, fewer if their lists are long."""
+    width = max(0.01, 1.001 * math.log(100 / percent))
+    ranged = held.withColumn("range", F.floor(F.log("n") / width))
+    counted = ranged.groupBy("g", "range").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("d") / BLOCK_LIST)).alias("of"))
+    ranges = counted.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("range", "of"))).alias("ofs"), F.sum("of").alias("blocks"))
+    ranged = ranged.join(_few(ranges, 100_000), "g")
+    few = ranged.where(F.col("blocks") <= blocks) if blocks is not None else ranged
+    few = few.withColumn("block", F.pmod(F.xxhash64("node"), F.element_at("ofs", F.col("range"))))
+    places = lambda at: F.transform(F.sequence(F.lit(1), F.coalesce(F.try_element_at("ofs", at), F.lit(0)).cast("long")), lambda i: i - 1)
+    # (range, block) of the left and of the right side of a cell, and whether the member stands on either
+    other = lambda at: F.when(F.coalesce(F.try_element_at("ofs", at), F.lit(0)) > 0, places(at)).otherwise(F.array().cast("array<long>"))
+    cell = lambda right, i, j, l, r: F.struct((F.col("range") - (0 if right != -1 else 1)).alias("range"), F.lit(right != 0).alias("next"), i.alias("i"), j.alias("j"), l.alias("left"), r.alias("right"))
+    own = F.transform(other(F.col("range")), lambda k: cell(0, F.least(k, F.col("block")), F.greatest(k, F.col("block")), F.col("block") <= k, F.col("block") >= k))
+    above = F.transform(other(F.col("range") + 1), lambda k: cell(1, F.col("block"), k, F.lit(True), F.lit(False)))
+    below = F.transform(other(F.col("range") - 1), lambda k: cell(-1, k, F.col("block"), F.lit(False), F.lit(True)))
+    cells = few.withColumn("cell", F.explode(F.concat(own, above, below)))
+    cells = cells.select("g", "cell.range", "cell.next", "cell.i", "cell.j", "cell.left", "cell.right", "node", "component", "f", "own")
+    return cells, ranged.where(F.col("blocks") > blocks).select(*held.columns) if blocks is not None else ranged.limit(0).select(*held.columns)
+
+
+def _compared(cells: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components within each cell; similar pairs beyond these link nothing more. What two members
+    have of own in common tells exactly whether they are similar (see `_split`)."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        left, right, node, component, f = (table.column(c).to_numpy() for c in ("left", "right", "node", "component", "f"))
+        own = table.column("own").combine_chunks()
+        lengths, values = np.diff(own.offsets.to_numpy()), own.flatten().to_numpy()
+        row = np.repeat(np.arange(len(node)), lengths)
+        at = [np.flatnonzero(s) for s in (left, right)]
+        common = np.intersect1d(values[left[row]], values[right[row]])
+        column = np.searchsorted(common, values)
+        known = column < len(common)
+        known[known] = common[column[known]] == values[known]
+        row, column, shared = row[known], column[known], np.zeros((len(at[0]), len(at[1])), np.float32)
+        for k in range(0, len(common), 2_048):
+            here = (column >= k) & (column < k + 2_048)
+            has = np.zeros((len(node), min(2_048, len(common) - k)), np.float32)
+            has[row[here], column[here] - k] = 1
+            shared += has[at[0]] @ has[at[1]].T
+        fits = (2 * (100 + percent) * shared.astype(np.int64) >= f[at[0]][:, None] + f[at[1]][None, :]) & (component[at[0]][:, None] != component[at[1]][None, :])
+        top: dict = {}
+
+        def of(c: int) -> int:
+            while (up := top.get(c, c)) != c:
+                top[c] = c = top.get(up, up)
+            return c
+
+        out: tuple[list, list] = ([], [])
+        for i, j in zip(*(x.tolist() for x in np.nonzero(fits))):
+            i, j = at[0][i], at[1][j]
+            x, y = of(component[i]), of(component[j])
+            if x != y:
+                top[x] = y
+                out[0].append(min(node[i], node[j]))
+                out[1].append(max(node[i], node[j]))
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    return cells.groupBy("g", "range", "next", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, pair_rows: int | None = None) -> DataFrame:
@@ -350,22 +439,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     release(led, rest)
 
     groups, total = cut_lineage(_open(cut_lineage(_placed(named, component), files), "g"), files), pair_rows if pair_rows is not None else nodes.count()
-    for _ in range(DEPTH):
+    for k in range(DEPTH):
         left = groups.groupBy("g").count().agg(F.coalesce(F.sum(F.col("count") * F.col("count")), F.lit(0))).first()[0]
         if left <= total:
             break
-        held = _cored(groups, nodes, texts, files)
-        component = _merged(component, _verified(_stars(held).distinct(), nodes, texts, size, percent, files), files)
+        held = _cored(groups, nodes, texts, percent, files)
+        component = _merged(component, _verified(_stars(held, percent), nodes, texts, size, percent, files), files)
         still = cut_lineage(_open(cut_lineage(_placed(held, component), files), "g"), files)
         release(held)
-        smaller, pairs = _split(still, percent, files)
-        smaller = cut_lineage(smaller, files)
-        counted = cut_lineage(smaller.groupBy("g").agg(F.count("*").alias("of")), files)
-        few = smaller.join(counted.where(F.col("of") <= SMALL_BUCKET).select("g"), "g", "left_semi")
-        component = _merged(component, _verified(pairs.union(_across(few, "g", percent)).distinct(), nodes, texts, size, percent, files), files)
-        large = cut_lineage(join_counted(smaller, counted.where(F.col("of") > SMALL_BUCKET), ["g"], "of").drop("of"), files)
-        groups = cut_lineage(_open(cut_lineage(_placed(large, component), files), "g"), files)
-        release(still, smaller, counted, large)
+        cells, wide = _blocked(still, percent, BLOCKS if k < DEPTH - 1 else None)
+        links, wide = cut_lineage(_compared(cells, percent), files), cut_lineage(wide, files)
+        component = _merged(component, links, files)
+        groups = wide.select("g", "node", "n", "component")
+        if not wide.isEmpty():
+            smaller, pairs = _split(wide, percent, files)
+            component = _merged(component, _verified(pairs, nodes, texts, size, percent, files), files)
+            groups = cut_lineage(_open(cut_lineage(_placed(smaller, component), files), "g"), files)
+            release(smaller, pairs, wide)
+        release(still, links)
     if not groups.isEmpty():
         component = _merged(component, _verified(_across(groups, "g", percent), nodes, texts, size, percent, files), files)
 

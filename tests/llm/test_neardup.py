@@ -5,6 +5,7 @@ from itertools import combinations
 
 import pytest
 
+from calibrium.llm import neardup
 from calibrium.llm.neardup import BANDS, ROWS, keep_one_of_each, least_matches, near_duplicates, op7_minhash_near_dedup
 
 
@@ -116,6 +117,44 @@ def test_cut_off_copies(spark, monkeypatch, small):
     assert sorted(map(tuple, got.collect())) == brute(rows)
 
 
+def distant_copies(n=300):
+    """Copies of one text that share less than the threshold with one another, but for a few planted links."""
+    r = random.Random(2)
+    base, rows = [f"b{i}" for i in range(60)], []
+    for d in range(n):
+        words = list(base)
+        for at in r.sample(range(60), 4):
+            words[at] = f"x{r.randrange(10**6)}"
+        rows.append((d, " ".join(words)))
+    return rows + [(n + d, f"{rows[d][1]} more") for d in range(0, n, 30)]
+
+
+def test_pairs_of_a_large_group_grow_with_its_members(spark, monkeypatch):
+    monkeypatch.setattr("calibrium.llm.neardup.SMALL_BUCKET", 8)
+    monkeypatch.setattr("calibrium.llm.neardup.BLOCK", 20)
+    seen, verified = [], neardup._verified
+
+    def counted(pairs, *more):
+        seen.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr("calibrium.llm.neardup._verified", counted)
+    rows = distant_copies()
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), pair_rows=0).drop("th", "first")
+    assert sorted(map(tuple, got.collect())) == brute(rows)
+    assert sum(seen) < 30 * len(rows)
+
+
+@pytest.mark.parametrize("blocks", [0, 2])
+def test_groups_of_too_many_blocks_are_split(spark, monkeypatch, blocks):
+    for name, value in (("SMALL_BUCKET", 2), ("BLOCK", 10), ("BLOCKS", blocks), ("DEPTH", 3)):
+        monkeypatch.setattr(f"calibrium.llm.neardup.{name}", value)
+    base = [f"b{i}" for i in range(300)]
+    rows = distant_copies(90) + [(1000 + d, " ".join(base[: 300 - 7 * d])) for d in range(35)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), pair_rows=0).drop("th", "first")
+    assert sorted(map(tuple, got.collect())) == brute(rows)
+
+
 def test_bounds_grow_with_the_sample():
     tests = least_matches(BANDS * ROWS)
     assert [n for n, _ in tests] == [40, 80, 120, 160, 200] and all(0.3 * n < m < 0.7 * n for n, m in tests)
