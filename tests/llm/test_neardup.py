@@ -123,7 +123,7 @@ def distant_copies(n=300):
     base, rows = [f"b{i}" for i in range(60)], []
     for d in range(n):
         words = list(base)
-        for at in r.sample(range(60), 4):
+        for at in r.sample(range(60), 2):
             words[at] = f"x{r.randrange(10**6)}"
         rows.append((d, " ".join(words)))
     return rows + [(n + d, f"{rows[d][1]} more") for d in range(0, n, 30)]
