@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibrium.llm.common import bounded_batches, cut_lineage, read
+from calibrium.llm.common import bounded_batches, cut_lineage, leaves_nothing, read
 
 WINDOW, STRIDE, BLOCK, SHARD = 128, 64, 8, 4096
 K1, B = 1.2, 0.75
@@ -180,7 +180,7 @@ def _search(docs: DataFrame, items: list, threshold: float, counts: tuple[int, i
                     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in PAIRS.split(", ")])
 
-    return docs.mapInArrow(search, PAIRS)
+    return docs.mapInArrow(leaves_nothing(search), PAIRS)
 
 
 def benchmark_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

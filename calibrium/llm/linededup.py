@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from calibrium.llm.common import bounded_batches, cut_lineage, join_counted, let_go, read, release
+from calibrium.llm.common import bounded_batches, cut_lineage, join_counted, leaves_nothing, let_go, read, release
 
 MIN_WORDS = 50
 BROADCAST_DOCS = 500_000
@@ -77,7 +77,7 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(th), i32(no), pa.array(h1), pa.array(h2), ahead, back], names=["doc", "th", "no", "h1", "h2", "ahead", "back"])
 
     kind = "struct<no:int, length:int, first:int, last:int>"
-    return docs.mapInArrow(split, f"doc long, th long, no int, h1 long, h2 long, ahead {kind}, back {kind}")
+    return docs.mapInArrow(leaves_nothing(split), f"doc long, th long, no int, h1 long, h2 long, ahead {kind}, back {kind}")
 
 
 def _ranked(suffixes: DataFrame, first: str, second: str) -> DataFrame:

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibrium.llm.common import bounded_batches, cut_lineage, join_counted, let_go, read, release
+from calibrium.llm.common import bounded_batches, cut_lineage, join_counted, leaves_nothing, let_go, read, release
 from calibrium.llm.graph import components
 
 WIDTH, PERCENT = 5, 75
@@ -129,7 +129,7 @@ def _sign(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 out[3].append((full >> np.uint64(40)).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary())], names=["doc_id", "th", "n_shingles", "digest", "bands", "sig"])
 
-    return docs.mapInArrow(sign, "doc_id long, th long, n_shingles long, digest binary, bands array<long>, sig binary")
+    return docs.mapInArrow(leaves_nothing(sign), "doc_id long, th long, n_shingles long, digest binary, bands array<long>, sig binary")
 
 
 def least_matches(size: int, percent: int = PERCENT, miss: float = MISS, batch: int = BATCH) -> list[tuple[int, int]]:
@@ -179,7 +179,7 @@ def _sets(texts: DataFrame, nodes: DataFrame, ids: DataFrame, files: int) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "hashes"])
 
     wanted = cut_lineage(nodes.select("node", "low.doc_id", "low.th").join(_few(ids), "node", "left_semi"), files)
-    found = texts.join(_few(wanted), ["doc_id", "th"]).select("node", "text").mapInArrow(gather, "node long, hashes binary")
+    found = texts.join(_few(wanted), ["doc_id", "th"]).select("node", "text").mapInArrow(leaves_nothing(gather), "node long, hashes binary")
     held = cut_lineage(found.groupBy("node").agg(F.first("hashes").alias("hashes")), files)  # a row and its repeats give one
     release(wanted)
     return held
@@ -197,7 +197,7 @@ def _exact(pairs: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    return pairs.mapInArrow(compare, "a long, b long")
+    return pairs.mapInArrow(leaves_nothing(compare), "a long, b long")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int, files: int) -> DataFrame:
@@ -280,7 +280,7 @@ def _cored(groups: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int,
     cores = cut_lineage(common.groupBy("g").agg(F.collect_list(F.struct("h", "n")).alias("core")), files)
     none = F.coalesce("core", F.array().cast("array<struct<h:long,n:long>>")).alias("core")
     out = held.join(_few(cores, 2_000), "g", "left").select("g", "node", "n", "component", "size", "hashes", none)
-    out = cut_lineage(out.mapInArrow(differing, "g long, node long, n long, component long, d long, f long, own array<long>"), files)
+    out = cut_lineage(out.mapInArrow(leaves_nothing(differing), "g long, node long, n long, component long, d long, f long, own array<long>"), files)
     release(sets, sizes, held, cores)
     return out
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibrium.llm.common import bounded_batches, read
+from calibrium.llm.common import bounded_batches, leaves_nothing, read
 from calibrium.llm.tokens import encoder, tokenizer_path
 
 CAPACITY, END_ID, GROUP_ROWS = 4096, 1, 8192
@@ -76,12 +76,12 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 ids = words.encode(text) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    for values, x in zip(out, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part), part)):
+                    for values, x in zip(out, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None)):
                         values.append(x)
             columns = [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
             yield pa.RecordBatch.from_arrays(columns[: 5 + with_ids], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES + ", ids binary" * with_ids)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(leaves_nothing(cut), PIECES + ", ids binary" * with_ids)
 
 
 def pack_pieces(pieces: DataFrame, rows: int, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:

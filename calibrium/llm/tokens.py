@@ -5,7 +5,8 @@ of a run of letters before a full stop or comma. So a text's ids are those of it
 and each is encoded once for as long as the memo holds it. `tests/llm/test_tokens.py` holds this against the library's
 own encoding of whole texts. A tokenizer file whose normaliser or splitter is another goes to the library text by text.
 
-A worker keeps its memo from task to task, bounded in bytes.
+A worker keeps its memo from task to task, bounded in bytes, where the task isn't one that leaves nothing (packing): most
+words of a task are new, so a kept memo saves little.
 """
 
 from __future__ import annotations

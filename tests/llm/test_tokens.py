@@ -1,5 +1,7 @@
 """The word memo against the library's own encoding of whole texts."""
 
+import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -44,3 +46,37 @@ def test_workers_let_go_of_what_they_keep():
     assert _ENCODERS and _TOKENIZERS
     let_go()
     assert not _ENCODERS and not _TOKENIZERS and encoder(tokenizer_path()).encode("some words") == before
+
+
+def test_a_task_that_leaves_nothing(spark):
+    from calibrium.llm import packing
+    from calibrium.llm.common import leaves_nothing
+    from calibrium.llm.tokens import _ENCODERS, _TOKENIZERS, encoder, tokenizer_path
+
+    def task(batches):
+        words = encoder(tokenizer_path())
+        for x in batches:
+            yield words.encode(x)
+
+    def failing(batches):
+        encoder(tokenizer_path())
+        yield from batches
+        raise ValueError("odd")
+
+    texts = ["some words", None, ""]
+    assert list(leaves_nothing(task)(iter(texts))) == [WORDS.encode(x) for x in texts] and not _ENCODERS and not _TOKENIZERS
+    with pytest.raises(ValueError, match="odd"):
+        list(leaves_nothing(failing)(iter(texts)))
+    assert not _ENCODERS and not _TOKENIZERS
+
+    class Rows:  # what token_pieces needs of a table, here without Spark: its task runs in this process
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, task, _schema):  # noqa: N802
+            batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([3]), "text": pa.array(["some words"])})
+            return list(task(iter([batch])))
+
+    out = packing.token_pieces(Rows(), tokenizer_path())
+    assert out[0].column("length").to_pylist() == [len(WORDS.encode("some words")) // 4 + 1]
+    assert not _ENCODERS and not _TOKENIZERS
