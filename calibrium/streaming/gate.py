@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import IntegralType
 
 from calibrium.operators import metrics as M
 from calibrium.operators.ranks import carried, ranked
@@ -53,37 +55,76 @@ def call_guard(rows: DataFrame, by: list[str], order: list[str], failed: str, ca
     return seen.join(stops, same, "left").select(*rows.columns, "calls", "streak", mark.alias("mark"))
 
 
-def guarded_stream(stream: DataFrame, by: list[str], order: list[str], failed: str, cap: int = CALL_CAP, in_a_row: int = FAILURES_IN_A_ROW) -> DataFrame:
+#: Buckets that the runs of a stream are dealt to. A checkpoint goes on with the number that it began with.
+BUCKETS = 4_096
+
+
+def _run_key(stream: DataFrame, by: list[str]) -> Column:
+    """The columns of `by` as one text, a different one for each run."""
+    exact = {"timeZone": "UTC", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    kinds = dict(stream.dtypes)
+    return F.to_json(F.struct(*[(F.col(c) + F.lit(0.0).cast(kinds[c]) if kinds[c] in ("float", "double") else F.col(c)).alias(c) for c in by]), exact)  # -0.0 is 0.0
+
+
+def guarded_stream(stream: DataFrame, by: list[str], order: list[str], failed: str, cap: int = CALL_CAP, in_a_row: int = FAILURES_IN_A_ROW, buckets: int = BUCKETS) -> DataFrame:
     """`call_guard` over a stream: calls so far, streak, whether any succeeded and whether the run has ended are keyed state.
 
     Rows of a micro-batch are taken in `order`; a later batch comes after an earlier one. Needs the RocksDB state store.
+    Runs are dealt to `buckets`, so that Spark calls Python for many runs at once; a bucket's state is a map, of which only
+    the runs in a micro-batch are read and written. One task holds a bucket's rows of one micro-batch.
     """
     names = stream.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields), GUARDED])
+    # pandas takes integers as floats where some are null, so nulls travel apart
+    whole = [f.name for f in stream.schema.fields if isinstance(f.dataType, IntegralType)]
+    null = {c: f"__null_{c}" for c in whole}
+    sort = [x for c in order for x in ([null[c], c] if c in null else [c])]
+
+    def guard(run: np.ndarray, bad: np.ndarray, before: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple]]:
+        """calls, streak, mark of sorted rows, and the state of each run after them. run: the place of each row's run in `before`,
+        which holds calls, streak, any_ok and ended of each; rows of a run follow one another."""
+        at, n = np.arange(len(run)), len(run)
+        starts = np.searchsorted(run, np.arange(len(before)))
+        first = starts[run]
+        calls, streak, any_ok, ended = (np.array(x, t)[run] for x, t in zip(zip(*before), (np.int64, np.int64, bool, bool)))
+        last_ok = np.maximum.accumulate(np.where(bad, -1, at))
+        seen = last_ok >= first
+        calls = calls + at - first + 1
+        streak = np.where(seen, at - last_ok, streak + at - first + 1)
+        any_ok = any_ok | seen
+        ends = np.select([calls > cap, bad & ~any_ok, streak >= in_a_row], ["over cap", "first failed", "in a row"], "").astype(object)
+        stop = np.minimum.reduceat(np.where(ends != "", at, n), starts)
+        mark = np.where(ended | (at > stop[run]), "after stop", np.where(ends != "", ends, None))
+        tops = np.append(starts[1:], n) - 1
+        after = zip(*(x.tolist() for x in (calls[tops], streak[tops], any_ok[tops], ended[tops] | (stop < n))))
+        return calls, streak, mark, list(after)
 
     class Guard(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.run = handle.getValueState("run", "calls long, streak long, any_ok boolean, ended boolean")
+            self.runs = handle.getMapState("runs", "run string", "calls long, streak long, any_ok boolean, ended boolean")
 
         def handleInputRows(self, key, rows, timers):  # noqa: N802
-            calls, streak, any_ok, ended = self.run.get() if self.run.exists() else (0, 0, False, False)
-            table = pd.concat(list(rows)).sort_values(order, kind="stable")
-            out = []
-            for bad in table[failed].tolist():
-                calls += 1
-                streak = streak + 1 if bad else 0
-                any_ok = any_ok or not bad
-                ends = "over cap" if calls > cap else "first failed" if bad and not any_ok else "in a row" if streak >= in_a_row else None
-                out.append((calls, streak, "after stop" if ended else ends))
-                ended = ended or ends is not None
-            self.run.update((calls, streak, any_ok, ended))
-            table["calls"], table["streak"], table["mark"] = zip(*out)
-            yield table[[*names, "calls", "streak", "mark"]]
+            table = pd.concat(list(rows), ignore_index=True)
+            table.columns = columns  # Spark renames some, such as those that begin with _
+            table = table.sort_values(sort, kind="stable")
+            run, keys = pd.factorize(table["__run"])
+            places = np.argsort(run, kind="stable")
+            table, run = table.iloc[places], run[places]
+            before = [self.runs.getValue((k,)) or (0, 0, False, False) for k in keys]
+            table["calls"], table["streak"], table["mark"], after = guard(run, (table[failed] == True).to_numpy(bool), before)  # noqa: E712
+            for k, state in zip(keys, after):
+                self.runs.updateValue((k,), state)
+            yield table[[*names, *null.values(), "calls", "streak", "mark"]]
 
         def close(self) -> None:
             pass
 
-    return stream.groupBy(*by).transformWithStateInPandas(Guard(), schema, "append", "none")
+    columns = [*names, "__run", *null.values(), "__bucket"]
+    filled = [F.coalesce(F.col(c), F.lit(0).cast(kind)).alias(c) if c in null else F.col(c) for c, kind in stream.dtypes]
+    dealt = stream.withColumn("__run", _run_key(stream, by)).select(*filled, "__run", *[F.col(c).isNull().alias(x) for c, x in null.items()], F.pmod(F.xxhash64("__run"), F.lit(buckets)).alias("__bucket"))
+    flags = "".join(f", `{n}` boolean" for n in null.values())
+    out = dealt.groupBy("__bucket").transformWithStateInPandas(Guard(), schema.removesuffix(f", {GUARDED}") + flags + f", {GUARDED}", "append", "none")
+    return out.select(*[F.when(~F.col(null[c]), F.col(c)).alias(c) if c in null else c for c in names], "calls", "streak", "mark")
 
 
 def write_complete(counts: DataFrame, path: str, checkpoint: str):

@@ -51,6 +51,32 @@ def test_guard_over_a_stream_goes_on_after_a_restart(spark, tmp_path):
     assert found(gate.call_guard(spark.read.parquet(source), ["run"], ["n"], "failed", 400, 4)) == found(got)
 
 
+def test_guard_over_a_stream_takes_many_runs_at_once(spark, tmp_path):
+    """Runs share buckets, so Python is called once a bucket; null runs and integers beyond 2^53 come back as they were."""
+    rng, base = random.Random(5), (1 << 60) + 1
+    rows = [(base + i, None if i % 7 == 0 else base + i % 61, rng.choice([True, False, False, None])) for i in range(900)]
+    schema, source = "n long, run long, failed boolean", f"{tmp_path}/source"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    try:
+        for a, b in ((0, 400), (400, 900)):
+            spark.createDataFrame(rows[a:b], schema).repartition(3).write.mode("append").parquet(source)
+            stream = gate.guarded_stream(spark.readStream.schema(schema).parquet(source), ["run"], ["n"], "failed", 20, 3, buckets=2)
+            stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+        state = spark.read.format("statestore").option("stateVarName", "runs").load(f"{tmp_path}/check")
+        runs = {run for _, run, _ in rows}
+        assert state.count() == len(runs) and state.select("key").distinct().count() == 2
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = spark.read.parquet(f"{tmp_path}/out")
+    want = {n: (run, bad) for n, run, bad in rows}
+    assert found(got) == by_loop_of_any(rows, 20, 3) and {r.n: (r.run, r.failed) for r in got.collect()} == want and got.count() == len(rows)
+
+
+def by_loop_of_any(rows, cap, in_a_row):
+    """`by_loop` where runs may be null."""
+    return by_loop([(n, str(run), bool(bad)) for n, run, bad in rows], cap, in_a_row)
+
+
 def test_batches_survive_a_crash_and_hide_until_committed(spark, tmp_path, monkeypatch):
     source, out = f"{tmp_path}/source", f"{tmp_path}/out"
     for i in range(4):
